@@ -1,0 +1 @@
+"""The same results in another engine, and the comparison."""

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 # Column names, order and types of the five event logs.
 EVENT_COLUMNS = {
@@ -32,7 +32,16 @@ REDTEAM_NOW = (
 WINDOW_SECONDS = 3600
 
 SOURCES = tuple(EVENT_COLUMNS)
-SCHEMAS = {name: StructType.fromDDL(ddl) for name, ddl in EVENT_COLUMNS.items()}
+_TYPES = {"BIGINT": LongType(), "INT": IntegerType(), "STRING": StringType()}
+
+
+def _schema(columns: str) -> StructType:
+    """Without a session, which StructType.fromDDL would need."""
+    pairs = (column.split() for column in columns.split(","))
+    return StructType([StructField(name, _TYPES[kind]) for name, kind in pairs])
+
+
+SCHEMAS = {name: _schema(columns) for name, columns in EVENT_COLUMNS.items()}
 
 
 @dataclass(frozen=True)

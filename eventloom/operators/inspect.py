@@ -19,18 +19,14 @@ def sample_profile(df: DataFrame, name: str, n: int = FIRST_ROWS, head: int = HE
     """Type and nulls of each column among the first n rows, and how many of the first few rows differ."""
     sample = first_rows(df, n)
     differing = sample.limit(head).distinct().agg(F.count("*").alias("n"))
-    types = df.sparkSession.createDataFrame(list(df.dtypes), "column_name string, data_type string")
-    return (
-        missing_values(sample)
-        .join(F.broadcast(types), "column_name")
-        .select(
-            F.lit(name).alias("table_name"),
-            "column_name",
-            "data_type",
-            F.col("total_rows").alias("sampled_rows"),
-            "missing_count",
-            differing.scalar().alias("distinct_head_rows"),
-        )
+    types = F.create_map(*[F.lit(text) for pair in df.dtypes for text in pair])
+    return missing_values(sample).select(
+        F.lit(name).alias("table_name"),
+        "column_name",
+        types[F.col("column_name")].alias("data_type"),
+        F.col("total_rows").alias("sampled_rows"),
+        "missing_count",
+        differing.scalar().alias("distinct_head_rows"),
     )
 
 

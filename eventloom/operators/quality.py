@@ -131,7 +131,7 @@ def quantiles(df: DataFrame, columns: list[str] | None = None, exact: bool = Tru
     wide = found.groupBy("column_name").agg(
         *[F.max(F.when(F.col("probability") == p, F.col("quantile"))).alias(n) for n, p in QUANTILES.items()]
     )
-    names = df.sparkSession.createDataFrame([(c,) for c in columns], "column_name string")
+    names = df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(c) for c in columns])).alias("column_name"))
     return names.join(wide, "column_name", "left")
 
 

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.contracts import CONTRACTS, LABEL, SOURCES, WINDOW_SECONDS
-from eventloom.operators.features import add_derived, fill_counts
+from eventloom.contracts import SOURCES, WINDOW_SECONDS
+from eventloom.operators.features import add_derived, add_time_window, fill_counts
 from eventloom.operators.label import add_label
 from eventloom.operators.merge import join_features, role_frames, source_frames, union_features
+from eventloom.operators.quality import coverage_report, feature_report
+from eventloom.sources.tables import DEFAULT_FORMAT, read_back, read_table, write_report, write_table
 
 MERGES = ("sources", "roles", "join")
 
@@ -54,3 +56,22 @@ def feature_table(
     if drop_null_keys:
         table = table.filter(F.col("computer").isNotNull())
     return add_label(add_derived(table, epsilon), label, drop_censored=drop_censored)
+
+
+def build_features(
+    spark: SparkSession,
+    tables: str,
+    output: str,
+    reports: str,
+    *,
+    fmt: str = DEFAULT_FORMAT,
+    seconds: int = WINDOW_SECONDS,
+    **options,
+) -> None:
+    """Read the cleaned tables, write the feature table, and report on what was written."""
+    logs = {s: read_table(spark, f"{tables}/{s}", fmt) for s in SOURCES}
+    windows = {s: add_time_window(log, seconds=seconds).select("time_window") for s, log in logs.items()}
+    write_report(coverage_report(windows), f"{reports}/window_coverage")
+    table = feature_table(logs, seconds=seconds, **options)
+    write_table(table, output, fmt)
+    write_report(feature_report(read_back(table, output, fmt)), f"{reports}/features")
