@@ -32,8 +32,13 @@ def _bin(bins: int) -> Column:
     return F.when(width > 0, F.least(place, F.lit(bins - 1).cast("bigint"))).otherwise(F.lit(0).cast("bigint"))
 
 
-def _within(rank: str, start: str, size: str) -> Column:
-    return (F.col(rank) >= F.col(start)) & (F.col(rank) < F.col(start) + F.col(size))
+def _holds(rank: str) -> Column:
+    """Whether the bin or value covers the rank (counted from 0)."""
+    return (F.col(rank) >= F.col("start")) & (F.col(rank) < F.col("start") + F.col("size"))
+
+
+def _doubles(numbers: list[float]) -> Column:
+    return F.array(*[F.lit(float(n)) for n in numbers])
 
 
 def exact_quantiles(
@@ -51,15 +56,18 @@ def exact_quantiles(
     extent = values.groupBy("column_name").agg(
         F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")
     )
-    wanted = extent.select(
-        "column_name",
-        "n",
-        F.explode(F.array(*[F.lit(float(p)) for p in probabilities])).alias("probability"),
-    ).select("column_name", "probability", (F.col("probability") * (F.col("n") - 1)).alias("position"))
-    ranks = wanted.select(
-        "column_name",
-        F.explode(F.array(F.floor("position"), F.ceil("position"))).alias("rank"),
-    ).distinct()
+    position = F.col("probability") * (F.col("n") - 1)
+    wanted = F.broadcast(
+        extent.select("column_name", "n", F.explode(_doubles(probabilities)).alias("probability")).select(
+            F.col("column_name").alias("wanted_column"),
+            "probability",
+            (position - F.floor(position)).alias("share"),
+            F.floor(position).alias("low_rank"),
+            F.ceil(position).alias("high_rank"),
+        )
+    )
+    same_column = F.col("column_name") == F.col("wanted_column")
+    holds_low, holds_high = _holds("low_rank"), _holds("high_rank")
 
     ranges = extent.select("column_name", "lo", "hi", F.lit(0).cast("bigint").alias("start"))
     for _ in range(levels):
@@ -68,28 +76,18 @@ def exact_quantiles(
             .groupBy("column_name", "start", _bin(bins).alias("bin"))
             .agg(F.count("*").alias("size"), F.min("value").alias("lo"), F.max("value").alias("hi"))
         )
-        ranges = (
-            _with_starts(histogram, "bin")
-            .join(F.broadcast(ranks), "column_name")
-            .filter(_within("rank", "start", "size"))
-            .select("column_name", "lo", "hi", "start")
-            .distinct()
-        )
+        ranges = _with_starts(histogram, "bin").join(wanted, same_column & (holds_low | holds_high), "left_semi")
+        ranges = ranges.select("column_name", "lo", "hi", "start")
     counted = _in_ranges(values, ranges).groupBy("column_name", "start", "value").agg(F.count("*").alias("size"))
-    found = (
-        _with_starts(counted, "value")
-        .join(F.broadcast(ranks), "column_name")
-        .filter(_within("rank", "start", "size"))
-        .select("column_name", "rank", F.col("value").cast("double").alias("value"))
-    )
-    low = F.max(F.when(F.col("rank") == F.floor("position"), F.col("value")))
-    high = F.max(F.when(F.col("rank") == F.ceil("position"), F.col("value")))
-    share = F.col("position") - F.floor("position")
+    neighbours = _with_starts(counted, "value").join(wanted, same_column & (holds_low | holds_high))
+    low, high = F.col("low"), F.col("high")
     return (
-        found.join(F.broadcast(wanted), "column_name")
-        .groupBy("column_name", "probability", "position")
-        .agg(low.alias("low"), high.alias("high"))
-        .select("column_name", "probability", (F.col("low") + (F.col("high") - F.col("low")) * share).alias("quantile"))
+        neighbours.groupBy("column_name", "probability", "share")
+        .agg(
+            F.max(F.when(holds_low, F.col("value").cast("double"))).alias("low"),
+            F.max(F.when(holds_high, F.col("value").cast("double"))).alias("high"),
+        )
+        .select("column_name", "probability", (low + (high - low) * F.col("share")).alias("quantile"))
     )
 
 
@@ -124,18 +122,9 @@ def sketch_quantiles(df: DataFrame, columns: list[str], probabilities: list[floa
         .groupBy("column_name")
         .agg(merge("sketch", k).alias("sketch"))
     )
-    return merged.select(
-        "column_name",
-        F.inline(
-            F.array(*[
-                F.struct(
-                    F.lit(float(p)).alias("probability"),
-                    read("sketch", F.lit(float(p))).cast("double").alias("quantile"),
-                )
-                for p in probabilities
-            ])
-        ),
-    )
+    asked = _doubles(probabilities)
+    answers = F.arrays_zip(asked.alias("probability"), read("sketch", asked).cast("array<double>").alias("quantile"))
+    return merged.select("column_name", F.inline(answers).alias("probability", "quantile"))
 
 
 def running_totals(
