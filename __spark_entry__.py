@@ -134,10 +134,11 @@ def join_null_safe(spark: SparkSession, directory: str) -> DataFrame:
     return _rounded(features.fill_counts(joined, means=True))
 
 
-def _derived(epsilon: float | None, columns: list[str], digits: int) -> Query:
+def _derived(epsilon: float | None, columns: list[str]) -> Query:
     def run(spark: SparkSession, directory: str) -> DataFrame:
         table = features.add_derived(merged_features(_logs(spark, directory)), epsilon)
-        return _rounded(table.select("computer", "time_window", *columns), digits)
+        chosen = table.select("computer", "time_window", *columns)
+        return chosen if epsilon else _rounded(chosen)  # shifted ratios end in a 5 where rounding would cut them
 
     return run
 
@@ -291,8 +292,8 @@ QUERIES: dict[str, Query] = {
     "feature_union_merge": _merged(merge="roles"),
     "feature_source_merge": _merged(merge="sources"),
     "feature_join_null_safe": join_null_safe,
-    "derived_features": _derived(None, DERIVED + RATIOS, 9),
-    "epsilon_ratios": _derived(1e-9, RATIOS, 6),
+    "derived_features": _derived(None, DERIVED + RATIOS),
+    "epsilon_ratios": _derived(1e-9, RATIOS),
     "label_next_row": _labelled(),
     "label_adjacent": _labelled(mode="adjacent"),
     "label_uncensored": _labelled(drop_censored=True),

@@ -156,7 +156,7 @@ def ratio(top: str, bottom: str, name: str) -> str:
 
 
 def shifted(top: str, bottom: str, name: str) -> str:
-    return f"round(({top}) / ({bottom} + CAST(1e-9 AS DOUBLE)), 6) AS {name}"
+    return f"({top}) / ({bottom} + CAST(1e-9 AS DOUBLE)) AS {name}"
 
 
 EVENTS = "(auth_src_event_count + auth_dst_event_count)"

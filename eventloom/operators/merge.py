@@ -96,6 +96,14 @@ def _sums(role: Role) -> dict[str, Column]:
     return {name: value.cast("bigint") for name, value in sums.items()}
 
 
+def _pick(number: Column, choices: list[Column]) -> Column:
+    """choices[number]"""
+    picked = choices[-1]
+    for n in reversed(range(len(choices) - 1)):
+        picked = F.when(number == n, choices[n]).otherwise(picked)
+    return picked
+
+
 def source_features(
     log: DataFrame, source: str, *, seconds: int = WINDOW_SECONDS, null_times: bool = False, null_keys: str = "unmatched"
 ) -> DataFrame:
@@ -106,17 +114,19 @@ def source_features(
         events = events.filter(F.col("time_window").isNotNull())
 
     slots = _slots(source)
-    sum_names = list(_sums(slots[0][0]))  # the roles of a log add up the same columns
-    cells = []
-    for number, (role, item, carries_sums) in enumerate(slots):
-        thing = F.col(item) if item else F.lit(None).cast("string")
-        values = list(_sums(role).values()) if carries_sums else [F.lit(None).cast("bigint")] * len(sum_names)
-        cells += [F.lit(number), F.col(role.computer), thing, *values]
-    names = ("item", *sum_names)
-    facets = events.select("time_window", F.stack(F.lit(len(slots)), *cells).alias("slot", "computer", *names))
+    sums = _sums(slots[0][0])  # the roles of a log add up the same columns
+    sum_names = list(sums)
+    slot = F.col("slot")
+    computer = _pick(slot, [F.col(role.computer) for role, _, _ in slots])
+    item = _pick(slot, [F.col(thing) if thing else F.lit(None).cast("string") for _, thing, _ in slots])
+    carries = slot.isin([n for n, (_, _, carries_sums) in enumerate(slots) if carries_sums])
+    facets = events.withColumn("slot", F.explode(F.array(*[F.lit(n) for n in range(len(slots))]))).select(
+        computer.alias("computer"), "time_window", "slot", item.alias("item"),
+        *[F.when(carries, v).alias(n) for n, v in sums.items()],
+    )
     if null_keys == "unmatched":  # an unknown computer keeps its key only, so its events fold into few rows
         known = F.col("computer").isNotNull()
-        facets = facets.select(*FEATURE_KEY, "slot", *[F.when(known, F.col(n)).alias(n) for n in names])
+        facets = facets.select(*FEATURE_KEY, "slot", *[F.when(known, F.col(n)).alias(n) for n in ("item", *sum_names)])
     if any(item for _, item, _ in slots):
         facets = facets.groupBy(*FEATURE_KEY, "slot", "item").agg(*[F.sum(c).alias(c) for c in sum_names])
 
