@@ -299,6 +299,9 @@ QUERIES: dict[str, Query] = {
     "label_uncensored": _labelled(drop_censored=True),
     "feature_table": _on_features(lambda table: table),
     "feature_table_known_computers": lambda spark, d: _rounded(feature_table(_logs(spark, d), drop_null_keys=True)),
+    "feature_table_draft": lambda spark, d: feature_table(
+        _logs(spark, d), null_times="keep", null_keys="matched", fill_means=True, epsilon=1e-9
+    ).select("computer", "time_window", *[F.round(m, 9).alias(m) for m in oracles.MEANS], *DERIVED, *RATIOS, LABEL),
     "feature_selection": _on_features(lambda table: table.select(*feature_columns(table.columns))),
     "io_roundtrip": io_roundtrip,
     "csv_export": csv_export,

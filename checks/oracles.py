@@ -331,6 +331,10 @@ def oracle_sql() -> dict[str, str]:
             {LAST} AS is_last FROM derived) WHERE NOT is_last""")
     sql["feature_table"] = query(TABLE, f"SELECT computer, time_window, {', '.join(FEATURE_COLUMNS)}, {LABEL} FROM features")
     sql["feature_table_known_computers"] = sql["feature_table"] + " WHERE computer IS NOT NULL"
+    sql["feature_table_draft"] = query(
+        [*MERGED_NULL_SAFE, f"derived AS (SELECT *, {TOTALS}, {', '.join(shifted(*r) for r in RATIOS)} FROM merged)"],
+        f"""SELECT computer, time_window, {', '.join(f'coalesce({m}, 0.0) AS {m}' for m in MEANS)}, {', '.join(derived)},
+            {', '.join(r[2] for r in RATIOS)}, CAST({NEXT_ROW} AS INTEGER) AS {LABEL} FROM derived""")
     sql["feature_selection"] = query(TABLE, f"""SELECT {', '.join(c for c in FEATURE_COLUMNS if not c.startswith('redteam'))}
         FROM features""")
     sql["io_roundtrip"] = sql["feature_table"]

@@ -15,13 +15,31 @@ SKETCH_SHARDS = 64
 
 
 def unpivot_values(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(column_name, value) rows without nulls; integers stay integers if all columns are."""
+    """(column_name, value) rows without nulls and NaN."""
+    long = df.select(*_values(df, columns)).unpivot([], columns, "column_name", "value")
+    return long.filter(F.col("value").isNotNull())
+
+
+def _values(df: DataFrame, columns: list[str]) -> list[Column]:
+    """The columns in one type: integers stay integers if all are, else all are doubles, NaN being null."""
     whole = all(isinstance(df.schema[c].dataType, IntegralType) for c in columns)
-    target = "bigint" if whole else "double"
-    values = df.select(*[F.col(c).cast(target).alias(c) for c in columns])
-    long = values.unpivot([], columns, "column_name", "value")
-    keep = F.col("value").isNotNull()
-    return long.filter(keep if whole else keep & ~F.isnan("value"))
+    if whole:
+        return [F.col(c).cast("bigint").alias(c) for c in columns]
+    doubles = {c: F.col(c).cast("double") for c in columns}
+    return [F.when(~F.isnan(v), v).alias(c) for c, v in doubles.items()]
+
+
+def _extent(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column_name, n, lo, hi) of the columns that have values, from one aggregate over the columns side by side."""
+    row = df.select(*_values(df, columns)).agg(*[
+        m for i, c in enumerate(columns)
+        for m in (F.count(c).alias(f"n_{i}"), F.min(c).alias(f"lo_{i}"), F.max(c).alias(f"hi_{i}"))
+    ])
+    cells = [
+        F.struct(F.lit(c).alias("column_name"), *[F.col(f"{m}_{i}").alias(m) for m in ("n", "lo", "hi")])
+        for i, c in enumerate(columns)
+    ]
+    return row.select(F.inline(F.array(*cells))).filter("n > 0")
 
 
 def _bin(bins: int) -> Column:
@@ -53,9 +71,7 @@ def exact_quantiles(
     The broadcast sides hold two rows per column and probability at most.
     """
     values = unpivot_values(df, columns)
-    extent = values.groupBy("column_name").agg(
-        F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")
-    )
+    extent = _extent(df, columns)
     position = F.col("probability") * (F.col("n") - 1)
     wanted = F.broadcast(
         extent.select("column_name", "n", F.explode(_doubles(probabilities)).alias("probability")).select(

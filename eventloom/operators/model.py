@@ -52,10 +52,12 @@ def random_forest(trees: int = TREES, depth: int = FOREST_DEPTH) -> RandomForest
     )
 
 
-def fit(train: DataFrame, columns: list[str], estimator: Estimator, label: str = LABEL) -> PipelineModel:
+def fit(
+    train: DataFrame, columns: list[str], estimator: Estimator, label: str = LABEL, exact_medians: bool = True
+) -> PipelineModel:
     """Impute, scale, assemble and fit as one pipeline. `train` is read many times, so pass a written table."""
     check_no_leakage(columns)
-    prepared = fit_preparation(train, columns)
+    prepared = fit_preparation(train, columns, exact_medians)
     rows = train.select(
         *prepared.columns, F.col(label).cast("double").alias("label"), weight_column(train, label).alias("weight")
     )

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.contracts import LABEL
-from eventloom.functions.ranks import exact_quantiles
+from eventloom.functions.ranks import exact_quantiles, sketch_quantiles
 
 PREPARED = "prepared_"
 
@@ -43,9 +43,10 @@ def _number(value: float) -> str:
     return f"CAST('{value!r}' AS DOUBLE)"
 
 
-def medians(df: DataFrame, columns: list[str]) -> dict[str, float]:
-    """Exact medians; a column without any value has none and is left out."""
-    found = {r.column_name: r.quantile for r in exact_quantiles(df, columns, [0.5]).collect()}  # a row per column
+def medians(df: DataFrame, columns: list[str], exact: bool = True) -> dict[str, float]:
+    """Medians, exact or from a sketch in one pass; a column without any value has none and is left out."""
+    find = exact_quantiles if exact else sketch_quantiles
+    found = {r.column_name: r.quantile for r in find(df, columns, [0.5]).collect()}  # a row per column
     return {c: found[c] for c in columns if c in found}
 
 
@@ -72,8 +73,8 @@ def standardise(df: DataFrame, columns: list[str], fitted: dict[str, tuple[float
     return df.withColumns({c: (F.col(c) - F.lit(mean)) / F.lit(std) for c, (mean, std) in fitted.items()})
 
 
-def fit_preparation(train: DataFrame, columns: list[str]) -> Preparation:
-    middle = medians(train, columns)
+def fit_preparation(train: DataFrame, columns: list[str], exact: bool = True) -> Preparation:
+    middle = medians(train, columns, exact)
     spread = scales(impute_median(train, columns, middle).select(*middle), list(middle))
     return Preparation(middle, {c: m for c, (m, _) in spread.items()}, {c: s for c, (_, s) in spread.items()})
 

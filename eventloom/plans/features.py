@@ -22,22 +22,26 @@ def merged_features(
     seconds: int = WINDOW_SECONDS,
     null_times: str = "drop",
     null_keys: str = "unmatched",
+    fill_means: bool = False,
 ) -> DataFrame:
     """One row per computer and window, absent counts zero.
 
     merge       "sources" folds one table per log, "roles" one per role, "join" left-joins the roles to a key list
     null_times  "drop" leaves out events without a time, which the quality report of the log counts;
-                "zero" keeps them as a row of zeros in window 0, which then has two rows for such a computer
+                "zero" keeps them as a row of zeros in window 0, which then has two rows for such a computer;
+                "keep" keeps them with an unknown window
+    null_keys   "matched" gives an unknown computer or window its features instead of zeros
+    fill_means  absent means are zero too
     """
     if merge not in MERGES:
         raise ValueError(f"merge is one of {MERGES}, not {merge!r}")
-    keep = {"drop": False, "zero": True}[null_times]
+    keep = {"drop": False, "zero": True, "keep": True}[null_times]
     if merge == "sources":
         frames = source_frames(logs, seconds=seconds, null_times=keep, null_keys=null_keys)
     else:
         frames = role_frames(logs, seconds=seconds, null_times=keep)
     table = join_features(frames, null_keys) if merge == "join" else union_features(frames, null_keys)
-    return fill_counts(table, null_window_as_zero=keep)
+    return fill_counts(table, means=fill_means, null_window_as_zero=null_times == "zero")
 
 
 def feature_table(

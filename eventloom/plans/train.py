@@ -51,6 +51,7 @@ def train_models(
     fmt: str = DEFAULT_FORMAT,
     trees: int = TREES,
     depth: int = FOREST_DEPTH,
+    exact_medians: bool = True,
 ) -> DataFrame:
     """Fit both models on the first 60 % of the windows, measure them on the next two parts, keep the better one.
 
@@ -69,7 +70,7 @@ def train_models(
     }
     for position, (name, estimator) in enumerate(estimators.items()):
         path = f"{output}/models/{name}"
-        fit(train, columns, estimator).write().overwrite().save(path)
+        fit(train, columns, estimator, exact_medians=exact_medians).write().overwrite().save(path)
         predictions = predict(
             parts.filter("split IN ('valid', 'test')"), PipelineModel.load(path), [*FEATURE_KEY, "split", LABEL]
         )

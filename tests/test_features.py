@@ -92,7 +92,8 @@ def _same(a, b):
 
 
 @pytest.mark.parametrize("options", [{}, {"null_times": "zero"}, {"null_keys": "matched"}, {"seconds": 600},
-                                     {"null_times": "zero", "null_keys": "matched"}])
+                                     {"null_times": "zero", "null_keys": "matched"},
+                                     {"null_times": "keep", "null_keys": "matched", "fill_means": True}])
 def test_all_merges_agree(logs, options):
     first, *others = [merged_features(logs, merge=m, **options) for m in MERGES]
     for other in others:
@@ -117,6 +118,11 @@ def test_matched_null_keys_keep_their_features(logs):
     assert (row.auth_src_event_count, row.auth_dst_event_count) == (1, 1)
 
 
+def test_kept_null_times_are_a_window_of_their_own(logs):
+    row = merged_features(logs, null_times="keep", null_keys="matched").filter("computer = 'C9'").first()
+    assert (row.time_window, row.auth_src_event_count) == (None, 1)
+
+
 def test_dropping_null_computers(logs):
     assert feature_table(logs, drop_null_keys=True).filter("computer IS NULL").count() == 0
 

@@ -80,6 +80,12 @@ def test_medians_take_the_midpoint_and_leave_out_empty_columns(spark):
     assert [tuple(r) for r in prepare.impute_median(df, ["a", "b", "c"]).collect()] == [(1.0, 1.0), (2.0, 3.0), (1.5, 5.0)]
 
 
+def test_medians_from_a_sketch_are_close(spark):
+    df = spark.range(9999).selectExpr("id AS a", "cast(NULL AS double) AS b")
+    found = prepare.medians(df, ["a", "b"], exact=False)
+    assert list(found) == ["a"] and abs(found["a"] - 4999) < 20
+
+
 def test_standardise(spark):
     df = spark.createDataFrame([(1.0, 4), (3.0, 4)], "a double, b int")
     assert [tuple(r) for r in prepare.standardise(df, ["a", "b"]).collect()] == [(-1.0, 0.0), (1.0, 0.0)]
