@@ -233,7 +233,8 @@ def _trained(spark: SparkSession, directory: str, estimator) -> tuple[DataFrame,
     table = _staged(spark, directory)
     parts = split.time_split(table)
     train = parts.filter("split = 'train'")
-    return parts, model.fit(train, feature_columns(table.columns), estimator(train))
+    prepared = prepare.fit_preparation(train, feature_columns(table.columns))
+    return parts, model.fit(train, prepared, estimator(train))
 
 
 def _evaluated(parts: DataFrame, fitted: object) -> DataFrame:

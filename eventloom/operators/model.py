@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from eventloom.contracts import LABEL, check_no_leakage
 from eventloom.functions.ranks import union_all
 from eventloom.operators.metrics import binary_metrics, ranking_metrics
-from eventloom.operators.prepare import PREPARED, fit_preparation, weight_column
+from eventloom.operators.prepare import PREPARED, Preparation, weight_column
 
 # Names and settings of the two models.
 LOGISTIC = "logistic_regression_baseline"
@@ -52,12 +52,9 @@ def random_forest(trees: int = TREES, depth: int = FOREST_DEPTH) -> RandomForest
     )
 
 
-def fit(
-    train: DataFrame, columns: list[str], estimator: Estimator, label: str = LABEL, exact_medians: bool = True
-) -> PipelineModel:
+def fit(train: DataFrame, prepared: Preparation, estimator: Estimator, label: str = LABEL) -> PipelineModel:
     """Impute, scale, assemble and fit as one pipeline. `train` is read many times, so pass a written table."""
-    check_no_leakage(columns)
-    prepared = fit_preparation(train, columns, exact_medians)
+    check_no_leakage(prepared.columns)
     rows = train.select(
         *prepared.columns, F.col(label).cast("double").alias("label"), weight_column(train, label).alias("weight")
     )

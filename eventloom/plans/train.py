@@ -24,6 +24,7 @@ from eventloom.operators.model import (
     score,
     select_best,
 )
+from eventloom.operators.prepare import fit_preparation
 from eventloom.operators.quality import distribution
 from eventloom.operators.split import SPLITS, time_split
 from eventloom.sources.tables import DEFAULT_FORMAT, read_table, write_report, write_table
@@ -61,16 +62,17 @@ def train_models(
     table = read_table(spark, features, fmt)
     columns = feature_columns(table.columns)
     parts, labels = labelled_splits(table)
-    write_report(distribution(parts.filter("split IS NOT NULL").select(F.concat_ws("/", "split", LABEL).alias("part_label")),
-                              "part_label"), f"{output}/label_distribution")
+    part_labels = parts.filter("split IS NOT NULL").select(F.concat_ws("/", "split", LABEL).alias("part_label"))
+    write_report(distribution(part_labels, "part_label"), f"{output}/label_distribution")
     train = parts.filter("split = 'train'")
+    prepared = fit_preparation(train, columns, exact_medians)
     estimators = {
         LOGISTIC: logistic_regression(sum(labels["train"].values())),
         FOREST: random_forest(trees, depth),
     }
     for position, (name, estimator) in enumerate(estimators.items()):
         path = f"{output}/models/{name}"
-        fit(train, columns, estimator, exact_medians=exact_medians).write().overwrite().save(path)
+        fit(train, prepared, estimator).write().overwrite().save(path)
         predictions = predict(
             parts.filter("split IN ('valid', 'test')"), PipelineModel.load(path), [*FEATURE_KEY, "split", LABEL]
         )
@@ -79,17 +81,17 @@ def train_models(
         measured, reports = [], []
         for split in ("valid", "test"):
             part = stored.filter(F.col("split") == split)
-            labelled = [F.lit(run).alias("run"), F.lit(name).alias("model"), F.lit(position).alias("position"),
-                        F.lit(split).alias("split")]
+            tags = {"run": run, "model": name, "position": position, "split": split}
+            labelled = [F.lit(v).alias(k) for k, v in tags.items()]
             measured.append(evaluate(part).select(*labelled, "metric", "value"))
-            reports.append(classification_report(part, LABEL).select(*labelled, "class", "precision", "recall", "f1", "support"))
+            reports.append(classification_report(part, LABEL).select(*labelled, "*"))
         write_table(union_all(measured), f"{output}/metrics", fmt, mode="append")
         write_table(union_all(reports), f"{output}/reports/{name}", fmt)
         write_table(_parameters(spark, run, name, columns), f"{output}/parameters", fmt, mode="append")
 
     best = select_best(read_table(spark, f"{output}/metrics", fmt).filter(F.col("run") == run))
     path = F.concat(F.lit(f"{output}/models/"), "model")
-    write_table(best.select("run", "model", "metric", "value", path.alias("model_path")), f"{output}/best", fmt)
+    write_table(best.select("run", "model", "metric", "value", path.alias("model_path")).coalesce(1), f"{output}/best", fmt)
     return read_table(spark, f"{output}/best", fmt)
 
 

@@ -1,10 +1,11 @@
+import numpy as np
 import pytest
 
 from eventloom.contracts import FEATURE_KEY, LABEL, REDTEAM_NOW, SCHEMAS, SOURCES, check_no_leakage, feature_columns
 from eventloom.operators.clean import clean
 from eventloom.operators.features import keyspace, role_features
 from eventloom.operators.label import add_label
-from eventloom.operators.merge import role_frames
+from eventloom.operators.merge import role_frames, source_features
 from eventloom.plans.features import MERGES, feature_table, merged_features
 from eventloom.sources.retail import read_log
 from tests.conftest import SMALL
@@ -108,6 +109,33 @@ def test_all_merges_agree_on_the_larger_tables(spark):
     assert first.count() == keyspace(role_frames(logs)).count()
 
 
+def test_a_hot_computer_is_counted_like_any_other(spark):
+    random = np.random.default_rng(2)
+    rows = []
+    for i in range(4000):
+        hot = i % 3 == 0  # a third of the flows go to one computer in one window
+        ports = [f"N{p}" for p in random.integers(0, 900, 2)]
+        rows.append((int(random.integers(0, 3600 if hot else 40_000)), 1, f"C{random.integers(0, 60)}", ports[0],
+                     "HOT" if hot else f"C{random.integers(0, 60)}", ports[1], 6, int(random.integers(1, 9)),
+                     None if i % 7 == 0 else int(random.integers(0, 10**6))))
+    expected = {}
+    for time, _, src, src_port, dst, dst_port, _, packets, size in rows:
+        for side, computer, other, port in (("out", src, dst, dst_port), ("in", dst, src, src_port)):
+            group = expected.setdefault((computer, time // 3600), {"out": [], "in": []})
+            group[side].append((other, port, packets, size))
+    got = source_features(spark.createDataFrame(rows, SCHEMAS["flows"]).repartition(6), "flows").collect()
+    assert len(got) == len(expected)
+    for row in got:
+        for side, far in (("out", "dst"), ("in", "src")):
+            events = expected[row.computer, row.time_window][side]
+            sizes = [e[3] for e in events if e[3] is not None]
+            assert (row[f"flows_{side}_count"] or 0) == len(events)
+            assert row[f"flows_{side}_unique_{far}_computers"] == len({e[0] for e in events})
+            assert row[f"flows_{side}_unique_{far}_ports"] == len({e[1] for e in events})
+            assert (row[f"flows_{side}_total_packets"] or 0) == sum(e[2] for e in events)
+            assert row[f"flows_{side}_mean_bytes"] == (pytest.approx(np.mean(sizes)) if sizes else None)
+
+
 def test_null_times_as_window_zero(logs):
     rows = merged_features(logs, null_times="zero").filter("computer IN ('C1', 'C9') AND time_window = 0").collect()
     assert sorted((r.computer, r.auth_src_event_count) for r in rows) == [("C1", 0), ("C1", 3), ("C9", 0)]

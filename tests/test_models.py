@@ -109,7 +109,7 @@ def training(spark):
 
 def test_logistic_regression_minimises_the_weighted_penalised_loss(training):
     df, rows = training
-    fitted = model.fit(df, ["a", "b"], model.logistic_regression(len(rows)))
+    fitted = model.fit(df, prepare.fit_preparation(df, ["a", "b"]), model.logistic_regression(len(rows)))
     known = np.median([r[0] for r in rows if r[0] is not None])
     x = np.array([[known if r[0] is None else r[0], r[1]] for r in rows])
     y = np.array([r[2] for r in rows])
@@ -126,7 +126,7 @@ def test_logistic_regression_minimises_the_weighted_penalised_loss(training):
 
 def test_stored_pipelines_know_their_inputs_and_score_incomplete_rows(spark, training, tmp_path):
     df, rows = training
-    fitted = model.fit(df, ["a", "b"], model.random_forest(trees=5, depth=3))
+    fitted = model.fit(df, prepare.fit_preparation(df, ["a", "b"]), model.random_forest(trees=5, depth=3))
     path = str(tmp_path / "forest")
     fitted.write().overwrite().save(path)
     loaded = model.PipelineModel.load(path)
@@ -142,7 +142,7 @@ def test_stored_pipelines_know_their_inputs_and_score_incomplete_rows(spark, tra
 
 def test_leaking_inputs_are_refused(training):
     with pytest.raises(ValueError, match="red-team"):
-        model.fit(training[0], ["a", REDTEAM_NOW[0]], model.random_forest(1))
+        model.fit(training[0], prepare.Preparation({REDTEAM_NOW[0]: 0.0}, {}, {}), model.random_forest(1))
 
 
 def test_best_model_wins_ties_by_order(spark):
