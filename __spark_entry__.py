@@ -11,7 +11,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from checks import oracles
+from eventloom.checks import oracles
 from eventloom.contracts import CONTRACTS, LABEL, SCHEMAS, SOURCES, feature_columns
 from eventloom.functions.columns import coerce_numeric
 from eventloom.functions.ranks import union_all

@@ -97,6 +97,7 @@ def train_models(
 
 def _parameters(spark: SparkSession, run: str, name: str, columns: list[str]) -> DataFrame:
     """Run settings as (run, model, name, value) rows."""
+    # Names of the settings, and how the split is called.
     settings = {
         "model_name": name,
         "target_column": LABEL,

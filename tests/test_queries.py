@@ -3,7 +3,7 @@
 import pytest
 
 import __spark_entry__ as registry
-from checks.compare import connect, differences
+from eventloom.checks.compare import connect, differences
 from tests.conftest import SMALL, plan_of
 
 SQL = registry.oracle_sql()
