@@ -347,6 +347,19 @@ QUERIES: dict[str, Query] = {
 }
 
 
+ORACLES = oracles.oracle_sql()
+
+try:
+    import corpus_pipeline
+    from eventloom.llm import queries as corpus
+except ModuleNotFoundError as missing:
+    if missing.name not in ("corpus_pipeline", "eventloom.llm"):
+        raise
+else:
+    QUERIES |= corpus.QUERIES | {"pipeline": corpus_pipeline.run}
+    ORACLES |= corpus.ORACLES | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """The labelled feature table."""
     return QUERIES["feature_table"](spark, "/root/testdata/sf0.001")
@@ -357,4 +370,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracles.oracle_sql()
+    return dict(ORACLES)

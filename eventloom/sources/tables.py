@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -56,12 +55,21 @@ def read_back_report(spark: SparkSession, paths: dict[str, str], fmt: str = DEFA
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new path in the folder all executors share; a local one only where none is configured."""
+    """A new path in the folder all executors share; a machine-local one only where the master is this machine."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not shared:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         shared = tempfile.mkdtemp(prefix="eventloom-")
-        spark.sparkContext.setCheckpointDir(shared)
-    return os.path.join(shared, f"{label}-{uuid.uuid4().hex}")
+    return f"{shared.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def drop_staged(df: DataFrame) -> None:
+    """Delete the files of a staged table that is no longer read."""
+    spark = df.sparkSession
+    for folder in {name.rpartition("/")[0] for name in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
