@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventloom.llm import bytebpe, varbyte
+from eventloom.llm import bytebpe, ngram, varbyte
 from eventloom.llm.common import read
 from eventloom.sources.tables import scratch_path
 
@@ -22,9 +22,14 @@ def op8_byte_bpe(spark: SparkSession, directory: str) -> DataFrame:
     return bytebpe.digests(documents).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op10_ngram(spark: SparkSession, directory: str) -> DataFrame:
+    return ngram.score(read(spark, directory, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op6_varbyte": op6_varbyte,
     "op8_byte_bpe": op8_byte_bpe,
+    "op10_ngram": op10_ngram,
 }
 
 ORACLES: dict[str, str] = {}
