@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm import bytebpe, ngram, pages, topk, toxicity, varbyte
+from eventloom.llm import bytebpe, fertility, ngram, pages, topk, toxicity, varbyte
 from eventloom.llm.common import crc_of_id, read
 from eventloom.sources.tables import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_fertility(spark: SparkSession, directory: str) -> DataFrame:
+    documents = read(spark, directory, "documents").select("doc_id", "text", "lang")
+    return fertility.judged(documents).drop("lang")
+
+
 def op2_toxicity(spark: SparkSession, directory: str) -> DataFrame:
     documents = read(spark, directory, "documents").select("doc_id", "text")
     scored = toxicity.judged(documents, read(spark, directory, "labels"))
@@ -43,6 +48,7 @@ def op10_ngram(spark: SparkSession, directory: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_fertility": op1_fertility,
     "op2_toxicity": op2_toxicity,
     "op3_topk": op3_topk,
     "op6_varbyte": op6_varbyte,
