@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm import bytebpe, fertility, ngram, pages, topk, toxicity, varbyte
+from eventloom.llm import bytebpe, fertility, jaccard, ngram, pages, topk, toxicity, varbyte
 from eventloom.llm.common import crc_of_id, read
 from eventloom.sources.tables import scratch_path
 
@@ -29,6 +29,11 @@ def op3_topk(spark: SparkSession, directory: str) -> DataFrame:
     return topk.nearest(read(spark, directory, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op5_jaccard(spark: SparkSession, directory: str) -> DataFrame:
+    found = jaccard.grouped(read(spark, directory, "documents"))
+    return found.select("doc_id", "class_id", "n_links", "group_id")
+
+
 def op6_varbyte(spark: SparkSession, directory: str) -> DataFrame:
     return varbyte.round_trip(read(spark, directory, "documents"), scratch_path(spark, "token-files"))
 
@@ -51,6 +56,7 @@ QUERIES: dict[str, Query] = {
     "op1_fertility": op1_fertility,
     "op2_toxicity": op2_toxicity,
     "op3_topk": op3_topk,
+    "op5_jaccard": op5_jaccard,
     "op6_varbyte": op6_varbyte,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_pages": op9_pages,
