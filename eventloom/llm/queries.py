@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm import bytebpe, fertility, jaccard, ngram, pages, topk, toxicity, varbyte
+from eventloom.llm import bytebpe, fertility, jaccard, ngram, pages, suffix, topk, toxicity, varbyte
 from eventloom.llm.common import crc_of_id, read
 from eventloom.sources.tables import scratch_path
 
@@ -38,6 +38,10 @@ def op6_varbyte(spark: SparkSession, directory: str) -> DataFrame:
     return varbyte.round_trip(read(spark, directory, "documents"), scratch_path(spark, "token-files"))
 
 
+def op7_suffix(spark: SparkSession, directory: str) -> DataFrame:
+    return suffix.digests(read(spark, directory, "documents"))
+
+
 def op8_byte_bpe(spark: SparkSession, directory: str) -> DataFrame:
     documents = read(spark, directory, "documents").select("doc_id", "text")
     return bytebpe.digests(documents).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
@@ -58,6 +62,7 @@ QUERIES: dict[str, Query] = {
     "op3_topk": op3_topk,
     "op5_jaccard": op5_jaccard,
     "op6_varbyte": op6_varbyte,
+    "op7_suffix": op7_suffix,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_pages": op9_pages,
     "op10_ngram": op10_ngram,
