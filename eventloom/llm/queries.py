@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm import bytebpe, fertility, jaccard, ngram, pages, suffix, topk, toxicity, varbyte
+from eventloom.llm import bytebpe, fertility, jaccard, mixing, ngram, pages, suffix, topk, toxicity, varbyte
 from eventloom.llm.common import crc_of_id, read
 from eventloom.sources.tables import scratch_path
 
@@ -29,6 +29,10 @@ def op3_topk(spark: SparkSession, directory: str) -> DataFrame:
     return topk.nearest(read(spark, directory, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op4_mixing(spark: SparkSession, directory: str) -> DataFrame:
+    return mixing.mixed(read(spark, directory, "documents"))
+
+
 def op5_jaccard(spark: SparkSession, directory: str) -> DataFrame:
     found = jaccard.grouped(read(spark, directory, "documents"))
     return found.select("doc_id", "class_id", "n_links", "group_id")
@@ -60,6 +64,7 @@ QUERIES: dict[str, Query] = {
     "op1_fertility": op1_fertility,
     "op2_toxicity": op2_toxicity,
     "op3_topk": op3_topk,
+    "op4_mixing": op4_mixing,
     "op5_jaccard": op5_jaccard,
     "op6_varbyte": op6_varbyte,
     "op7_suffix": op7_suffix,
