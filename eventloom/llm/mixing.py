@@ -46,11 +46,16 @@ def scrambled(x: Column, salt: int) -> Column:
     return x
 
 
+def _key(text: str) -> Column:
+    """Equal for rows with the same id, source and text."""
+    return F.xxhash64("doc_id", F.col("doc_id").isNull(), "source", F.col("source").isNull(), text)
+
+
 def placed(documents: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, origin (the source, null told apart), size, start (words of the source before it) of every document."""
+    """doc_id, key, origin (the source, null told apart), size, start (words of the source before it) of every document."""
     sized = documents.select(
         "doc_id", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("origin"), n_words(text).alias("size"),
-        scrambled(F.coalesce(F.col("doc_id"), F.lit(-1)), 1).alias("turn"),
+        scrambled(F.coalesce(F.col("doc_id"), F.lit(-1)), 1).alias("turn"), _key(text).alias("key"),
     )
     sized = stage(sized, "sizes")
     chunks = 1 + sized.count() // CHUNK_ROWS
@@ -58,10 +63,10 @@ def placed(documents: DataFrame, text: str = "text") -> DataFrame:
     before = Window.partitionBy("origin").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     totals = sized.groupBy("origin", "chunk").agg(F.sum("size").alias("words"))
     totals = totals.select("origin", "chunk", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("earlier"))
-    inside = Window.partitionBy("origin", "chunk").orderBy("turn", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("origin", "chunk").orderBy("turn", "doc_id", "size", "key").rowsBetween(Window.unboundedPreceding, -1)
     sized = sized.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     start = (F.col("earlier") + F.col("inside")).alias("start")
-    return sized.join(totals, ["origin", "chunk"]).select("doc_id", "origin", "size", start)
+    return sized.join(totals, ["origin", "chunk"]).select("doc_id", "key", "origin", "size", start)
 
 
 def targets(sizes: DataFrame) -> DataFrame:
@@ -141,12 +146,12 @@ def mixed_blocks(sources: DataFrame) -> DataFrame:
 
 
 def pieces(docs: DataFrame) -> DataFrame:
-    """doc_id, origin, start, size, block, low, high: the words low..high (from 0) of a document lie in a block."""
+    """key, origin, start, block, low, high: the words low..high (from 0) of a document lie in a block."""
     last = F.floor((F.col("start") + F.col("size") - 1) / BLOCK)
     cut = docs.filter("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / BLOCK), last)))
     low = F.greatest(F.lit(0).cast("long"), F.col("block") * BLOCK - F.col("start"))
     high = F.least(F.col("size"), (F.col("block") + 1) * BLOCK - F.col("start")) - 1
-    return cut.select("doc_id", "origin", "start", "size", "block", low.alias("low"), high.alias("high"))
+    return cut.select("key", "origin", "start", "block", low.alias("low"), high.alias("high"))
 
 
 def uses(sources: DataFrame) -> DataFrame:
@@ -171,20 +176,16 @@ def mixed(documents: DataFrame, text: str = "text") -> DataFrame:
 def remixed(documents: DataFrame, text: str = "text") -> DataFrame:
     """The mix as documents: those it takes words of, each text made of the words taken, in order, as often as taken.
 
-    A document's words keep the white space before them. Other columns stay as they are.
+    A document's words keep the white space before them. Other columns stay as they are. Rows with the same id, source and
+    text become one row that has the words of all.
     """
-    columns = documents.columns
-    named = documents.withColumn("origin", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))).withColumn("size", n_words(text))
     docs = stage(placed(documents, text), "placed")
     parts = pieces(docs).join(uses(stage(targets(docs), "sources")), ["origin", "block"])
-    ordered = F.sort_array(F.collect_list(F.struct("low", "high", "uses")))  # of one document
-    parts = parts.groupBy("doc_id", "origin", "size", "start").agg(ordered.alias("parts"))
-    nth = lambda: Window.partitionBy("doc_id", "origin", "size")
-    # rows that share id, source and size take the places in turn
-    parts = parts.withColumn("turn", F.row_number().over(nth().orderBy("start")))
-    named = named.withColumn("turn", F.row_number().over(nth().orderBy(F.xxhash64(text))))
-    same = [named[c].eqNullSafe(parts[c]) for c in ("doc_id", "origin", "size", "turn")]
-    words = F.regexp_extract_all(F.col(text), F.lit(rf"[{BLANK}]*{WORD}"), F.lit(0))
-    joined = named.join(parts.select("doc_id", "origin", "size", "turn", "parts"), same).select(*[named[c] for c in columns], "parts", words.alias("__words"))
-    piece = lambda p: F.repeat(F.array_join(F.slice("__words", (p["low"] + 1).cast("int"), (p["high"] - p["low"] + 1).cast("int")), ""), p["uses"].cast("int"))
-    return joined.withColumn(text, F.array_join(F.transform("parts", piece), "")).select(*columns)
+    ordered = F.sort_array(F.collect_list(F.struct("low", "high", "uses"))).alias("__parts")  # of one document
+    parts = stage(parts.groupBy(F.col("key").alias("__key")).agg(ordered), "parts")
+    named = documents.withColumn("__key", _key(text)).dropDuplicates(["__key"])
+    words = F.regexp_extract_all(F.col(text), F.lit(rf"[{BLANK}]*{WORD}"), F.lit(0)).alias("__words")
+    joined = named.join(parts, "__key").select(*documents.columns, "__parts", words)
+    piece = lambda p: F.array_join(F.slice("__words", (p["low"] + 1).cast("int"), (p["high"] - p["low"] + 1).cast("int")), "")
+    taken = F.transform("__parts", lambda p: F.repeat(piece(p), p["uses"].cast("int")))
+    return joined.withColumn(text, F.array_join(taken, "")).select(*documents.columns)
