@@ -20,8 +20,8 @@ PIECES = re.compile(rf" ?[{LETTERS}]+(?![^{SPACE}{SIGNS}])| ?[^{SPACE}]+|[{SPACE
 WORDS = re.compile(rf"[{LETTERS}]+(?![^{SPACE}{SIGNS}])|[^{SPACE}]+")
 PLAIN = re.compile(rf"[{LETTERS}]+")
 
-#: Pieces a worker remembers, and the longest one that is remembered; others are encoded each time.
-REMEMBERED = 1 << 19
+#: Pieces a worker remembers per generation, and the longest one that is remembered; others are encoded each time.
+REMEMBERED = 1 << 18
 REMEMBERED_CHARS = 48
 
 
@@ -38,21 +38,27 @@ def public_pattern() -> str:
 
 
 class Memory:
-    """The value of each piece, found by `encode` for a list of new pieces at a time."""
+    """The value of each piece, found by `encode` for a list of new pieces at a time.
+
+    Pieces are kept in two generations: when the younger one is full, it becomes the older one, and what is used again
+    moves up, so common pieces stay.
+    """
 
     def __init__(self, encode: Callable[[list[str]], list], limit: int = REMEMBERED):
-        self.encode, self.limit, self.known = encode, limit, {}
+        self.encode, self.limit, self.known, self.older = encode, limit, {}, {}
 
     def values(self, pieces: list[str]) -> list:
         found = list(map(self.known.get, pieces))
         if None in found:
             gaps = [i for i, v in enumerate(found) if v is None]
-            fresh = list(dict.fromkeys(pieces[i] for i in gaps))
-            new = dict(zip(fresh, self.encode(fresh)))
+            wanted = dict.fromkeys(pieces[i] for i in gaps)
+            new = {p: self.older[p] for p in wanted if p in self.older}
+            fresh = [p for p in wanted if p not in new]
+            new.update(zip(fresh, self.encode(fresh)))
             for i in gaps:
                 found[i] = new[pieces[i]]
             if len(self.known) + len(new) > self.limit:
-                self.known.clear()
+                self.older, self.known = self.known, {}
             self.known.update((p, v) for p, v in new.items() if len(p) <= REMEMBERED_CHARS)
         return found
 
