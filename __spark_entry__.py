@@ -175,12 +175,7 @@ def _repeated_pairs(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def _value_counts(spark: SparkSession, directory: str) -> DataFrame:
-    counts = []
-    for table, columns in oracles.VALUE_COUNTS.items():
-        for column in columns:
-            top = quality.value_counts(_log(spark, directory, table).select(F.col(column).cast("string").alias("value")), "value")
-            counts.append(top.select(F.lit(table).alias("table_name"), F.lit(column).alias("column_name"), "value", "count"))
-    return union_all(counts)
+    return _tagged({t: quality.top_values(_log(spark, directory, t), list(cs)) for t, cs in oracles.VALUE_COUNTS.items()})
 
 
 def _distinct_counts(approx: bool) -> Query:
@@ -231,8 +226,9 @@ def _prepared(operator: Callable[[DataFrame, list[str]], DataFrame], columns: li
 
 def _trained(spark: SparkSession, directory: str, estimator) -> tuple[DataFrame, object]:
     table = _staged(spark, directory)
-    parts = split.time_split(table)
-    train = parts.filter("split = 'train'")
+    cuts = split.time_cuts(table)
+    parts = split.time_split(table, cuts=cuts)
+    train = cuts.part(table, "train")
     prepared = prepare.fit_preparation(train, feature_columns(table.columns))
     return parts, model.fit(train, prepared, estimator(train))
 

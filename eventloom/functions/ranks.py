@@ -12,6 +12,7 @@ from pyspark.sql.types import IntegralType
 
 SKETCH_SIZE = 4096  # rank error of about 0.0007
 SKETCH_SHARDS = 64
+FEW = 50_000  # rows of a range that one task ranks
 
 
 def unpivot_values(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -42,12 +43,23 @@ def _extent(df: DataFrame, columns: list[str]) -> DataFrame:
     return row.select(F.inline(F.array(*cells))).filter("n > 0")
 
 
+def _scaled(value: Column) -> Column:
+    """A number that never decreases as the value grows and that spreads all magnitudes evenly."""
+    size = F.abs(value)
+    magnitude = F.least(F.log2(size), F.lit(1025.0)) + 1100  # positive for the smallest number as well
+    return F.when(size > 0, F.signum(value) * magnitude).otherwise(0.0)
+
+
 def _bin(bins: int) -> Column:
-    """Equal-width bin of `value` within [lo, hi]; never decreases as the value grows."""
-    low = F.col("lo").cast("double")
-    width = F.col("hi").cast("double") - low
-    place = F.floor((F.col("value").cast("double") - low) / width * bins)
-    return F.when(width > 0, F.least(place, F.lit(bins - 1).cast("bigint"))).otherwise(F.lit(0).cast("bigint"))
+    """Bin of `value` within [lo, hi]; never decreases as the value grows.
+
+    Bins have equal width on the scale of magnitudes, or, where the range lies within two powers of two, on its own.
+    """
+    value, low, high = (F.col(c).cast("double") for c in ("value", "lo", "hi"))
+    near = F.abs(_scaled(high) - _scaled(low)) < 2
+    place = F.when(near, (value - low) / (high - low)).otherwise((_scaled(value) - _scaled(low)) / (_scaled(high) - _scaled(low)))
+    last = F.lit(bins - 1).cast("bigint")
+    return F.when(high > low, F.least(F.floor(place * bins), last)).otherwise(F.lit(0).cast("bigint"))
 
 
 def _holds(rank: str) -> Column:
@@ -60,42 +72,46 @@ def _doubles(numbers: list[float]) -> Column:
 
 
 def exact_quantiles(
-    df: DataFrame, columns: list[str], probabilities: list[float], bins: int = 2048, levels: int = 2
+    df: DataFrame, columns: list[str], probabilities: list[float], bins: int = 2048, few: int = FEW
 ) -> DataFrame:
     """Exact linearly interpolated quantiles: (column_name, probability, quantile).
 
-    Instead of gathering all values of a column in one place, count them per bin, keep only the bins that hold a
-    wanted rank, and cut those bins again. Each level is a scan whose shuffle carries at most `bins` rows per
-    column, range and task; the last step ranks the few distinct values left in each bin. A value that a
-    third of the rows share costs nothing extra: it is one counted value everywhere.
-    The broadcast sides hold two rows per column and probability at most.
+    Instead of gathering all values of a column in one place, count them per bin, keep only the bins that hold a wanted
+    rank, and cut those bins again until each holds at most `few` rows or one value. Each pass is a scan whose shuffle
+    carries at most `bins` rows per column, range and task; the last step ranks the few values left. Bins follow
+    magnitudes first, so a column with a heavy tail is cut as fast as a flat one. A value that a third of the rows share
+    costs nothing extra: it is one counted value everywhere. Only ranges that hold a wanted rank reach the driver and are
+    broadcast: two per column and probability at most.
     """
-    values = unpivot_values(df, columns)
-    extent = _extent(df, columns)
-    position = F.col("probability") * (F.col("n") - 1)
-    wanted = F.broadcast(
-        extent.select("column_name", "n", F.explode(_doubles(probabilities)).alias("probability")).select(
-            F.col("column_name").alias("wanted_column"),
-            "probability",
-            (position - F.floor(position)).alias("share"),
-            F.floor(position).alias("low_rank"),
-            F.ceil(position).alias("high_rank"),
-        )
-    )
+    spark, values = df.sparkSession, unpivot_values(df, columns)
+    ranges = [(r.column_name, 0, r.n, r.lo, r.hi) for r in _extent(df, columns).collect()]  # a row per column
+    kind = dict(values.dtypes)["value"]
+    wanted = []
+    for column, _, n, _, _ in ranges:
+        for p in probabilities:
+            position = p * (n - 1)
+            wanted.append((column, p, position - math.floor(position), math.floor(position), math.ceil(position)))
+    schema = "wanted_column STRING, probability DOUBLE, share DOUBLE, low_rank BIGINT, high_rank BIGINT"
+    asked = F.broadcast(spark.createDataFrame(wanted, schema))
     same_column = F.col("column_name") == F.col("wanted_column")
     holds_low, holds_high = _holds("low_rank"), _holds("high_rank")
-
-    ranges = extent.select("column_name", "lo", "hi", F.lit(0).cast("bigint").alias("start"))
-    for _ in range(levels):
+    fields = f"column_name STRING, start BIGINT, size BIGINT, lo {kind}, hi {kind}"
+    settled: list[tuple] = []
+    while large := [r for r in ranges if r not in settled and r[2] > few and r[3] < r[4]]:
         histogram = (
-            _in_ranges(values, ranges)
+            _in_ranges(values, spark.createDataFrame(large, fields).drop("size"))
             .groupBy("column_name", "start", _bin(bins).alias("bin"))
             .agg(F.count("*").alias("size"), F.min("value").alias("lo"), F.max("value").alias("hi"))
         )
-        ranges = _with_starts(histogram, "bin").join(wanted, same_column & (holds_low | holds_high), "left_semi")
-        ranges = ranges.select("column_name", "lo", "hi", "start")
-    counted = _in_ranges(values, ranges).groupBy("column_name", "start", "value").agg(F.count("*").alias("size"))
-    neighbours = _with_starts(counted, "value").join(wanted, same_column & (holds_low | holds_high))
+        cut = _with_starts(histogram, "bin").join(asked, same_column & (holds_low | holds_high), "left_semi")
+        found = [(r.column_name, r.start, r.size, r.lo, r.hi) for r in cut.collect()]
+        settled += [r for r in found if r in large]  # neighbouring integers beyond what a double can tell apart
+        ranges = [r for r in ranges if r not in large] + found
+    counted = (
+        _in_ranges(values, spark.createDataFrame(ranges, fields).drop("size"))
+        .groupBy("column_name", "start", "value").agg(F.count("*").alias("size"))
+    )
+    neighbours = _with_starts(counted, "value").join(asked, same_column & (holds_low | holds_high))
     low, high = F.col("low"), F.col("high")
     return (
         neighbours.groupBy("column_name", "probability", "share")
@@ -130,7 +146,8 @@ def sketch_quantiles(df: DataFrame, columns: list[str], probabilities: list[floa
         getattr(F, name.format(kind))
         for name in ("kll_sketch_agg_{}", "kll_merge_agg_{}", "kll_sketch_get_quantile_{}")
     )
-    shard = F.pmod(F.spark_partition_id(), F.lit(SKETCH_SHARDS))
+    parts = df.rdd.getNumPartitions()
+    shard = F.pmod(F.spark_partition_id(), F.lit(max(SKETCH_SHARDS, math.isqrt(parts))))
     merged = (
         values.withColumn("shard", shard)
         .groupBy("column_name", "shard")

@@ -19,17 +19,19 @@ LOGISTIC = "logistic_regression_baseline"
 FOREST = "random_forest_model"
 SEED = 42
 MAX_ITERATIONS = 2000
+TOLERANCE = 1e-6
 TREES = 300
 LEAF_ROWS = 2
-FOREST_DEPTH = 10  # Spark grows level by level to a fixed depth, at most 30
+FOREST_DEPTH = 30  # the engine's limit
 
 PROBABILITY = "probability_redteam_next_window"
 
 
-def logistic_regression(rows: int) -> LogisticRegression:
+def logistic_regression(rows: int, tolerance: float = TOLERANCE) -> LogisticRegression:
     """L2 with unit strength against the summed (not averaged) loss of `rows` rows, on scaled inputs."""
     return LogisticRegression(
         maxIter=MAX_ITERATIONS,
+        tol=tolerance,
         regParam=1.0 / rows,
         elasticNetParam=0.0,
         standardization=False,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml.feature import SQLTransformer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventloom.contracts import LABEL
@@ -82,8 +82,9 @@ def fit_preparation(train: DataFrame, columns: list[str], exact: bool = True) ->
 def class_weights(df: DataFrame, label: str = LABEL) -> DataFrame:
     """(label, count, weight): n / (classes * count), so all classes weigh the same in sum."""
     counts = df.groupBy(F.col(label).cast("int").alias("label")).agg(F.count("*").alias("count"))
-    total, classes = counts.agg(F.sum("count")).scalar(), counts.agg(F.count("*")).scalar()
-    return counts.withColumn("weight", total / (classes * F.col("count")))
+    every = Window.partitionBy()  # a row per class
+    weight = F.sum("count").over(every) / (F.count("*").over(every) * F.col("count"))
+    return counts.withColumn("weight", weight)
 
 
 def weight_column(df: DataFrame, label: str = LABEL) -> Column:

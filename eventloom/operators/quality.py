@@ -5,7 +5,7 @@ Counts, extents and moments of all columns come from one scan (`_summary_row`);
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventloom.contracts import CONTRACTS, LABEL, Contract
@@ -15,7 +15,6 @@ from eventloom.functions.ranks import exact_quantiles, sketch_quantiles, union_a
 # Reported quantiles, and the sizes of samples and top lists.
 QUANTILES = {"q01": 0.01, "q25": 0.25, "median": 0.50, "q75": 0.75, "q99": 0.99}
 DUPLICATE_SAMPLES = 10
-NUMERIC_COLUMNS = 10
 TOP_VALUES = 20
 
 
@@ -114,7 +113,7 @@ _MOMENT_NAMES = ["count", "mean", "std", "min", "max"]
 
 def numeric_moments(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Count, mean, sample deviation, min and max of each column in one pass."""
-    columns = integer_columns(df)[:NUMERIC_COLUMNS] if columns is None else columns
+    columns = integer_columns(df) if columns is None else columns
     row = df.agg(*[m for i, c in enumerate(columns) for m in _moments(i, c)])
     return _rows_per_column(row, {c: _moment_cells(i) for i, c in enumerate(columns)}, _MOMENT_NAMES)
 
@@ -125,7 +124,7 @@ def quantiles(df: DataFrame, columns: list[str] | None = None, exact: bool = Tru
     exact    interpolated between neighbours
     else     an element whose rank is within about 0.1 % of the rows
     """
-    columns = integer_columns(df)[:NUMERIC_COLUMNS] if columns is None else columns
+    columns = integer_columns(df) if columns is None else columns
     find = exact_quantiles if exact else sketch_quantiles
     found = find(df, columns, list(QUANTILES.values()))
     wide = found.groupBy("column_name").agg(
@@ -175,6 +174,14 @@ def value_counts(df: DataFrame, column: str, n: int = TOP_VALUES) -> DataFrame:
     return distribution(df, column).limit(n)
 
 
+def top_values(df: DataFrame, columns: list[str], n: int = TOP_VALUES) -> DataFrame:
+    """column_name, value (as text), count: the most frequent values of each column, from one scan."""
+    values = df.select(*[F.col(c).cast("string").alias(c) for c in columns]).unpivot([], columns, "column_name", "value")
+    counts = values.groupBy("column_name", "value").agg(F.count("*").alias("count"))
+    place = F.row_number().over(Window.partitionBy("column_name").orderBy(F.desc("count"), "value"))
+    return counts.withColumn("place", place).filter(F.col("place") <= n).drop("place")
+
+
 def distinct_counts(tables: dict[str, DataFrame], columns: dict[str, list[str]], approx: bool = False) -> DataFrame:
     """Distinct non-null values per table and column, all in one grouping."""
     values = union_all([
@@ -292,7 +299,7 @@ def _quantile_entries(df: DataFrame, table: str, numeric: list[str], exact: bool
 def log_report(df: DataFrame, source: str, exact_quantile: bool = False) -> DataFrame:
     """Quality report of one cleaned log."""
     contract = CONTRACTS[source]
-    numeric = integer_columns(df)[:NUMERIC_COLUMNS]
+    numeric = integer_columns(df)
     return union_all([
         _summary(df, contract, numeric),
         _duplicates(df, contract),

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.functions.ranks import running_totals
+from eventloom.sources.tables import stage
 
 # Shares of the windows before the two cuts, and the fewest windows worth splitting.
 TRAIN_SHARE = 0.60
@@ -28,10 +29,16 @@ class TimeCuts:
         w = F.col(window)
         return F.when(w <= self.train, "train").when(w <= self.valid, "valid").when(w > self.valid, "test")
 
+    def part(self, df: DataFrame, name: str, window: str = "time_window") -> DataFrame:
+        """The rows of one part, by a bound on the window that a scan can take over."""
+        w = F.col(window)
+        bounds = {"train": w <= self.train, "valid": (w > self.train) & (w <= self.valid), "test": w > self.valid}
+        return df.filter(bounds[name]).withColumn("split", F.lit(name))
+
 
 def time_cuts(df: DataFrame, window: str = "time_window") -> TimeCuts:
     """Cut the ordered distinct windows at 60 and 80 percent, the window at each cut going to the earlier part."""
-    windows = df.select(window).filter(F.col(window).isNotNull()).distinct()
+    windows = stage(df.select(window).filter(F.col(window).isNotNull()).distinct(), "windows")
     n = windows.count()
     if n < FEWEST_WINDOWS:
         raise ValueError(f"{n} time windows are too few to split by time; {FEWEST_WINDOWS} are needed")

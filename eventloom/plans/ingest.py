@@ -8,7 +8,7 @@ from eventloom.contracts import SOURCES
 from eventloom.operators.clean import clean
 from eventloom.operators.quality import log_report
 from eventloom.sources.raw import random_rows, read_raw
-from eventloom.sources.tables import DEFAULT_FORMAT, read_back, write_report, write_table
+from eventloom.sources.tables import DEFAULT_FORMAT, read_back, write_counted, write_report
 
 
 def ingest_log(
@@ -25,8 +25,8 @@ def ingest_log(
 ) -> None:
     """Clean one log and write it; the text is parsed once, and the report is made from what was written."""
     cleaned = clean(random_rows(read_raw(spark, source, raw, **scan), enabled=sample), source)
-    write_table(cleaned, table, fmt)
-    stored = read_back(cleaned, table, fmt)
+    rows = write_counted(cleaned, table, fmt)
+    stored = read_back(cleaned, table, fmt, rows)
     if report:
         write_report(log_report(stored, source, exact_quantiles), report)
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 DEFAULT_FORMAT = "parquet"
@@ -34,17 +35,26 @@ def read_csv_export(spark: SparkSession, path: str, schema: StructType) -> DataF
     return spark.read.option("header", True).schema(schema).csv(path)
 
 
+def write_counted(df: DataFrame, path: str, fmt: str = DEFAULT_FORMAT) -> int:
+    """Write a table and return how many rows went in, counted while they are written."""
+    seen = Observation()
+    write_table(df.observe(seen, F.count(F.lit(1)).alias("rows")), path, fmt)
+    return seen.get["rows"]
+
+
 def write_report(report: DataFrame, path: str) -> None:
     report.write.mode("overwrite").json(path)
 
 
-def read_back(df: DataFrame, path: str, fmt: str = DEFAULT_FORMAT) -> DataFrame:
-    """Reload a table just written from `df` and fail when its schema is another."""
+def read_back(df: DataFrame, path: str, fmt: str = DEFAULT_FORMAT, rows: int | None = None) -> DataFrame:
+    """Reload a table just written from `df` and fail when its schema is another, or its number of rows if `rows` is given."""
     stored = read_table(df.sparkSession, path, fmt)
     expected = [(f.name, f.dataType) for f in df.schema.fields]
     actual = [(f.name, f.dataType) for f in stored.schema.fields]
     if expected != actual:
         raise ValueError(f"schema of {path} is {stored.schema.simpleString()}, expected {df.schema.simpleString()}")
+    if rows is not None and (found := stored.count()) != rows:
+        raise ValueError(f"{path} holds {found} rows, expected {rows}")
     return stored
 
 

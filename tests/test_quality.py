@@ -61,9 +61,17 @@ def test_moments(spark, pairs, empty):
     assert all(tuple(r)[1:] == (0, None, None, None, None) for r in quality.numeric_moments(empty).collect())
 
 
-def test_at_most_ten_integer_columns_by_default(spark):
+def test_all_integer_columns_by_default(spark):
     df = spark.range(3).selectExpr(*[f"id AS c{i}" for i in range(12)], "cast(id AS double) AS d", "cast(id AS string) AS s")
-    assert [r.column_name for r in quality.numeric_moments(df).collect()] == [f"c{i}" for i in range(10)]
+    names = {f"c{i}" for i in range(12)}
+    assert {r.column_name for r in quality.numeric_moments(df).collect()} == names
+    assert {r.column_name for r in quality.quantiles(df).collect()} == names
+
+
+def test_top_values_of_all_columns_equal_those_of_each(spark):
+    df = spark.createDataFrame([("x", 1), ("x", None), ("y", 1), (None, 2)], "a string, b int")
+    found = {(r.column_name, r.value): r["count"] for r in quality.top_values(df, ["a", "b"], 2).collect()}
+    assert found == {("a", "x"): 2, ("a", None): 1, ("b", "1"): 2, ("b", None): 1}
 
 
 def test_quantiles_of_an_empty_table_are_null(empty):

@@ -27,10 +27,10 @@ def table(spark):
     return spark.createDataFrame(rows, ", ".join(f"{c} bigint" for c in data)).repartition(5), data
 
 
-@pytest.mark.parametrize("bins,levels", [(2048, 2), (4, 3), (2, 1)])
-def test_exact_quantiles_equal_sorted_interpolation(table, bins, levels):
+@pytest.mark.parametrize("bins,few", [(2048, 50_000), (64, 100), (8, 20)])
+def test_exact_quantiles_equal_sorted_interpolation(table, bins, few):
     df, data = table
-    got = {(r.column_name, r.probability): r.quantile for r in exact_quantiles(df, list(data), PROBABILITIES, bins, levels).collect()}
+    got = {(r.column_name, r.probability): r.quantile for r in exact_quantiles(df, list(data), PROBABILITIES, bins, few).collect()}
     assert len(got) == len(data) * len(PROBABILITIES)
     for column, values in data.items():
         for p in PROBABILITIES:
@@ -45,6 +45,19 @@ def test_exact_quantiles_of_doubles_with_gaps(spark):
     assert got == {p: pytest.approx(np.quantile(known, p)) for p in (0.25, 0.5)}
 
 
+def test_a_heavy_tail_of_doubles_is_cut_until_few_rows_are_left(spark):
+    tail = spark.range(1_000_000, numPartitions=8).select((F.pow(F.rand(3) + 1e-12, F.lit(-2.0))).alias("a")).persist()
+    got = exact_quantiles(tail, ["a"], [0.5, 0.999], few=2000)
+    values = np.array([r.a for r in tail.collect()])
+    found = {r.probability: r.quantile for r in got.collect()}
+    assert found == {p: pytest.approx(np.quantile(values, p), rel=1e-12) for p in (0.5, 0.999)}
+
+
+def test_integers_that_no_double_tells_apart_end_the_cutting(spark):
+    df = spark.range(1000).select((F.lit(2**62) + F.col("id") % 3).alias("a"))
+    assert exact_quantiles(df, ["a"], [0.5], few=10).first().quantile == float(2**62 + 1)
+
+
 def test_extreme_integers(spark):
     big = [-(2**63), 2**63 - 1, 0, 1, 2, 2**53 + 1]
     df = spark.createDataFrame([(v,) for v in big], "a bigint")
