@@ -21,6 +21,7 @@ bytes on. Texts, k-grams and windows are told apart by 64 bits of hash each (win
 from __future__ import annotations
 
 import hashlib
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -36,8 +37,8 @@ GRAMS = (24, 140, 190, 200)
 HOT = 400
 #: Bytes of windows that a task compares, about.
 TASK_BYTES = 1 << 20
-#: Starts that are anchored at a time; a run never leaves a piece, so pieces of equal texts are equal.
-PIECE = 1 << 22
+#: Bytes that are anchored at a time: many short texts, or a piece of a long one, whose runs end with the piece.
+PIECE = 1 << 20
 
 _FACTOR = 0x9E3779B97F4A7C15
 _INVERSE = pow(_FACTOR, -1, 1 << 64)
@@ -45,47 +46,95 @@ _BYTES = np.random.default_rng(7).integers(0, 1 << 63, 256, dtype=np.uint64) * n
 _PLACE = np.uint64((1 << 23) - 1)
 
 
+@lru_cache(maxsize=4)
 def _powers(base: int, n: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, base, dtype=np.uint64)]), dtype=np.uint64)
+    return np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, base, dtype=np.uint64)]), dtype=np.uint64)
 
 
 class _Hashes:
     """Hashes of any spans of a byte array."""
 
     def __init__(self, data: np.ndarray):
-        self.back = _powers(_INVERSE, len(data))
-        self.sums = np.concatenate([[np.uint64(0)], np.cumsum(_BYTES[data] * _powers(_FACTOR, len(data))[:-1], dtype=np.uint64)])
-
-    def of(self, starts, ends) -> np.ndarray:
-        x = (self.sums[ends] - self.sums[starts]) * self.back[starts]
-        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-        return x ^ (x >> np.uint64(32))
-
-
-def anchored(data: np.ndarray, gram: int, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash of the anchor, hash of the bytes, first start, last start) of every run of a text."""
-    found = []
-    for offset in range(0, max(len(data) - length + 1, 0), PIECE):
-        piece = data[offset : offset + PIECE + length - 1]
-        hashes, width = _Hashes(piece), length - gram + 1
-        places = np.arange(len(piece) - gram + 1)
-        grams = hashes.of(places, places + gram)
-        least = (grams & ~_PLACE) | places.astype(np.uint64)
-        span = 1
-        while span * 2 <= width:
-            least = np.minimum(least[:-span], least[span:])
-            span *= 2
-        if span < width:
-            least = np.minimum(least[: len(least) - (width - span)], least[width - span :])
-        anchor = (least & _PLACE).astype(np.int64)  # of every start
-        first = np.flatnonzero(np.diff(anchor, prepend=-1))
-        last = np.append(first[1:], len(anchor)) - 1
-        window = hashes.of(first, last + length) ^ (anchor[first] - first).astype(np.uint64) * np.uint64(_FACTOR)
-        found.append((grams[anchor[first]].view(np.int64), window.view(np.int64), first + offset, last + offset))
-    if not found:
-        return (np.zeros(0, np.int64),) * 4
-    return tuple(np.concatenate(x) for x in zip(*found))
+        n = max(len(data), PIECE + LENGTH)
+        self.back = _powers(_INVERSE, n)
+        self.sums = np.zeros(len(data) + 1, dtype=np.uint64)
+        np.cumsum(_BYTES[data] * _powers(_FACTOR, n)[: len(data)], out=self.sums[1:])
+
+    def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return self._mixed((self.sums[ends] - self.sums[starts]) * self.back[starts])
+
+    def grams(self, size: int) -> np.ndarray:
+        """The hash of the span of `size` bytes from each place on."""
+        n = len(self.sums) - size
+        return self._mixed((self.sums[size:] - self.sums[:n]) * self.back[:n])
+
+    @staticmethod
+    def _mixed(x: np.ndarray) -> np.ndarray:
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0xD6E8FEB86659FD93)
+        x ^= x >> np.uint64(32)
+        return x
+
+
+Runs = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def _anchored(texts: list[bytes], gram: int, length: int) -> Runs:
+    """The runs of texts that fit in one piece."""
+    sizes = np.array([len(t) for t in texts], dtype=np.int64)
+    data = np.frombuffer(b"".join(texts), dtype=np.uint8)
+    if len(data) < length:
+        return (np.zeros(0, np.int64),) * 5
+    begins = np.cumsum(sizes) - sizes
+    hashes, width = _Hashes(data), length - gram + 1
+    grams = hashes.grams(gram)
+    least = (grams & ~_PLACE) | np.arange(len(grams), dtype=np.uint64)
+    span = 1
+    while span * 2 <= width:
+        least = np.minimum(least[:-span], least[span:])
+        span *= 2
+    if span < width:
+        least = np.minimum(least[: len(least) - (width - span)], least[width - span :])
+    anchor = (least & _PLACE).astype(np.int64)  # of every start
+    owner = np.repeat(np.arange(len(texts)), sizes)[: len(anchor)]
+    inside = np.arange(len(anchor)) + length <= (begins + sizes)[owner]
+    new = inside & ((np.diff(anchor, prepend=-1) != 0) | (np.diff(owner, prepend=-1) != 0))
+    first = np.flatnonzero(new)
+    stops = np.flatnonzero(new | ~inside)  # a run ends before the next one, or where its text has no more strings
+    last = np.append(stops, len(anchor))[np.searchsorted(stops, first, side="right")] - 1
+    window = hashes.of(first, last + length) ^ (anchor[first] - first).astype(np.uint64) * np.uint64(_FACTOR)
+    begin = begins[owner[first]]
+    return owner[first], grams[anchor[first]].view(np.int64), window.view(np.int64), first - begin, last - begin
+
+
+def anchored(texts: list[bytes], gram: int, length: int = LENGTH) -> Runs:
+    """(text, hash of the anchor, hash of the bytes, first start, last start) of every run of the texts.
+
+    A text longer than a piece is anchored piece by piece from its own start, so equal texts have equal runs.
+    """
+    found, held, size, place = [], [], 0, 0
+
+    def flush():
+        nonlocal held, size, place
+        if held:
+            owner, *rest = _anchored(held, gram, length)
+            found.append((owner + place, *rest))
+        place, held, size = place + len(held), [], 0
+
+    for text in texts:
+        if len(text) > PIECE:
+            flush()
+            for offset in range(0, len(text) - length + 1, PIECE):
+                owner, grams, window, first, last = _anchored([text[offset : offset + PIECE + length - 1]], gram, length)
+                found.append((owner + place, grams, window, first + offset, last + offset))
+            place += 1
+            continue
+        if size + len(text) > PIECE:
+            flush()
+        held.append(text)
+        size += len(text)
+    flush()
+    return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 5
 
 
 def sorted_suffixes(windows: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
@@ -157,9 +206,10 @@ def _runs(texts: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                gram, window, first, last = anchored(np.frombuffer(text.as_py() or b"", dtype=np.uint8), GRAMS[0])
-                columns = [gram, window, np.full(len(gram), key, dtype=np.int64), first, last - first + 1]
+            keys = batch.column(0).to_numpy(zero_copy_only=False)
+            for start in range(0, len(keys), 256):
+                owner, gram, window, first, last = anchored(batch.column(1).slice(start, 256).to_pylist(), GRAMS[0])
+                columns = [gram, window, keys[start + owner], first, last - first + 1]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["gram", "window", "key", "first", "size"])
 
     return texts.select("key", F.col("text").cast("binary")).mapInArrow(run, "gram BIGINT, window BIGINT, key BIGINT, first BIGINT, size BIGINT")
@@ -184,19 +234,63 @@ def _windows(texts: DataFrame, wanted: DataFrame) -> DataFrame:
 COVERED = "gram BIGINT, window BIGINT, first BIGINT, last BIGINT"
 
 
+def compared(windows: list[bytes], length: int = LENGTH) -> np.ndarray:
+    """Whether each symbol of the windows, joined with an end each, starts a string that starts elsewhere as well.
+
+    Longer k-grams first narrow the windows down: a string whose anchor is met once is unique, and parts that are the same
+    in all windows repeat. What is left, around the places where windows part, goes through the transform.
+    """
+    begins = np.cumsum([0] + [len(w) + 1 for w in windows])
+    owner, gram, content, first, last = anchored(windows, GRAMS[1] * length // LENGTH, length)
+    _, group, count = np.unique(gram, return_inverse=True, return_counts=True)
+    same = np.lexsort((content, group))
+    ordered, values = group[same], content[same]
+    fresh = np.append(True, (ordered[1:] != ordered[:-1]) | (values[1:] != values[:-1]))[: len(same)]
+    kinds = np.bincount(ordered[fresh], minlength=len(count))
+    marks = np.zeros(begins[-1] + 1, dtype=np.int64)
+    at = begins[owner] + first
+
+    def mark(runs: np.ndarray):
+        np.add.at(marks, at[runs], 1)
+        np.add.at(marks, at[runs] + (last - first)[runs] + 1, -1)
+
+    mark(np.flatnonzero((count[group] > 1) & (kinds[group] == 1)))
+    rest = np.flatnonzero(kinds[group] > 1)
+    if len(rest):
+        parts = [windows[owner[r]][first[r] : last[r] + length] for r in rest]
+        distinct = list(dict.fromkeys(parts))
+        times = {d: 0 for d in distinct}
+        for part in parts:
+            times[part] += 1
+        repeated = repeated_starts(distinct, length)
+        places = dict(zip(distinct, np.cumsum([0] + [len(d) + 1 for d in distinct])))
+        for r, part in zip(rest, parts):
+            if times[part] > 1:
+                mark(np.array([r]))
+            else:
+                size = len(part) - length + 1
+                starts = np.flatnonzero(repeated[places[part] : places[part] + size])
+                np.add.at(marks, at[r] + starts, 1)
+                np.add.at(marks, at[r] + starts + 1, -1)
+    return np.cumsum(marks)[:-1] > 0
+
+
 def _compared(windows: DataFrame) -> DataFrame:
     """gram, window, first, last: ranges of starts in windows that occur once, repeated in another window."""
     tasks = 1 + int(windows.agg(F.coalesce(F.sum(F.length("bytes")), F.lit(0))).first()[0]) // TASK_BYTES
 
     def run(task: pd.DataFrame) -> pd.DataFrame:
         task = task.drop_duplicates(["gram", "window"]).sort_values(["gram", "window"])
-        repeated = repeated_starts(task["bytes"].tolist())
-        at, out = 0, []
-        for gram, window, n, size in zip(task["gram"], task["window"], task["n"], task["bytes"].map(len)):
-            if n == 1:
-                out += [(gram, window, a, b) for a, b in zip(*_ranges(repeated[at : at + size]))]
-            at += size + 1
-        return pd.DataFrame(out, columns=["gram", "window", "first", "last"])
+        repeated = compared(task["bytes"].tolist())
+        begins = np.cumsum([0] + [len(b) + 1 for b in task["bytes"]])
+        starts, ends = _ranges(repeated)  # an end of a window starts nothing, so no range leaves its window
+        row = np.searchsorted(begins, starts, side="right") - 1
+        once = task["n"].to_numpy()[row] == 1
+        starts, ends, row = starts[once], ends[once], row[once]
+        return pd.DataFrame({
+            "gram": task["gram"].to_numpy()[row], "window": task["window"].to_numpy()[row],
+            "first": starts - begins[row], "last": ends - begins[row],
+        })
 
     return windows.withColumn("task", F.pmod(F.xxhash64("gram"), F.lit(tasks))).groupBy("task").applyInPandas(run, COVERED)
 
@@ -217,12 +311,11 @@ def _resolved(windows: DataFrame, level: int = 0) -> DataFrame:
     def run(batches):
         names = ["up_gram", "up_window", "n", "first", "gram", "window", "bytes"]
         for batch in batches:
-            for g, w, n, data in zip(*[c.to_pylist() for c in batch.columns]):
-                grams, found, first, last = anchored(np.frombuffer(data, dtype=np.uint8), gram)
-                k = len(grams)
-                columns = [[g] * k, [w] * k, [n] * k, first, grams, found]
-                parts = [data[a : b + LENGTH] for a, b in zip(first.tolist(), last.tolist())]
-                yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in columns], pa.array(parts, pa.binary())], names)
+            data = batch.column(3).to_pylist()
+            owner, grams, found, first, last = anchored(data, gram)
+            up = [c.to_numpy(zero_copy_only=False)[owner] for c in batch.columns[:3]]
+            parts = [data[o][a : b + LENGTH] for o, a, b in zip(owner.tolist(), first.tolist(), last.tolist())]
+            yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in (*up, first, grams, found)], pa.array(parts, pa.binary())], names)
 
     schema = "up_gram BIGINT, up_window BIGINT, n BIGINT, first BIGINT, gram BIGINT, window BIGINT, bytes BINARY"
     distinct = hot.dropDuplicates(["gram", "window"]).select("gram", "window", "n", "bytes")
