@@ -38,7 +38,7 @@ def read(spark: SparkSession, directory: str, table: str) -> DataFrame:
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write `df` once to the folder that all executors share and go on from there: lineage ends here."""
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
