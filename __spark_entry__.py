@@ -117,7 +117,7 @@ def time_window(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def success_flag_if_missing(spark: SparkSession, directory: str) -> DataFrame:
-    return features.with_event_flags(ensure_success_flag(read_log(spark, directory, "auth")), "auth")
+    return features.with_event_flags(ensure_success_flag(trim_strings(read_log(spark, directory, "auth"))), "auth")
 
 
 def coerced(spark: SparkSession, directory: str) -> DataFrame:

@@ -13,7 +13,9 @@ RAW = {
                CASE WHEN event_id % 97 <> 0 THEN 'C' || (event_id * 31 % 150) END AS dst_computer,
                CASE event_id % 3 WHEN 0 THEN 'Kerberos' WHEN 1 THEN 'NTLM' ELSE '?' END AS auth_type,
                'Network' AS logon_type, 'LogOn' AS auth_orientation,
-               CASE WHEN event_type = 'error' THEN 'Fail' ELSE 'Success' END AS success
+               CASE WHEN event_type = 'error' THEN 'Fail' WHEN event_id % 53 = 0 THEN NULL
+                    WHEN event_id % 11 = 0 THEN '  SUCCESS ' WHEN event_id % 13 = 0 THEN 'success'
+                    ELSE 'Success' END AS success
         FROM events""",
     "flows": """
         SELECT (l_orderkey * 97 + l_linenumber * 3607) % 2592000 AS time,
@@ -21,28 +23,30 @@ RAW = {
                'C' || (l_suppkey % 150) AS src_computer, 'N' || (l_partkey % 100) AS src_port,
                'C' || (l_partkey % 150) AS dst_computer, CAST(l_linenumber AS VARCHAR) AS dst_port,
                CASE l_returnflag WHEN 'A' THEN 6 WHEN 'N' THEN 17 ELSE 1 END AS protocol,
-               CAST(floor(l_quantity) AS BIGINT) AS packet_count,
+               CASE WHEN l_orderkey % 97 <> 0 THEN CAST(floor(l_quantity) AS BIGINT) END AS packet_count,
                CAST(floor(l_extendedprice) AS BIGINT) AS byte_count
-        FROM lineitem""",
+        FROM (FROM lineitem UNION ALL FROM lineitem WHERE l_orderkey % 89 = 0)""",
     "dns": """
         SELECT o_orderkey * 173 % 2592000 AS time, 'C' || (o_custkey % 150) AS src_computer,
                'C' || (o_orderkey * 13 % 150) AS resolved_computer
         FROM orders""",
     "proc": """
         SELECT date_diff('second', TIMESTAMP '2024-01-01', ts) AS time, 'U' || user_id || '@D1' AS user_domain,
-               'C' || user_id AS computer, 'P' || (event_id % 40) AS process_name,
-               CASE WHEN event_id % 2 = 0 THEN 'Start' ELSE 'End' END AS event_type
-        FROM events""",
+               'C' || user_id AS computer,
+               CASE WHEN event_id % 17 = 0 THEN '  ' ELSE '' END || 'P' || (event_id % 40)
+                 || CASE WHEN event_id % 19 = 0 THEN ' ' ELSE '' END AS process_name,
+               CASE WHEN event_id % 2 = 0 THEN ' start' ELSE 'End' END AS event_type
+        FROM (FROM events UNION ALL FROM events WHERE event_id % 101 = 0)""",
     "redteam": """
         SELECT date_diff('second', TIMESTAMP '2024-01-01', ts) AS time, 'U' || user_id || '@D1' AS user_domain,
                'C' || user_id AS src_computer, 'C' || (event_id * 31 % 150) AS dst_computer
         FROM events WHERE event_type = 'error' AND value > 150""",
 }
 CLEAN = {
-    "auth": "SELECT *, CASE WHEN upper(trim(success)) = 'SUCCESS' THEN 1 ELSE 0 END AS success_flag FROM raw_auth",
+    "auth": "SELECT * REPLACE (trim(success) AS success), CASE WHEN upper(trim(success)) = 'SUCCESS' THEN 1 ELSE 0 END AS success_flag FROM raw_auth",
     "flows": "SELECT * FROM raw_flows",
     "dns": "SELECT * FROM raw_dns",
-    "proc": "SELECT * REPLACE (upper(trim(event_type)) AS event_type) FROM raw_proc",
+    "proc": "SELECT * REPLACE (upper(trim(event_type)) AS event_type, trim(process_name) AS process_name) FROM raw_proc",
     "redteam": "SELECT *, 1 AS redteam_flag FROM raw_redteam",
 }
 WINDOW = "CAST(floor(time / 3600) AS BIGINT) AS time_window"
@@ -298,13 +302,13 @@ REPORT = [
 ]
 SCALED = ["auth_total_events", "flows_total_bytes", "dns_lookup_count"]
 IMPUTED = ["flows_out_mean_bytes", "flows_in_mean_bytes", "flows_out_mean_packets"]
-UNPIVOTED = ", ".join(f"'{c}', {c}" for c in COUNTS[:2])
 
 
 def oracle_sql() -> dict[str, str]:
     sql = {f"clean_{n}": query(logs(n), f"SELECT * FROM {n}") for n in RAW}
     sql["raw_scan"] = sql["clean_auth"]
-    sql["trim_strings"] = query(logs("proc"), "SELECT * FROM raw_proc")
+    sql["trim_strings"] = query(
+        logs("proc"), "SELECT * REPLACE (trim(event_type) AS event_type, trim(process_name) AS process_name) FROM raw_proc")
     sql["success_flag_if_missing"] = query(logs("auth"), "SELECT *, 1 - success_flag AS failure_flag FROM auth")
     sql["coerce_numeric"] = query(logs("flows"), """SELECT time, TRY_CAST(src_port AS DOUBLE) AS src_port,
         TRY_CAST(dst_port AS DOUBLE) AS dst_port, CAST(byte_count AS DOUBLE) AS byte_count FROM flows""")

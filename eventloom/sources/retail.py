@@ -1,6 +1,7 @@
 """The five event logs, read from a retail schema plus a click stream.
 
-Gives real tables of any size to run the pipeline on where the security logs themselves are not at hand.
+Gives real tables of any size to run the pipeline on where the security logs themselves are not at hand. Some rows repeat,
+some text has blanks around it or another case, some outcomes and numbers are unknown.
 """
 
 from __future__ import annotations
@@ -21,7 +22,8 @@ _LOGS = {
         "auth_type": "CASE event_id % 3 WHEN 0 THEN 'Kerberos' WHEN 1 THEN 'NTLM' ELSE '?' END",
         "logon_type": "'Network'",
         "auth_orientation": "'LogOn'",
-        "success": "if(event_type = 'error', 'Fail', 'Success')",
+        "success": "CASE WHEN event_type = 'error' THEN 'Fail' WHEN event_id % 53 = 0 THEN NULL "
+                   "WHEN event_id % 11 = 0 THEN '  SUCCESS ' WHEN event_id % 13 = 0 THEN 'success' ELSE 'Success' END",
     }),
     "flows": ("lineitem", None, {
         "time": "(l_orderkey * 97 + l_linenumber * 3607) % 2592000",
@@ -31,7 +33,7 @@ _LOGS = {
         "dst_computer": "concat('C', l_partkey % 150)",
         "dst_port": "cast(l_linenumber AS STRING)",
         "protocol": "CASE l_returnflag WHEN 'A' THEN 6 WHEN 'N' THEN 17 ELSE 1 END",
-        "packet_count": "cast(floor(l_quantity) AS BIGINT)",
+        "packet_count": "if(l_orderkey % 97 = 0, NULL, cast(floor(l_quantity) AS BIGINT))",
         "byte_count": "cast(floor(l_extendedprice) AS BIGINT)",
     }),
     "dns": ("orders", None, {
@@ -43,8 +45,8 @@ _LOGS = {
         "time": _SECONDS,
         "user_domain": "concat('U', user_id, '@D1')",
         "computer": "concat('C', user_id)",
-        "process_name": "concat('P', event_id % 40)",
-        "event_type": "if(event_id % 2 = 0, 'Start', 'End')",
+        "process_name": "concat(if(event_id % 17 = 0, '  ', ''), 'P', event_id % 40, if(event_id % 19 = 0, ' ', ''))",
+        "event_type": "if(event_id % 2 = 0, ' start', 'End')",
     }),
     "redteam": ("events", "event_type = 'error' AND value > 150", {
         "time": _SECONDS,
@@ -54,6 +56,9 @@ _LOGS = {
     }),
 }
 
+# Rows that happen twice.
+_REPEATED = {"flows": "l_orderkey % 89 = 0", "proc": "event_id % 101 = 0"}
+
 
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
@@ -64,6 +69,8 @@ def read_log(spark: SparkSession, directory: str, source: str) -> DataFrame:
     rows = table(spark, directory, name)
     if condition:
         rows = rows.filter(condition)
+    if source in _REPEATED:
+        rows = rows.unionAll(rows.filter(_REPEATED[source]))
     return rows.select(*[F.expr(text).alias(column) for column, text in columns.items()])
 
 
