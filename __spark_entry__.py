@@ -99,12 +99,20 @@ def json_report(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def sample_profile(spark: SparkSession, directory: str) -> DataFrame:
-    return union_all([inspect.sample_profile(df, s) for s, df in _logs(spark, directory).items()])
+    """What does not depend on which rows come first."""
+    found = union_all([inspect.sample_profile(df, s) for s, df in _logs(spark, directory).items()])
+    return found.select("table_name", "column_name", "data_type", "sampled_rows")
 
 
 def random_sample(spark: SparkSession, directory: str) -> DataFrame:
-    sampled = {s: raw.random_rows(df).agg(F.count("*").alias("sampled_rows")) for s, df in _logs(spark, directory).items()}
-    return _tagged(sampled)
+    """The size of each sample, and whether it is within five deviations of the expected one."""
+    share = raw.SAMPLE_FRACTION
+    found = {}
+    for s, df in _logs(spark, directory).items():
+        sizes = raw.random_rows(df).agg(F.count("*").alias("sampled")).crossJoin(df.agg(F.count("*").alias("total_rows")))  # one row each
+        spread = 5 * F.sqrt(F.col("total_rows") * share * (1 - share))
+        found[s] = sizes.select("total_rows", (F.abs(F.col("sampled") - share * F.col("total_rows")) <= spread).alias("as_expected"))
+    return _tagged(found)
 
 
 # --- columns -------------------------------------------------------------------------------------------------------
@@ -178,8 +186,29 @@ def _value_counts(spark: SparkSession, directory: str) -> DataFrame:
     return _tagged({t: quality.top_values(_log(spark, directory, t), list(cs)) for t, cs in oracles.VALUE_COUNTS.items()})
 
 
-def _distinct_counts(approx: bool) -> Query:
-    return lambda spark, d: quality.distinct_counts(_logs(spark, d), oracles.DISTINCT_COLUMNS, approx)
+def _distinct_counts(spark: SparkSession, directory: str) -> DataFrame:
+    return quality.distinct_counts(_logs(spark, directory), oracles.DISTINCT_COLUMNS)
+
+
+def _approximate_counts(spark: SparkSession, directory: str) -> DataFrame:
+    """Exact counts, and whether the approximate ones are within three of their deviations (5 % each)."""
+    logs, key = _logs(spark, directory), ["table_name", "column_name"]
+    near = quality.distinct_counts(logs, oracles.DISTINCT_COLUMNS, approx=True).withColumnRenamed("distinct_count", "near")
+    both = quality.distinct_counts(logs, oracles.DISTINCT_COLUMNS).join(near, key)
+    off = F.abs(F.col("near") - F.col("distinct_count"))
+    return both.select(*key, "distinct_count", (off <= 0.15 * F.col("distinct_count")).alias("within_error"))
+
+
+def _approximate_quantiles(df: DataFrame, source: str) -> DataFrame:
+    """Whether the rank of each sketched quantile is within 0.2 % of the rows of the one asked for."""
+    found = quality.quantiles(df, exact=False).unpivot(["column_name"], list(quality.QUANTILES), "metric", "value").collect()  # five a column
+    cells = []
+    for r in found:
+        p, value = quality.QUANTILES[r.metric], F.col(r.column_name)
+        below, upto, n = F.count_if(value < r.value), F.count_if(value <= r.value), F.count(value)
+        within = (below <= (p + 0.002) * n) & (upto >= (p - 0.002) * n)
+        cells.append(F.struct(F.lit(r.column_name).alias("column_name"), F.lit(r.metric).alias("metric"), within.alias("within_error")))
+    return df.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
 
 
 def _summary(spark: SparkSession, directory: str) -> DataFrame:
@@ -314,7 +343,7 @@ QUERIES: dict[str, Query] = {
     "dq_time_horizon": _per_log(lambda df, s: quality.time_horizon(df)),
     "dq_numeric": _per_log(lambda df, s: quality.numeric_moments(df), 6),
     "dq_quantiles_exact": _per_log(lambda df, s: quality.quantiles(df), 6),
-    "dq_quantiles_approx": _per_log(lambda df, s: quality.quantiles(df, exact=False)),
+    "dq_quantiles_approx": _per_log(_approximate_quantiles),
     "dq_skew": _per_log(lambda df, s: quality.skewness(df), 6),
     "dq_source_overlap": _coverage,
     "dq_feature_horizon": _on_features(lambda table: quality.window_coverage({"features": table})),
@@ -322,8 +351,8 @@ QUERIES: dict[str, Query] = {
     "dq_flag_distribution": _on_features(lambda table: quality.distribution(table, "redteam_current_flag")),
     "dq_value_counts": _value_counts,
     "dq_event_types": lambda spark, d: quality.distribution(_log(spark, d, "proc"), "event_type"),
-    "dq_distinct_counts": _distinct_counts(approx=False),
-    "dq_distinct_counts_approx": _distinct_counts(approx=True),
+    "dq_distinct_counts": _distinct_counts,
+    "dq_distinct_counts_approx": _approximate_counts,
     "dq_summary": _summary,
     "dq_log_reports": _log_reports,
     "dq_feature_report": _on_features(_feature_report),

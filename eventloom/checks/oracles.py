@@ -375,6 +375,17 @@ def oracle_sql() -> dict[str, str]:
     sql["dq_event_types"] = query(logs("proc"), "SELECT event_type, count(*) AS count FROM proc GROUP BY ALL")
     sql["dq_distinct_counts"] = query(logs(), per_column(
         DISTINCT_COLUMNS, "SELECT '{t}' AS table_name, '{c}' AS column_name, count(DISTINCT {c}) AS distinct_count FROM {t}"))
+    sql["dq_distinct_counts_approx"] = query(logs(), per_column(
+        DISTINCT_COLUMNS,
+        "SELECT '{t}' AS table_name, '{c}' AS column_name, count(DISTINCT {c}) AS distinct_count, TRUE AS within_error FROM {t}"))
+    sql["dq_quantiles_approx"] = query(logs(), per_column(
+        NUMBERS, """SELECT '{t}' AS table_name, '{c}' AS column_name, unnest(['q01', 'q25', 'median', 'q75', 'q99']) AS metric,
+        TRUE AS within_error"""))
+    sql["random_sample"] = query(logs(), per_log(
+        "SELECT '{t}' AS table_name, count(*) AS total_rows, TRUE AS as_expected FROM {t}"))
+    sql["sample_profile"] = query(logs(), per_column(COLUMNS, """SELECT '{t}' AS table_name, '{c}' AS column_name,
+        CASE any_value(typeof({c})) WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' ELSE 'string' END AS data_type,
+        least(count(*), 100000) AS sampled_rows FROM {t}"""))
     sql["dq_summary"] = query(logs("flows"), per_column(
         {"flows": ["time", "duration", "packet_count", "byte_count"]}, SUMMARY))
     sql["dq_feature_report"] = query(
