@@ -220,7 +220,8 @@ def grouped(documents: DataFrame, text: str = "text", threshold: float = THRESHO
     sizes = found.groupBy("component").agg(F.count("*").alias("members"))
     wanted = stage(found.join(sizes, "component").join(classes.drop("nodes"), "class"), "candidates")
     same = [source["doc_id"].eqNullSafe(wanted["doc_id"]), source["text_hash"] == wanted["text_hash"]]
-    texts = source.join(wanted, same).select("class", "component", "members", "text")
+    # candidates grow with the input: no broadcast at any size
+    texts = source.join(wanted.hint("merge"), same).select("class", "component", "members", "text")
     shares = stage(verified(texts, threshold), "links")
     links = shares.groupBy("class").agg(F.sum("links").alias("links"))
     edges = shares.filter("class <> root").select(F.col("class").alias("a"), F.col("root").alias("b"))
