@@ -52,6 +52,7 @@ PIECE = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/<>]*)([^<>]*)>",
     re.S | re.I,
 )
+CUT_OFF = re.compile(r"<[a-zA-Z/!?][^>]*\Z")  # a tag without its end
 MARKS = re.compile(r"(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 CLASS = re.compile(r"class\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？।؟]")
@@ -129,8 +130,7 @@ def _blocks(page: str) -> list[tuple[str, str]]:
             out = out or tag not in ("html", "body", "article", "main") and not MARKED.isdisjoint(marks)
             label = CLASS.search(rest) if rest else None
             stack.append((tag, f"{tag}.{label[1].strip(chr(34) + chr(39))}" if label else tag, out, article))
-    if not page[at:].lstrip().startswith("<"):  # else a tag that was cut off
-        add(page[at:])
+    add(CUT_OFF.sub("", page[at:]))
     flush()
     return blocks
 
