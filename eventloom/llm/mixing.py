@@ -27,7 +27,7 @@ from eventloom.llm.common import BLANK, WORD, n_words, stage
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
-BLOCK = 64
+BLOCK = 32
 SHARD = 4096
 CHUNK_ROWS = 1000
 ROUNDS = 8
@@ -187,5 +187,6 @@ def remixed(documents: DataFrame, text: str = "text") -> DataFrame:
     words = F.regexp_extract_all(F.col(text), F.lit(rf"[{BLANK}]*{WORD}"), F.lit(0)).alias("__words")
     joined = named.join(parts, "__key").select(*documents.columns, "__parts", words)
     piece = lambda p: F.array_join(F.slice("__words", (p["low"] + 1).cast("int"), (p["high"] - p["low"] + 1).cast("int")), "")
-    taken = F.transform("__parts", lambda p: F.repeat(piece(p), p["uses"].cast("int")))
-    return joined.withColumn(text, F.array_join(taken, "")).select(*documents.columns)
+    apart = lambda t: F.when(t.rlike(f"^[{BLANK}]"), t).otherwise(F.concat(F.lit(" "), t))
+    taken = F.transform("__parts", lambda p: F.repeat(apart(piece(p)), p["uses"].cast("int")))
+    return joined.withColumn(text, F.ltrim(F.array_join(taken, ""))).select(*documents.columns)

@@ -213,7 +213,7 @@ def test_targets_and_taken_words(lab, table):
         assert r.target == pytest.approx(want[source[r.doc_id]], rel=1e-9)
         taken[source[r.doc_id]] += r.taken
     for s, n in want.items():
-        assert abs(taken[s] - n) <= mixing.BLOCK
+        assert abs(taken[s] - n) <= 1.5 * mixing.BLOCK  # half a block by rounding, one by the last block
     assert sorted(map(tuple, mixing.mixed(docs.repartition(7)).collect())) == sorted(map(tuple, rows))
 
 
