@@ -142,6 +142,20 @@ def test_fertility_bands_reject_what_no_language_looks_like(lab):
     assert not kept[999] and sum(kept.values()) >= 0.98 * (len(kept) - 1)
 
 
+@pytest.mark.parametrize("n", [1, 30, 199, 200])
+def test_a_rare_language_has_its_own_bands(lab, n):
+    nouns = "people house water music river stone light paper green north table cloud reader word day number window garden letter".split()
+    common = [(i, " ".join(random.Random(i).choices(nouns, k=80)), "en") for i in range(300)]
+    han = ["".join(chr(0x4E00 + 37 * a + 11 * b) for b in range(2 + a % 2)) for a in range(60)]
+    rare = [(1000 + i, " ".join(random.Random(i).choices(han, k=80)), lang) for i in range(n) for lang in ("zh", None)]
+    odd = [(999, " ".join(hashlib.sha256(str(k).encode()).hexdigest()[:12] for k in range(80)), "zh")] if n > 1 else []
+    rows = fertility.judged(lab.createDataFrame([*common, *rare, *odd], "doc_id long, text string, lang string")).collect()
+    assert all(r.kept for r in rows if r.doc_id >= 1000 and not r.base_failed)
+    assert not any(r.kept for r in rows if r.doc_id == 999)
+    alone = fertility.judged(lab.createDataFrame([*rare, *odd], "doc_id long, text string, lang string")).collect()
+    assert sorted((r.doc_id, r.kept) for r in alone) == sorted((r.doc_id, r.kept) for r in rows if r.doc_id >= 999)
+
+
 def test_fertility_of_odd_rows_and_of_none(odd, none):
     rows = fertility.judged(odd).collect()
     assert len(rows) == odd.count()
