@@ -156,6 +156,22 @@ def test_a_rare_language_has_its_own_bands(lab, n):
     assert sorted((r.doc_id, r.kept) for r in alone) == sorted((r.doc_id, r.kept) for r in rows if r.doc_id >= 999)
 
 
+@pytest.mark.parametrize("n_words", [20, 45, 49, 50])
+def test_short_texts_are_judged_as_well(lab, n_words):
+    nouns = "people house water music river stone light paper green north table cloud reader word day number window garden letter".split()
+    signs = [chr(c) for c in range(0x430, 0x450)]
+    good = [(i, " ".join(random.Random(i).choices(nouns, k=80))) for i in range(300)]
+    short = [(1000 + i, " ".join(random.Random(i).choices(nouns, k=n_words))) for i in range(100)]
+    hexes = (1, " ".join(hashlib.sha256(str(k).encode()).hexdigest()[:12] for k in range(n_words)))
+    mojibake = (2, " ".join("".join(random.Random(k).choices(signs, k=6)).encode().decode("latin-1") for k in range(n_words)))
+    odd = [(2000 + i, text) for i, text in (hexes, mojibake)]
+    rows = fertility.judged(lab.createDataFrame([(i, t, "en") for i, t in [*good, *short, *odd]], "doc_id long, text string, lang string")).collect()
+    kept = {r.doc_id: r.kept for r in rows if not r.base_failed}
+    assert not kept[2001] and not kept[2002]
+    clean = [k for i, k in kept.items() if 1000 <= i < 2000]
+    assert len(clean) >= 90 and sum(clean) >= 0.97 * len(clean)
+
+
 def test_fertility_of_odd_rows_and_of_none(odd, none):
     rows = fertility.judged(odd).collect()
     assert len(rows) == odd.count()
