@@ -5,6 +5,10 @@ the ratio of its text to its blocks, and of its punctuation to its blocks. Artic
 blocks; menus and labels have short ones. Both ratios are fused, smoothed over neighbouring blocks in page order, and
 averaged per path; paths over a part of the page's mean are content, with all their blocks, short ones included.
 
+Content paths also show where the article is: the deepest element with nearly all of their text, or the article (else main)
+around it, or else its parents as long as they add no block of links. All its blocks are kept (headlines, bylines, lists,
+tables, code), but for blocks of links that lie in no article or main.
+
 Elements that by their name or class hold no article (menus, footers, sidebars, adverts, forms, comments, scripts, ...)
 give no blocks. A block whose text is mostly links counts under a path of its own.
 
@@ -59,21 +63,24 @@ PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？।؟]")
 
 #: A path is content from this part of the page's mean on.
 PART = 0.15
+#: An element that holds the article has this part of the content's text at least.
+NEARLY = 0.9
 #: Weight of a block's neighbours in page order.
 NEIGHBOUR = 0.5
 
 
-def _blocks(page: str) -> list[tuple[str, str]]:
-    """(path, text) of every block that may be an article's."""
-    stack: list[tuple[str, str, bool, bool]] = []  # tag, step of the path, left out, inside an article
-    blocks, words, linked, total = [], [], 0, 0
+def _blocks(page: str) -> tuple[list[tuple[str, str, int]], list[tuple[int, str]]]:
+    """(path, text, element) of every block that may be an article's, and (parent, tag) of every element."""
+    stack: list[tuple[str, str, bool, bool, int]] = []  # tag, step of the path, left out, inside an article, element
+    blocks, words, linked, total, elements = [], [], 0, 0, [(-1, "")]
 
     def flush():
         nonlocal words, linked, total
         text = " ".join("".join(words).split())
         if text:
-            steps = [step for tag, step, _, _ in stack if tag not in INLINE]
-            blocks.append(("/".join(steps) + ("/a" if 2 * linked > total else ""), text))
+            steps = [step for tag, step, _, _, _ in stack if tag not in INLINE]
+            element = next((e[4] for e in reversed(stack) if e[0] not in INLINE), 0)
+            blocks.append(("/".join(steps) + ("/a" if 2 * linked > total else ""), text, element))
         words, linked, total = [], 0, 0
 
     def add(raw: str):
@@ -83,20 +90,20 @@ def _blocks(page: str) -> list[tuple[str, str]]:
             words.append(text)
             size = len(text.strip())
             total += size
-            if any(tag == "a" for tag, _, _, _ in stack):
+            if any(e[0] == "a" for e in stack):
                 linked += size
 
     def close(tag: str):
         for i in range(len(stack) - 1, -1, -1):
             if stack[i][0] == tag:
-                if any(t not in INLINE for t, _, _, _ in stack[i:]):
+                if any(e[0] not in INLINE for e in stack[i:]):
                     flush()
                 del stack[i:]
                 return
 
     def end_before(tag: str):
         """End the elements that a start tag ends without saying so."""
-        if tag in PARAGRAPH_ENDS and any(t == "p" for t, _, _, _ in stack):
+        if tag in PARAGRAPH_ENDS and any(e[0] == "p" for e in stack):
             close("p")
         for i in range(len(stack) - 1, -1, -1):
             if stack[i][0] in SIBLINGS.get(tag, ()):
@@ -123,35 +130,73 @@ def _blocks(page: str) -> list[tuple[str, str]]:
             if tag not in INLINE:
                 end_before(tag)
                 flush()
-            parent = stack[-1] if stack else ("", "", False, False)
+            parent = stack[-1] if stack else ("", "", False, False, 0)
             article = parent[3] or tag in ("article", "main")
             marks = {w.lower() for v in MARKS.findall(rest) for w in re.split(r"[^A-Za-z]+", v)} if rest else set()
             out = parent[2] or tag in OUTSIDE or tag == "header" and not article
             out = out or tag not in ("html", "body", "article", "main") and not MARKED.isdisjoint(marks)
             label = CLASS.search(rest) if rest else None
-            stack.append((tag, f"{tag}.{label[1].strip(chr(34) + chr(39))}" if label else tag, out, article))
+            stack.append((tag, f"{tag}.{label[1].strip(chr(34) + chr(39))}" if label else tag, out, article, len(elements)))
+            elements.append((parent[4], tag))
     add(CUT_OFF.sub("", page[at:]))
     flush()
-    return blocks
+    return blocks, elements
+
+
+def _around(element: int, elements: list[tuple[int, str]]) -> list[int]:
+    """An element and those around it, from the inside."""
+    found = []
+    while element >= 0:
+        found.append(element)
+        element = elements[element][0]
+    return found
+
+
+def _container(blocks, content: list[bool], elements: list[tuple[int, str]]) -> int:
+    """The element that holds the article."""
+    held, links = defaultdict(int), defaultdict(int)
+    for (path, text, element), good in zip(blocks, content):
+        for e in _around(element, elements):
+            held[e] += good * len(text)
+            links[e] += path.endswith("/a") and not good
+    # elements are numbered from the outside; those that hold nearly all lie within each other
+    inner = max(e for e, size in held.items() if size >= NEARLY * held[0])
+    around = _around(inner, elements)
+    for tag in ("article", "main"):
+        for e in around:
+            if elements[e][1] == tag:
+                return e
+    for e in around[1:]:
+        if links[e] > links[inner]:
+            break
+        inner = e
+    return inner
 
 
 def main_text(page: str) -> str:
-    blocks = _blocks(page)
+    blocks, elements = _blocks(page)
     if not blocks:
         return ""
     size, marks, count = defaultdict(int), defaultdict(int), defaultdict(int)
-    for path, text in blocks:
+    for path, text, _ in blocks:
         size[path] += len(text)
         marks[path] += len(PUNCTUATION.findall(text))
         count[path] += 1
-    fused = [size[p] / count[p] * (1 + marks[p] / count[p]) for p, _ in blocks]
+    fused = [size[p] / count[p] * (1 + marks[p] / count[p]) for p, _, _ in blocks]
     padded = [fused[0], *fused, fused[-1]]
     smooth = [(v + NEIGHBOUR * (a + b)) / (1 + 2 * NEIGHBOUR) for a, v, b in zip(padded, fused, padded[2:])]
     by_path = defaultdict(float)
-    for (path, _), value in zip(blocks, smooth):
+    for (path, _, _), value in zip(blocks, smooth):
         by_path[path] += value / count[path]
-    bar = PART * sum(v * len(text) for v, (_, text) in zip(smooth, blocks)) / sum(len(text) for _, text in blocks)
-    return "\n\n".join(text for path, text in blocks if by_path[path] >= bar)
+    bar = PART * sum(v * len(text) for v, (_, text, _) in zip(smooth, blocks)) / sum(len(text) for _, text, _ in blocks)
+    content = [by_path[path] >= bar for path, _, _ in blocks]
+    container = _container(blocks, content, elements)
+
+    def kept(path: str, element: int) -> bool:
+        around = _around(element, elements)
+        return container in around and (not path.endswith("/a") or any(elements[e][1] in ("article", "main") for e in around))
+
+    return "\n\n".join(text for (path, text, element), good in zip(blocks, content) if good or kept(path, element))
 
 
 def extract(pages: DataFrame, column: str = "html") -> DataFrame:

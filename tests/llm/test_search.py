@@ -78,6 +78,20 @@ def test_link_lists_without_names_are_dropped():
     assert pages.main_text(f"<body>{links}{text}</body>") == "\n\n".join(f"Paragraph {i} has words, and commas, and an end." for i in range(4))
 
 
+@pytest.mark.parametrize("wrap", ["<article>{}</article>", "<div class='post'>{}</div>", "<main><div>{}</div></main>", "{}"])
+def test_short_blocks_of_an_article_stay(wrap):
+    long = " ".join(["words of a sentence that goes on for a while,"] * 10) + " end."
+    items = [f"item {i} of the list without any sign at all" for i in range(8)]
+    inner = (
+        f"<h1>A headline of about forty characters here</h1><p class=byline>By A. Writer, today</p><p>{long}</p>"
+        f"<ul>{''.join(f'<li>{x}</li>' for x in items)}</ul><blockquote>Short quote</blockquote><pre>x = 1</pre>"
+        "<table><tr><th>Year</th><td>1999</td></tr></table>"
+    )
+    links = "".join(f"<div><a href='/{i}'>Story {i}</a></div>" for i in range(9))
+    want = ["A headline of about forty characters here", "By A. Writer, today", long, *items, "Short quote", "x = 1", "Year", "1999"]
+    assert pages.main_text(f"<body>{links}{wrap.format(inner)}{links}<footer>us</footer></body>") == "\n\n".join(want)
+
+
 def test_op9_equals_the_articles(lab):
     import html
     import re
