@@ -10,7 +10,9 @@ around it, or else its parents as long as they add no block of links. All its bl
 tables, code), but for blocks of links that lie in no article or main.
 
 Elements that by their name or class hold no article (menus, footers, sidebars, adverts, forms, comments, scripts, ...)
-give no blocks. A block whose text is mostly links counts under a path of its own.
+give no blocks. A class or id holds no article by its mark alone, though: the elements around the page's article (else main;
+the largest outside marks, or else the largest) stay, and so do those with MOST of its paragraphs' text, or of the page's where
+there is none; NEARLY all of it where a whole name is a mark, not a part (`comments`, not `with-comments`). A block whose text is mostly links counts under a path of its own.
 
 Null and empty pages give the empty text. A page without tags is one block. Unclosed tags end with their parent, or where
 HTML lets them end. Repeated pages are read each for itself; very long ones are read whole.
@@ -65,14 +67,18 @@ PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？।؟]")
 PART = 0.15
 #: An element that holds the article has this part of the content's text at least.
 NEARLY = 0.9
+MOST = 0.5
 #: Weight of a block's neighbours in page order.
 NEIGHBOUR = 0.5
 
 
-def _blocks(page: str) -> tuple[list[tuple[str, str, int]], list[tuple[int, str]]]:
-    """(path, text, element) of every block that may be an article's, and (parent, tag) of every element."""
+def _blocks(page: str) -> tuple[list[tuple[str, str, int]], list[tuple[int, str, int]]]:
+    """(path, text, element) of every block that may be an article's, and (parent, tag, mark) of every element.
+
+    A mark is 2 where a whole class, id or role is one, and 1 where a part of it is.
+    """
     stack: list[tuple[str, str, bool, bool, int]] = []  # tag, step of the path, left out, inside an article, element
-    blocks, words, linked, total, elements = [], [], 0, 0, [(-1, "")]
+    blocks, words, linked, total, elements = [], [], 0, 0, [(-1, "", 0)]
 
     def flush():
         nonlocal words, linked, total
@@ -132,18 +138,20 @@ def _blocks(page: str) -> tuple[list[tuple[str, str, int]], list[tuple[int, str]
                 flush()
             parent = stack[-1] if stack else ("", "", False, False, 0)
             article = parent[3] or tag in ("article", "main")
-            marks = {w.lower() for v in MARKS.findall(rest) for w in re.split(r"[^A-Za-z]+", v)} if rest else set()
+            names = {n.lower() for v in MARKS.findall(rest) for n in v.strip("\"'").split()} if rest else set()
+            parts = {w for n in names for w in re.split(r"[^a-z]+", n)}
+            mark = 0 if tag in ("html", "body") or MARKED.isdisjoint(parts) else 1 if MARKED.isdisjoint(names) else 2
             out = parent[2] or tag in OUTSIDE or tag == "header" and not article
-            out = out or tag not in ("html", "body", "article", "main") and not MARKED.isdisjoint(marks)
+            out = out or tag in INLINE and mark > 0
             label = CLASS.search(rest) if rest else None
             stack.append((tag, f"{tag}.{label[1].strip(chr(34) + chr(39))}" if label else tag, out, article, len(elements)))
-            elements.append((parent[4], tag))
+            elements.append((parent[4], tag, mark))
     add(CUT_OFF.sub("", page[at:]))
     flush()
-    return blocks, elements
+    return _unmarked(blocks, elements), elements
 
 
-def _around(element: int, elements: list[tuple[int, str]]) -> list[int]:
+def _around(element: int, elements: list[tuple[int, str, int]]) -> list[int]:
     """An element and those around it, from the inside."""
     found = []
     while element >= 0:
@@ -152,7 +160,30 @@ def _around(element: int, elements: list[tuple[int, str]]) -> list[int]:
     return found
 
 
-def _container(blocks, content: list[bool], elements: list[tuple[int, str]]) -> int:
+def _unmarked(blocks, elements: list[tuple[int, str, int]]):
+    """The blocks that no mark leaves out."""
+    marked = {e for e, (_, tag, mark) in enumerate(elements) if mark and tag not in ("article", "main")}
+    if not marked:
+        return blocks
+    chains = [_around(element, elements) for _, _, element in blocks]
+    prose = defaultdict(int)
+    for (_, text, _), chain in zip(blocks, chains):
+        for e in chain:
+            prose[e] += len(text) * any(elements[x][1] == "p" for x in chain)
+    root, stays = 0, set()
+    for tag in ("article", "main"):
+        found = [e for e in prose if elements[e][1:] == (tag, 0)]
+        if found:
+            root = max(found, key=lambda e: (marked.isdisjoint(_around(e, elements)), prose[e], -e))
+            stays.update(_around(root, elements))
+            break
+    for e in marked - stays:
+        if prose[root] and prose[e] >= (NEARLY if elements[e][2] == 2 else MOST) * prose[root] and root in _around(e, elements):
+            stays.add(e)
+    return [block for block, chain in zip(blocks, chains) if marked.isdisjoint(x for x in chain if x not in stays)]
+
+
+def _container(blocks, content: list[bool], elements: list[tuple[int, str, int]]) -> int:
     """The element that holds the article."""
     held, links = defaultdict(int), defaultdict(int)
     for (path, text, element), good in zip(blocks, content):

@@ -92,6 +92,28 @@ def test_short_blocks_of_an_article_stay(wrap):
     assert pages.main_text(f"<body>{links}{wrap.format(inner)}{links}<footer>us</footer></body>") == "\n\n".join(want)
 
 
+@pytest.mark.parametrize(
+    "wrap",
+    [
+        "<div class='content has-sidebar'><article>{}</article></div>", "<div class='layout no-sidebar'><div>{}</div></div>",
+        "<section id='social-history'>{}</section>", "<div class='page with-comments'><main>{}</main></div>", "<div class=widget>{}</div>",
+        "<article><div class='no-sidebar'>{}</div></article>",
+    ],
+)
+def test_a_mark_does_not_take_the_article(wrap):
+    texts = ["The headline", *[f"Paragraph {i} has words, and commas, and an end." for i in range(12)]]
+    inner = "<h1>The headline</h1>" + "".join(f"<p>{t}</p>" for t in texts[1:]) + "<div class='social-links'>Tell them, all of them</div>"
+    ad = "<div class='ad-box'><p>Buy now, cheap, today!</p></div>"
+    assert pages.main_text(f"<body>{ad}{wrap.format(inner)}{ad}</body>") == "\n\n".join(texts)
+
+
+def test_comments_longer_than_the_article_are_left_out():
+    comments = "<article class='comment'><p>A reader wrote this, at some length, with commas.</p></article>" * 9
+    for wrap in ("<div class='with-comments'><article>{}</article></div>", "<article>{}</article>"):
+        page = f"<body>{wrap.format('<p>The article, short as it is.</p>')}<section class='comments'>{comments}</section></body>"
+        assert pages.main_text(page) == "The article, short as it is."
+
+
 def test_op9_equals_the_articles(lab):
     import html
     import re
