@@ -7,7 +7,8 @@ candidates than a few can still reach the k-th best lower bound, reading stops a
 
 On Spark, candidates are dealt into blocks and queries into blocks; a task reads the lists of one block for one block of
 queries, all at once, to depths that double. The best k of each pair of blocks are merged per query. A block has a bounded
-size, whatever vectors or ids it holds; copies of one vector are spread over all blocks.
+size, whatever vectors or ids it holds; copies of one vector are spread over all blocks. A query's block follows from its id
+and vector, a candidate's from its place in a table written once, so a task that runs again deals its rows as before.
 
 Components x become floor(256 x). Rows with a null id or vector, or a null or non-finite component, take no part. Only
 vectors of the same length are compared. A query is not its own candidate: rows with its vec_id are left out. Repeated
@@ -22,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from eventloom.llm.common import stage
+
 SCALE = 256
 TOP = 5
 CANDIDATES, QUERIES = 4096, 1024  # in a block, about
@@ -90,18 +93,23 @@ def block_top(query_ids, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarr
     return found
 
 
-def nearest(vectors: DataFrame, is_query, k: int = TOP) -> DataFrame:
-    """query_id, rank, vec_id, score: the k best of all `vectors` for each row that `is_query` (a condition) selects."""
-    usable = quantised(vectors)
-    n, asked = vectors.agg(F.count("*"), F.count(F.when(is_query, 1))).first()
+def dealt(vectors: DataFrame, is_query) -> DataFrame:
+    """vec_id, v, width, asks, part, query_part: each candidate once per block of queries, each query once per block of candidates."""
+    usable = stage(quantised(vectors), "topk-vectors")
+    n, asked = usable.agg(F.count("*"), F.count(F.when(is_query, 1))).first()
     parts, query_parts = 1 + n // CANDIDATES, 1 + asked // QUERIES
     width, number = F.size("v").alias("width"), F.monotonically_increasing_id()
     every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
     candidates = usable.select("vec_id", "v", width, F.lit(False).alias("asks"), (number % parts).cast("int").alias("part"))
     candidates = candidates.withColumn("query_part", every(query_parts))
     queries = usable.filter(is_query).dropDuplicates(["vec_id", "v"])
-    queries = queries.select("vec_id", "v", width, F.lit(True).alias("asks"), (number % query_parts).cast("int").alias("query_part"))
-    queries = queries.withColumn("part", every(parts))
+    hashed = F.pmod(F.xxhash64("vec_id", "v"), F.lit(query_parts)).cast("int")
+    queries = queries.select("vec_id", "v", width, F.lit(True).alias("asks"), every(parts).alias("part"), hashed.alias("query_part"))
+    return candidates.unionByName(queries)
+
+
+def nearest(vectors: DataFrame, is_query, k: int = TOP) -> DataFrame:
+    """query_id, rank, vec_id, score: the k best of all `vectors` for each row that `is_query` (a condition) selects."""
 
     def best(block: pd.DataFrame) -> pd.DataFrame:
         asks = block["asks"].to_numpy()
@@ -112,7 +120,7 @@ def nearest(vectors: DataFrame, is_query, k: int = TOP) -> DataFrame:
             found = block_top(ids[asks], values[asks], ids[~asks], values[~asks], k)
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
 
-    blocks = candidates.unionByName(queries).groupBy("width", "part", "query_part")
+    blocks = dealt(vectors, is_query).groupBy("width", "part", "query_part")
     local = blocks.applyInPandas(best, "query_id BIGINT, vec_id BIGINT, score BIGINT")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return local.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

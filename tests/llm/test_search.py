@@ -56,6 +56,20 @@ def test_vectors_that_take_no_part(lab):
     assert topk.nearest(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_queries_are_dealt_alike_in_any_order(lab, monkeypatch):
+    monkeypatch.setattr(topk, "CANDIDATES", 60)
+    monkeypatch.setattr(topk, "QUERIES", 3)
+    orders = []
+    rows = read(lab, SMALL, "embeddings")
+    for parts in (5, 3):
+        found = topk.dealt(rows.repartition(parts), F.col("vec_id") % 5 == 0)
+        orders.append(sorted(tuple(r) for r in found.filter("asks").select("vec_id", "part", "query_part").collect()))
+        seen = found.filter("NOT asks").groupBy("vec_id").agg(F.countDistinct("part").alias("parts"), F.count("*").alias("times"))
+        blocks = found.agg(F.countDistinct("query_part")).first()[0]
+        assert blocks > 1 and seen.filter((F.col("parts") > 1) | (F.col("times") != blocks)).count() == 0
+    assert orders[0] == orders[1]
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body class="home">
 <header><h1>Site</h1></header><nav><ul><li><a href="/a">A</a></li></ul></nav><div class="cookie-notice">We use cookies, all of them.</div>
 <main><article><h1>The &eacute;vent</h1><p>One   long sentence, with<br>a break and <a href="x">a link</a>; and more of it.
