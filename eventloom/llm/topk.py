@@ -6,7 +6,7 @@ lower bound (what was not read has the list's worst value) and an upper bound (a
 candidates than a few can still reach the k-th best lower bound, reading stops and these few get their final scores.
 
 On Spark, candidates are dealt into blocks and queries into blocks; a task reads the lists of one block for one block of
-queries, all at once, to depths that double. The best k of each pair of blocks are merged per query. A block has a bounded
+queries, all at once, to growing depths. The best k of each pair of blocks are merged per query. A block has a bounded
 size, whatever vectors or ids it holds; copies of one vector are spread over all blocks. A query's block follows from its id
 and vector, a candidate's from its place in a table written once, so a task that runs again deals its rows as before.
 
@@ -29,7 +29,7 @@ SCALE = 256
 TOP = 5
 CANDIDATES, QUERIES = 4096, 1024  # in a block, about
 #: Depths to which lists are read, as parts of a block; after the last one every score is known.
-DEPTHS = (0.25, 0.5, 1.0)
+DEPTHS = (0.5, 0.75, 0.85, 0.9, 0.95, 1.0)
 #: Reading stops once so many candidates are left for each place.
 LEFT = 8
 

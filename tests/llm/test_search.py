@@ -45,6 +45,18 @@ def test_a_block_keeps_ties_and_large_numbers(kind):
         assert found.get(q, []) == [(c, max(-s, -(1 << 63)) if s > 0 else min(-s, (1 << 63) - 1)) for s, c in scored]
 
 
+def test_bounds_stop_most_queries_before_all_is_read(monkeypatch):
+    import pandas as pd
+
+    rows = pd.read_parquet("/root/testdata/sf0.1/embeddings.parquet").dropna()
+    vectors, ids = np.floor(256 * np.stack(rows["embedding"].to_numpy()).astype(float)).astype(np.int64), rows["vec_id"].to_numpy()
+    asked = ids % 50 == 0
+    whole = sorted(topk.block_top(ids[asked], vectors[asked], ids, vectors))
+    monkeypatch.setattr(topk, "DEPTHS", topk.DEPTHS[:-1])
+    found = sorted(topk.block_top(ids[asked], vectors[asked], ids, vectors))
+    assert set(found) <= set(whole) and len(found) >= 0.9 * len(whole) > 0
+
+
 def test_vectors_that_take_no_part(lab):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 2.0]), (0, [1.0, 2.0]), (1, [1.0, None]), (2, [nan, 1.0]), (3, [inf, 1.0]), (4, None), (None, [9.0, 9.0]), (5, [3.0, 1.0]),
