@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm import bytebpe, fertility, jaccard, mixing, ngram, pages, suffix, topk, toxicity, varbyte
+from eventloom.llm import bytebpe, dialogue, fertility, jaccard, mixing, ngram, pages, suffix, topk, toxicity, varbyte
+from eventloom.llm.sql import REPAIR_SQL
 from eventloom.llm.common import crc_of_id, read
 from eventloom.sources.tables import scratch_path
 
@@ -60,6 +61,11 @@ def op10_ngram(spark: SparkSession, directory: str) -> DataFrame:
     return ngram.score(read(spark, directory, "documents"))
 
 
+def op13_dialogue(spark: SparkSession, directory: str) -> DataFrame:
+    turns = dialogue.damaged(read(spark, directory, "conversations"))
+    return dialogue.audits(turns, turns["present"])
+
+
 QUERIES: dict[str, Query] = {
     "op1_fertility": op1_fertility,
     "op2_toxicity": op2_toxicity,
@@ -71,6 +77,7 @@ QUERIES: dict[str, Query] = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_pages": op9_pages,
     "op10_ngram": op10_ngram,
+    "op13_dialogue": op13_dialogue,
 }
 
 TOP_SQL = """
@@ -90,4 +97,4 @@ FROM scored
 QUALIFY rank <= 5
 """
 
-ORACLES: dict[str, str] = {"op3_topk": TOP_SQL}
+ORACLES: dict[str, str] = {"op3_topk": TOP_SQL, "op13_dialogue": REPAIR_SQL}
