@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from eventloom.llm import urls
+
 #: crc32 (polynomial 0xEDB88320) of a list of bytes: `entries` has what each byte does, `crc32(bytes)` folds them.
 CRC_TABLE = """crc_entries AS MATERIALIZED (
     SELECT list_transform(range(256), lambda b: list_reduce(
@@ -94,3 +96,80 @@ FROM (SELECT DISTINCT conv_id FROM conversations) o
 LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
 LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM o.conv_id
 """
+
+
+_RULE_ROWS = ", ".join(f"('{r.verdict}', '{r.host}', '{r.path}')" for r in urls.RULES)
+
+
+def _level(k: int) -> str:
+    """The branches below the nodes of level k - 1, and the shapes that go on there."""
+    key = f"r.host = n{k}.host AND r.node = n{k}.node"
+    return f"""
+c{k} AS MATERIALIZED (
+    SELECT host, node, parts[{k}] AS segment, sum(n) AS n, sum(blocked) AS blocked, sum(allowed) AS allowed
+    FROM r{k - 1} WHERE len(parts) >= {k} GROUP BY ALL
+),
+n{k} AS MATERIALIZED (
+    SELECT *, CASE WHEN n >= {urls.MIN_PAGES} AND {urls.SHARE} * n >= sum(n) OVER (PARTITION BY host, node) THEN segment ELSE '*' END AS name FROM c{k}
+),
+g{k} AS MATERIALIZED (
+    SELECT *, CASE WHEN b + a >= {urls.MIN_LABELLED} THEN (b + a)::DOUBLE END AS labels, CASE WHEN b + a >= {urls.MIN_LABELLED} THEN b / (b + a)::DOUBLE END AS share
+    FROM (SELECT host, node, name, sum(blocked)::BIGINT AS b, sum(allowed)::BIGINT AS a FROM n{k} GROUP BY ALL)
+),
+m{k} AS MATERIALIZED (
+    SELECT *, sum(CASE WHEN alike THEN 0 ELSE 1 END) OVER (PARTITION BY host, node ORDER BY share NULLS LAST, name ROWS UNBOUNDED PRECEDING) AS part
+    FROM (SELECT *, coalesce(share - lag(share) OVER w <= {urls.BOUND!r} * (1 / sqrt(labels) + 1 / sqrt(lag(labels) OVER w)), false) AS alike
+          FROM g{k} WINDOW w AS (PARTITION BY host, node ORDER BY share NULLS LAST, name))
+),
+b{k} AS MATERIALIZED (
+    SELECT host, node, part, array_to_string(list_sort(list(name)), '|') AS branch, sum(b)::BIGINT AS b, sum(a)::BIGINT AS a FROM m{k} GROUP BY ALL
+),
+r{k} AS MATERIALIZED (
+    SELECT r.host, r.shape, r.parts, r.n, r.blocked, r.allowed, r.node || '/' || b.branch AS node,
+           (b.b + {urls.SMOOTHING} * r.purity) / (b.b + b.a + {urls.SMOOTHING}) AS purity, b.b + b.a AS labels
+    FROM r{k - 1} r JOIN n{k} ON {key} AND r.parts[{k}] = n{k}.segment AND len(r.parts) >= {k}
+    JOIN m{k} ON m{k}.host = r.host AND m{k}.node = r.node AND m{k}.name = n{k}.name
+    JOIN b{k} b ON b.host = r.host AND b.node = r.node AND b.part = m{k}.part
+)"""
+
+
+URL_SQL = rf"""
+WITH rules(verdict, host, path) AS (VALUES {_RULE_ROWS}),
+cut AS (
+    SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+),
+parsed AS MATERIALIZED (
+    SELECT row_number() OVER () AS nr, page_id,
+           translate(regexp_extract(coalesce(rest, ''), '\A([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+           regexp_extract(coalesce(rest, ''), '\A[^/?#]*([^?#]*)', 1) AS path
+    FROM cut
+),
+fits AS (
+    SELECT p.nr, arg_max(r.host || r.path, length(r.host || r.path) * 1000 + length(r.host)) AS rule,
+           arg_max(r.verdict, length(r.host || r.path) * 1000 + length(r.host)) AS label
+    FROM parsed p JOIN rules r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path) GROUP BY p.nr
+),
+pages_ AS MATERIALIZED (
+    SELECT p.*, f.rule, f.label, CASE WHEN len(parts) > {urls.DEPTH} THEN parts[1:{urls.DEPTH}] || ['**'] ELSE parts END AS parts
+    FROM (SELECT *, list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''), lambda s: regexp_replace(s, '[0-9]+', '#', 'g')) AS parts FROM parsed) p
+    LEFT JOIN fits f ON f.nr = p.nr
+),
+shapes AS (
+    SELECT host, array_to_string(parts, '/') AS shape, any_value(parts) AS parts, count(*) AS n,
+           count(*) FILTER (label = 'block') AS blocked, count(*) FILTER (label = 'allow') AS allowed
+    FROM pages_ GROUP BY host, shape
+),
+overall AS (SELECT coalesce(sum(blocked) / nullif(sum(blocked) + sum(allowed), 0)::DOUBLE, 0) AS share FROM shapes),
+hosts AS (
+    SELECT host, (sum(blocked) + {urls.SMOOTHING} * any_value(share)) / (sum(blocked) + sum(allowed) + {urls.SMOOTHING}) AS purity,
+           sum(blocked) + sum(allowed) AS labels
+    FROM shapes, overall GROUP BY host
+),
+r0 AS MATERIALIZED (SELECT s.*, '' AS node, purity, labels FROM shapes s JOIN hosts USING (host)),
+{",".join(_level(k) for k in range(1, urls.DEPTH + 2))},
+ended AS ({" UNION ALL ".join(f"SELECT host, shape, node, purity, labels FROM r{k} WHERE len(parts) = {k}" for k in range(urls.DEPTH + 2))})
+SELECT p.page_id, p.host, p.path, p.rule,
+       coalesce(p.label, CASE WHEN e.purity >= {urls.REJECT} AND e.labels >= {urls.MIN_EVIDENCE} THEN 'block' ELSE 'allow' END) AS verdict,
+       e.node AS template, round(e.purity, 6) AS purity
+FROM pages_ p JOIN ended e ON e.host = p.host AND e.shape = array_to_string(p.parts, '/')
+"""
