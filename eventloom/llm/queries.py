@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm import bytebpe, dialogue, fertility, jaccard, mixing, ngram, pages, suffix, topk, toxicity, urls, varbyte
-from eventloom.llm.sql import REPAIR_SQL, URL_SQL
+from eventloom.llm import bytebpe, dialogue, fertility, jaccard, mixing, ngram, pages, spelling, suffix, topk, toxicity, urls, varbyte
+from eventloom.llm.sql import REPAIR_SQL, SPELLING_SQL, URL_SQL
 from eventloom.llm.common import crc_of_id, read
 from eventloom.sources.tables import scratch_path
 
@@ -61,6 +61,10 @@ def op10_ngram(spark: SparkSession, directory: str) -> DataFrame:
     return ngram.score(read(spark, directory, "documents"))
 
 
+def op11_spelling(spark: SparkSession, directory: str) -> DataFrame:
+    return spelling.variants(spelling.words(read(spark, directory, "documents")))
+
+
 def op12_urls(spark: SparkSession, directory: str) -> DataFrame:
     return urls.judged(read(spark, directory, "pages").select("page_id", "url")).drop("url")
 
@@ -81,6 +85,7 @@ QUERIES: dict[str, Query] = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_pages": op9_pages,
     "op10_ngram": op10_ngram,
+    "op11_spelling": op11_spelling,
     "op12_urls": op12_urls,
     "op13_dialogue": op13_dialogue,
 }
@@ -102,4 +107,4 @@ FROM scored
 QUALIFY rank <= 5
 """
 
-ORACLES: dict[str, str] = {"op3_topk": TOP_SQL, "op12_urls": URL_SQL, "op13_dialogue": REPAIR_SQL}
+ORACLES: dict[str, str] = {"op3_topk": TOP_SQL, "op11_spelling": SPELLING_SQL, "op12_urls": URL_SQL, "op13_dialogue": REPAIR_SQL}

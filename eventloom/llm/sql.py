@@ -98,6 +98,44 @@ LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM o.conv_id
 """
 
 
+_POINTS = "list_transform(string_split(doc_id || ':' || run, ''), lambda x: unicode(x)::BIGINT)"
+#: UTF-8 of code points below 0x800.
+_UTF8 = f"flatten(list_transform({_POINTS}, lambda p: CASE WHEN p < 128 THEN [p] ELSE [192 | (p >> 6), 128 | (p & 63)] END))"
+
+SPELLING_SQL = f"""
+WITH RECURSIVE {CRC_TABLE},
+runs AS MATERIALIZED (
+    SELECT coalesce(doc_id::VARCHAR, '') AS doc_id, run, count(*) AS times FROM (
+        SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\u00c0-\u00ff]{{7,}}')),
+                                 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents)
+    GROUP BY ALL
+),
+coded AS (SELECT run, times, {crc32(_UTF8)} AS code FROM runs, crc_entries),
+spoilt AS (
+    SELECT times, CASE WHEN code % 31 = 0 THEN left(run, code % length(run)) || substr(run, code % length(run) + 2) ELSE run END AS word FROM coded
+),
+vocabulary AS MATERIALIZED (SELECT word, sum(times)::BIGINT AS n FROM spoilt WHERE length(word) >= 7 GROUP BY word HAVING sum(times) >= 2),
+shorter AS MATERIALIZED (SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM vocabulary)),
+near AS MATERIALIZED (
+    SELECT DISTINCT * FROM (
+        SELECT a.word, b.word AS near, b.n AS near_n FROM shorter a JOIN shorter b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+        UNION ALL SELECT a.word, v.word, v.n FROM shorter a JOIN vocabulary v ON v.word = a.rest
+        UNION ALL SELECT v.word, a.word, a.n FROM shorter a JOIN vocabulary v ON v.word = a.rest)
+),
+best AS (SELECT word, near, near_n FROM near QUALIFY row_number() OVER (PARTITION BY word ORDER BY near_n DESC, near) = 1),
+forms AS MATERIALIZED (
+    SELECT v.word, v.n, coalesce(k.n_near, 0)::BIGINT AS n_near, CASE WHEN b.near_n >= 10 * v.n THEN b.near END AS form,
+           CASE WHEN b.near_n >= 10 * v.n THEN b.near_n END AS form_n
+    FROM vocabulary v LEFT JOIN best b USING (word) LEFT JOIN (SELECT word, count(*) AS n_near FROM near GROUP BY word) k USING (word)
+),
+walk AS (
+    SELECT word, word AS at FROM forms
+    UNION ALL SELECT w.word, f.form FROM walk w JOIN forms f ON f.word = w.at WHERE f.form IS NOT NULL
+)
+SELECT f.word, f.form, w.at AS root, f.n, f.n_near, f.form_n
+FROM forms f JOIN walk w ON w.word = f.word JOIN forms e ON e.word = w.at AND e.form IS NULL
+"""
+
 _RULE_ROWS = ", ".join(f"('{r.verdict}', '{r.host}', '{r.path}')" for r in urls.RULES)
 
 
