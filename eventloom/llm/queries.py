@@ -62,7 +62,7 @@ def op10_ngram(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def op11_spelling(spark: SparkSession, directory: str) -> DataFrame:
-    return spelling.variants(spelling.words(read(spark, directory, "documents")))
+    return spelling.variants(spelling.words(read(spark, directory, "documents")), spelling.LEAST_LENGTH)
 
 
 def op12_urls(spark: SparkSession, directory: str) -> DataFrame:

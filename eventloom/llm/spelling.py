@@ -183,13 +183,13 @@ def _keyed(rows: DataFrame) -> DataFrame:
     return flat.withColumn("key", F.concat_ws(" ", "m", "a", "b", "top", *fixed))
 
 
-def _halves(word: Column) -> Column:
+def _halves(word: Column, shortest: int) -> Column:
     """The parts of a word: as the shorter one of a pair and as the longer one, by its first and by its last half."""
     zero, found = F.lit(0), []
     for m in (F.length(word), F.length(word) - 1):
         half = F.floor(m / 2).cast("int")
         found.append(F.array(_part(m, half, zero, F.lit(_OPEN)), _part(m, zero, m - half, half)))
-    return F.when(F.length(word) > LEAST_LENGTH, F.concat(*found)).otherwise(found[0])
+    return F.when(F.length(word) > shortest, F.concat(*found)).otherwise(found[0])
 
 
 def _split() -> Column:
@@ -199,9 +199,12 @@ def _split() -> Column:
     return F.array(_part(m, a + half, b, top), _part(m, a, m - a - half, a + half))
 
 
-def near_pairs(vocabulary: DataFrame) -> DataFrame:
-    """word, n, near, near_n of all pairs one edit apart, both ways, of a vocabulary (word, n) of different words."""
-    rows = _keyed(vocabulary.select("word", "n", F.explode(_halves(F.col("word"))).alias("part")))
+def near_pairs(vocabulary: DataFrame, shortest: int = 1) -> DataFrame:
+    """word, n, near, near_n of all pairs one edit apart, both ways, of a vocabulary (word, n) of different words.
+
+    No word is shorter than `shortest`.
+    """
+    rows = _keyed(vocabulary.select("word", "n", F.explode(_halves(F.col("word"), shortest)).alias("part")))
     schema, found = "word STRING, n BIGINT, near STRING, near_n BIGINT", None
     while True:
         rows = stage(rows, "parts")
@@ -229,12 +232,12 @@ def roots(forms: DataFrame) -> DataFrame:
             return links.withColumnRenamed("to", "root")
 
 
-def variants(vocabulary: DataFrame) -> DataFrame:
+def variants(vocabulary: DataFrame, shortest: int = 1) -> DataFrame:
     """word, form, root, n, n_near, form_n of a vocabulary (word, n)."""
     vocabulary = stage(vocabulary, "vocabulary")
     alone = vocabulary.select("word", "n", F.lit(None).cast("string").alias("near"), F.lit(None).cast("long").alias("near_n"))
     best = F.min(F.when(F.col("near").isNotNull(), F.struct((-F.col("near_n")).alias("less"), F.col("near").alias("form")))).alias("best")
-    folded = near_pairs(vocabulary).unionAll(alone).groupBy("word").agg(F.max("n").alias("n"), F.count("near").alias("n_near"), best)
+    folded = near_pairs(vocabulary, shortest).unionAll(alone).groupBy("word").agg(F.max("n").alias("n"), F.count("near").alias("n_near"), best)
     often = -F.col("best.less") >= FACTOR * F.col("n")
     found = stage(folded.select("word", "n", "n_near", F.when(often, F.col("best.form")).alias("form"), F.when(often, -F.col("best.less")).alias("form_n")), "forms")
     ends = roots(found.filter("form IS NOT NULL"))
