@@ -4,6 +4,7 @@ import math
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,9 +96,11 @@ def _plain(rows, order: int) -> dict:
     return out
 
 
-@pytest.mark.parametrize("order", [2, 3])
-def test_op10_equals_plain_counts(lab, monkeypatch, order):
-    monkeypatch.setattr(ngram, "BUCKET_TOKENS", 9000)
+@pytest.mark.parametrize("order, fanout", [(2, 1024), (3, 1024), (2, 3), (3, 3)])
+def test_op10_equals_plain_counts(lab, monkeypatch, order, fanout):
+    """Also with so few messages a sender that counts go up and down several levels."""
+    monkeypatch.setattr(ngram, "RANGE_GRAMS", 9000)
+    monkeypatch.setattr(ngram, "FANOUT", fanout)
     documents = read(lab, SMALL, "documents").select("doc_id", "text")
     held = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0).alias("held")
     want = _plain([tuple(r) for r in documents.select("doc_id", "text", held).collect()], order)
@@ -116,6 +119,38 @@ def test_op10_of_odd_rows_and_of_none(odd, none):
     assert ngram.score(none).count() == 0
 
 
+def test_the_automaton_has_a_state_per_history_and_an_arc_per_ngram(monkeypatch):
+    texts = ["a b a c", "a b b", "c a d", "never seen a b"]
+    held = [False, False, False, True]
+    words = [[*t.split(), "end"] for t in texts]
+    numbers = {w: i for i, w in enumerate(dict.fromkeys(w for t in words for w in t))}
+    hashes = np.array([(i + 1) * 0x9E3779B97F4A7C15 % (1 << 64) for i in range(len(numbers))], dtype="<u8").tobytes()
+    stream = np.array([numbers[w] for t in words for w in t], dtype="<u4")
+    for order in (2, 3):
+        grams = ngram._Batch([len(t) for t in words], len(stream), ngram.pa.compress(stream.tobytes(), "zstd", asbytes=True), hashes, order)
+        counts = grams.counts(held)
+        trained = [["\t"] * (order - 1) + t for t, h in zip(words, held) if not h]
+        seen = [{tuple(t[i - k : i + 1]) for t in trained for i in range(order - 1, len(t))} for k in range(order)]
+        automaton = ngram.Automaton(grams, counts.astype(float), 14, 5, 200.0)
+        # a state per history of each length (those before the first word too), one without; arcs also to unseen words
+        assert len(automaton.failures) == 1 + (order - 1) + sum(map(len, seen[: order - 1]))
+        assert len(automaton.arcs) == len(numbers) + sum(map(len, seen[1:])) == len(set(automaton.arcs.tolist()))
+        assert (automaton.failures[1:] < np.arange(1, len(automaton.failures))).all()
+        whole = automaton.read(grams)
+        for run in (1, 2, 3):
+            monkeypatch.setattr(ngram, "RUN", run)
+            assert np.allclose(automaton.read(grams), whole, rtol=1e-12)
+        monkeypatch.undo()
+
+
+def test_other_ids_and_large_counts(lab):
+    df = lab.createDataFrame([("x", "a b"), ("y", "a"), (None, None)], "doc_id string, text string")
+    assert {r.doc_id for r in ngram.score(df).collect()} == {"x", "y", None}
+    most = (1 << 62) + 1
+    messages = pd.DataFrame({"sender": [1, 2], "part": [0, 0], "hashes": [ngram._packed(np.array([5], "u8"))] * 2, "counts": [ngram._zipped(np.array([n], "u8")) for n in (most, 2)]})
+    assert ngram._array(ngram._counted(messages)["counts"][0], 1).tolist() == [most + 2]
+
+
 def test_sorted_hashes_pack():
     for values in ([], [5], [1, 2, 3], [7, 1 << 63, (1 << 64) - 1], sorted(np.random.default_rng(1).integers(0, 1 << 40, 50).tolist())):
         values = np.array(values, dtype=np.uint64)
