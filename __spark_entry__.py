@@ -17,9 +17,10 @@ from eventloom.functions.columns import coerce_numeric
 from eventloom.functions.ranks import union_all
 from eventloom.operators import features, inspect, label, merge, metrics, model, prepare, quality, split
 from eventloom.operators.clean import clean, ensure_success_flag, trim_strings
-from eventloom.plans.features import feature_table, merged_features
+from eventloom.plans.features import ORDER, feature_table, merged_features
+from eventloom.plans.runs import FeatureRuns
 from eventloom.plans.train import train_models
-from eventloom.sources import raw, tables
+from eventloom.sources import layout, raw, tables
 from eventloom.sources.retail import labelled_scores, read_log
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -166,6 +167,41 @@ def _labelled(**options) -> Query:
     return run
 
 
+# --- tables that grow, and tables laid out by time ---------------------------------------------------------------------
+
+
+def feature_runs_mixed(spark: SparkSession, directory: str) -> DataFrame:
+    """The feature table of two runs whose events are in the same windows."""
+    runs, half = FeatureRuns(spark, tables.scratch_path(spark, "runs")), F.pmod(F.xxhash64("time"), F.lit(2))
+    for n in (0, 1):
+        runs.add(f"half-{n}", {s: df.filter(half == n) for s, df in _logs(spark, directory).items()})
+    return _rounded(runs.table())
+
+
+def label_runs_in_order(spark: SparkSession, directory: str) -> DataFrame:
+    """Labels after a later run, which is added twice."""
+    runs, logs = FeatureRuns(spark, tables.scratch_path(spark, "runs")), _logs(spark, directory)
+    cut = 15 * 24 * 3600 + 1800  # in the middle of a window
+    runs.add("early", {s: df.filter(F.col("time") < cut) for s, df in logs.items()})
+    for _ in range(2):
+        runs.add("late", {s: df.filter(F.col("time") >= cut) for s, df in logs.items()})
+    return runs.table().select("computer", "time_window", "redteam_current_flag", LABEL)
+
+
+def clustered_parts(spark: SparkSession, directory: str) -> DataFrame:
+    """Each part of the split from the files that can hold it, and whether others were left closed."""
+    path = tables.scratch_path(spark, "clustered")
+    layout.write_clustered(feature_table(_logs(spark, directory)), path, ORDER, files=12)
+    cuts = split.time_cuts(spark.read.parquet(path))
+    found = []
+    for name in split.SPLITS:
+        part = split.read_part(spark, path, cuts, name)
+        opened = F.lit(len(part.inputFiles()) < layout.read_layout(spark, path).count()).alias("files_skipped")
+        sums = [F.sum(c).alias(c) for c in ("auth_total_events", "flows_total_bytes", LABEL)]
+        found.append(part.groupBy("split").agg(F.count("*").alias("count"), *sums).select("*", opened))
+    return union_all(found)
+
+
 # --- quality -------------------------------------------------------------------------------------------------------
 
 
@@ -330,6 +366,9 @@ QUERIES: dict[str, Query] = {
         _logs(spark, d), null_times="keep", null_keys="matched", fill_means=True, epsilon=1e-9
     ).select("computer", "time_window", *[F.round(m, 9).alias(m) for m in oracles.MEANS], *DERIVED, *RATIOS, LABEL),
     "feature_selection": _on_features(lambda table: table.select(*feature_columns(table.columns))),
+    "feature_runs_mixed": feature_runs_mixed,
+    "label_runs_in_order": label_runs_in_order,
+    "clustered_parts": clustered_parts,
     "io_roundtrip": io_roundtrip,
     "csv_export": csv_export,
     "json_report": json_report,

@@ -341,7 +341,10 @@ def oracle_sql() -> dict[str, str]:
             {', '.join(r[2] for r in RATIOS)}, CAST({NEXT_ROW} AS INTEGER) AS {LABEL} FROM derived""")
     sql["feature_selection"] = query(TABLE, f"""SELECT {', '.join(c for c in FEATURE_COLUMNS if not c.startswith('redteam'))}
         FROM features""")
-    sql["io_roundtrip"] = sql["feature_table"]
+    sql["io_roundtrip"] = sql["feature_runs_mixed"] = sql["feature_table"]
+    sql["label_runs_in_order"] = sql["label_next_row"]
+    sql["clustered_parts"] = query(SPLIT, f"""SELECT split, count(*) AS count, {total('auth_total_events', 'auth_total_events')},
+        {total('flows_total_bytes', 'flows_total_bytes')}, {total(LABEL, LABEL)}, TRUE AS files_skipped FROM parts GROUP BY ALL""")
     sql["csv_export"] = sql["clean_flows"]
 
     sql["dq_overview"] = query(logs(), per_log(

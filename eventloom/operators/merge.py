@@ -104,10 +104,13 @@ def _pick(number: Column, choices: list[Column]) -> Column:
     return picked
 
 
-def source_features(
+def source_state(
     log: DataFrame, source: str, *, seconds: int = WINDOW_SECONDS, null_times: bool = False, null_keys: str = "unmatched"
 ) -> DataFrame:
-    """Features of all roles of a cleaned log from a single scan, with exact distinct counts."""
+    """(computer, time_window, slot, item, sums) of a cleaned log from a single scan.
+
+    States of parts of a log can be stacked: what they say about one key is added up.
+    """
     _check(null_keys)
     events = add_time_window(with_event_flags(log, source), seconds=seconds)
     if not null_times:
@@ -127,8 +130,18 @@ def source_features(
     if null_keys == "unmatched":  # an unknown computer keeps its key only, so its events fold into few rows
         known = F.col("computer").isNotNull()
         facets = facets.select(*FEATURE_KEY, "slot", *[F.when(known, F.col(n)).alias(n) for n in ("item", *sum_names)])
-    if any(item for _, item, _ in slots):
-        facets = facets.groupBy(*FEATURE_KEY, "slot", "item").agg(*[F.sum(c).alias(c) for c in sum_names])
+    return facets if all(item is None for _, item, _ in slots) else folded_state(facets)
+
+
+def folded_state(state: DataFrame) -> DataFrame:
+    """Stacked states added up."""
+    key = [*FEATURE_KEY, "slot", "item"]
+    return state.groupBy(*key).agg(*[F.sum(c).alias(c) for c in state.columns if c not in key])
+
+
+def state_features(state: DataFrame, source: str) -> DataFrame:
+    """Features of all roles of a log, with exact distinct counts, from its state."""
+    slots = _slots(source)
 
     def of_slot(number: int, column: str) -> Column:
         return F.when(F.col("slot") == number, F.col(column))
@@ -149,7 +162,12 @@ def source_features(
         columns += [F.col(role.name(n)) for n, column in role.distinct.items() if column == item]
     if source == "proc":
         columns.append((F.col("proc_start_count") - F.col("proc_end_count")).alias(IMBALANCE))
-    return facets.groupBy(*FEATURE_KEY).agg(*measures).select(*FEATURE_KEY, *columns)
+    return state.groupBy(*FEATURE_KEY).agg(*measures).select(*FEATURE_KEY, *columns)
+
+
+def source_features(log: DataFrame, source: str, **options) -> DataFrame:
+    """Features of all roles of a cleaned log from a single scan, with exact distinct counts."""
+    return state_features(source_state(log, source, **options), source)
 
 
 def source_frames(logs: dict[str, DataFrame], **options) -> list[DataFrame]:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventloom.functions.ranks import running_totals
-from eventloom.sources.tables import stage
+from eventloom.sources.layout import Bounds, is_clustered, read_range, within
+from eventloom.sources.tables import DEFAULT_FORMAT, read_table, stage
 
 # Shares of the windows before the two cuts, and the fewest windows worth splitting.
 TRAIN_SHARE = 0.60
@@ -31,9 +32,12 @@ class TimeCuts:
 
     def part(self, df: DataFrame, name: str, window: str = "time_window") -> DataFrame:
         """The rows of one part, by a bound on the window that a scan can take over."""
-        w = F.col(window)
-        bounds = {"train": w <= self.train, "valid": (w > self.train) & (w <= self.valid), "test": w > self.valid}
-        return df.filter(bounds[name]).withColumn("split", F.lit(name))
+        return df.filter(within(self.bounds(name, window))).withColumn("split", F.lit(name))
+
+    def bounds(self, name: str, window: str = "time_window") -> Bounds:
+        """First and last window of a part."""
+        ends = {"train": (None, self.train), "valid": (self.train + 1, self.valid), "test": (self.valid + 1, None)}
+        return {window: ends[name]}
 
 
 def time_cuts(df: DataFrame, window: str = "time_window") -> TimeCuts:
@@ -49,6 +53,13 @@ def time_cuts(df: DataFrame, window: str = "time_window") -> TimeCuts:
     return TimeCuts(n, row["train"], row["valid"])
 
 
+def read_part(spark: SparkSession, path: str, cuts: TimeCuts, name: str, fmt: str = DEFAULT_FORMAT) -> DataFrame:
+    """One part of a stored table; of a table that is laid out by its window, only the files of the part are opened."""
+    if fmt == DEFAULT_FORMAT and is_clustered(spark, path):
+        return read_range(spark, path, cuts.bounds(name)).withColumn("split", F.lit(name))
+    return cuts.part(read_table(spark, path, fmt), name)
+
+
 def time_split(df: DataFrame, window: str = "time_window", cuts: TimeCuts | None = None) -> DataFrame:
     """Add `split`; rows without a window belong to no part."""
     cuts = cuts or time_cuts(df, window)

@@ -10,9 +10,12 @@ from eventloom.operators.features import add_derived, add_time_window, fill_coun
 from eventloom.operators.label import add_label
 from eventloom.operators.merge import join_features, role_frames, source_frames, union_features
 from eventloom.operators.quality import coverage_report, feature_report
+from eventloom.sources.layout import write_clustered
 from eventloom.sources.tables import DEFAULT_FORMAT, read_back, read_table, write_report, write_table
 
 MERGES = ("sources", "roles", "join")
+#: How the feature table lies on disk: by time, as it is split, then by computer.
+ORDER = ["time_window", "computer"]
 
 
 def merged_features(
@@ -72,10 +75,13 @@ def build_features(
     seconds: int = WINDOW_SECONDS,
     **options,
 ) -> None:
-    """Read the cleaned tables, write the feature table, and report on what was written."""
+    """Read the cleaned tables, write the feature table in order of time, and report on what was written."""
     logs = {s: read_table(spark, f"{tables}/{s}", fmt) for s in SOURCES}
     windows = {s: add_time_window(log, seconds=seconds).select("time_window") for s, log in logs.items()}
     write_report(coverage_report(windows), f"{reports}/window_coverage")
     table = feature_table(logs, seconds=seconds, **options)
-    write_table(table, output, fmt)
+    if fmt == DEFAULT_FORMAT:
+        write_clustered(table, output, ORDER)
+    else:
+        write_table(table.repartitionByRange(*ORDER).sortWithinPartitions(*ORDER), output, fmt)
     write_report(feature_report(read_back(table, output, fmt)), f"{reports}/features")

@@ -27,7 +27,7 @@ from eventloom.operators.model import (
 )
 from eventloom.operators.prepare import fit_preparation
 from eventloom.operators.quality import distribution
-from eventloom.operators.split import SPLITS, TimeCuts, time_cuts, time_split
+from eventloom.operators.split import SPLITS, TimeCuts, read_part, time_cuts, time_split
 from eventloom.sources.tables import DEFAULT_FORMAT, read_table, write_report, write_table
 
 
@@ -75,7 +75,7 @@ def train_models(
     output, top = f"{output}/run={run}", output
     part_labels = parts.filter("split IS NOT NULL").select(F.concat_ws("/", "split", LABEL).alias("part_label"))
     write_report(distribution(part_labels, "part_label"), f"{output}/label_distribution")
-    train = cuts.part(table, "train")
+    train, valid, test = (read_part(spark, features, cuts, name, fmt) for name in SPLITS)
     prepared = fit_preparation(train, columns, exact_medians)
     estimators = {
         LOGISTIC: logistic_regression(sum(labels["train"].values())),
@@ -84,9 +84,7 @@ def train_models(
     for position, (name, estimator) in enumerate(estimators.items()):
         path = f"{output}/models/{name}"
         fit(train, prepared, estimator).write().overwrite().save(path)
-        predictions = predict(
-            cuts.part(table, "valid").unionByName(cuts.part(table, "test")), PipelineModel.load(path), [*FEATURE_KEY, "split", LABEL]
-        )
+        predictions = predict(valid.unionByName(test), PipelineModel.load(path), [*FEATURE_KEY, "split", LABEL])
         write_table(predictions, f"{output}/predictions/{name}", fmt)
         stored = read_table(spark, f"{output}/predictions/{name}", fmt)
         measured, reports = [], []

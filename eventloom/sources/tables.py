@@ -74,12 +74,21 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def drop_partitions(spark: SparkSession, paths: list[str]) -> None:
+    """Delete folders of a table that hold nothing any more."""
+    for name in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_staged(df: DataFrame) -> None:
     """Delete the files of a staged table that is no longer read."""
-    spark = df.sparkSession
-    for folder in {name.rpartition("/")[0] for name in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    drop_partitions(df.sparkSession, sorted({name.rpartition("/")[0] for name in df.inputFiles()}))
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
