@@ -15,7 +15,7 @@ Very common anchors. A hash with more than HOT different windows is anchored ane
 strings further, down to k = LENGTH, where a hash is one string. So no task gets a whole common passage's documents.
 
 Nulls are empty texts; texts under LENGTH bytes lose nothing. Repeated rows are copies: all their bytes go, from LENGTH
-bytes on. Texts, k-grams and windows are told apart by 64 bits of hash each (windows only within one k-gram).
+bytes on. Texts are told apart by 128 bits of hash, k-grams and windows by 64 bits each (windows only within one k-gram).
 """
 
 from __future__ import annotations
@@ -78,7 +78,7 @@ class _Hashes:
         return x
 
 
-Runs = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+Runs = tuple[np.ndarray, ...]
 
 
 def _anchored(texts: list[bytes], gram: int, length: int) -> Runs:
@@ -86,7 +86,7 @@ def _anchored(texts: list[bytes], gram: int, length: int) -> Runs:
     sizes = np.array([len(t) for t in texts], dtype=np.int64)
     data = np.frombuffer(b"".join(texts), dtype=np.uint8)
     if len(data) < length:
-        return (np.zeros(0, np.int64),) * 5
+        return (np.zeros(0, np.int64),) * 6
     begins = np.cumsum(sizes) - sizes
     hashes, width = _Hashes(data), length - gram + 1
     grams = hashes.grams(gram)
@@ -106,11 +106,12 @@ def _anchored(texts: list[bytes], gram: int, length: int) -> Runs:
     last = np.append(stops, len(anchor))[np.searchsorted(stops, first, side="right")] - 1
     window = hashes.of(first, last + length) ^ (anchor[first] - first).astype(np.uint64) * np.uint64(_FACTOR)
     begin = begins[owner[first]]
-    return owner[first], grams[anchor[first]].view(np.int64), window.view(np.int64), first - begin, last - begin
+    found = grams[anchor[first]].view(np.int64), window.view(np.int64)
+    return owner[first], *found, first - begin, last - begin, anchor[first] - begin
 
 
 def anchored(texts: list[bytes], gram: int, length: int = LENGTH) -> Runs:
-    """(text, hash of the anchor, hash of the bytes, first start, last start) of every run of the texts.
+    """(text, hash of the anchor, hash of the bytes, first start, last start, place of the anchor) of every run of the texts.
 
     A text longer than a piece is anchored piece by piece from its own start, so equal texts have equal runs.
     """
@@ -127,8 +128,8 @@ def anchored(texts: list[bytes], gram: int, length: int = LENGTH) -> Runs:
         if len(text) > PIECE:
             flush()
             for offset in range(0, len(text) - length + 1, PIECE):
-                owner, grams, window, first, last = _anchored([text[offset : offset + PIECE + length - 1]], gram, length)
-                found.append((owner + place, grams, window, first + offset, last + offset))
+                owner, grams, window, *inside = _anchored([text[offset : offset + PIECE + length - 1]], gram, length)
+                found.append((owner + place, grams, window, *[x + offset for x in inside]))
             place += 1
             continue
         if size + len(text) > PIECE:
@@ -136,29 +137,34 @@ def anchored(texts: list[bytes], gram: int, length: int = LENGTH) -> Runs:
         held.append(text)
         size += len(text)
     flush()
-    return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 5
+    return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 6
 
 
-def sorted_suffixes(windows: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """(symbols, suffixes in the order of more than `length` symbols); the symbol 0 ends each window."""
+def joined(windows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(symbols, sizes) of windows one after the other; the symbol 0 ends each window, and its bytes count from 1."""
     symbols = np.frombuffer(b"".join(w + b"\0" for w in windows), dtype=np.uint8).astype(np.int64) + 1
-    sizes = np.array([len(w) + 1 for w in windows])
-    ends = np.cumsum(sizes) - 1
-    symbols[ends] = 0
+    sizes = np.array([len(w) + 1 for w in windows], dtype=np.int64)
+    symbols[np.cumsum(sizes) - 1] = 0
+    return symbols, sizes
+
+
+def sorted_suffixes(symbols: np.ndarray, sizes: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """The suffixes of joined windows in the order of more than `length` symbols."""
     n = len(symbols)
-    left = np.repeat(ends, sizes) - np.arange(n)  # symbols before the end
-    key, depth = np.zeros(n, dtype=np.int64), 7
+    left = np.repeat(np.cumsum(sizes) - 1, sizes) - np.arange(n)  # symbols before the end
+    base = int(symbols.max(initial=0)) + 1
+    key, depth = np.zeros(n, dtype=np.int64), max(1, int(62 / np.log2(max(base, 2))))
     for k in range(depth):
         shifted = np.zeros(n, dtype=np.int64)
         shifted[: max(n - k, 0)] = symbols[k:]
-        key = key * 257 + np.where(left >= k, shifted, 0)
+        key = key * base + np.where(left >= k, shifted, 0)
     rank = np.unique(key, return_inverse=True)[1]
     while depth < length + 1:
         after = np.zeros(n, dtype=np.int64)
         after[: max(n - depth, 0)] = rank[depth:] + 1
         rank = np.unique(rank * (n + 1) + np.where(left >= depth, after, 0), return_inverse=True)[1]
         depth *= 2
-    return symbols, np.argsort(rank, kind="stable")
+    return np.argsort(rank, kind="stable")
 
 
 def short_prefixes(symbols: np.ndarray, suffixes: np.ndarray, length: int = LENGTH) -> np.ndarray:
@@ -188,9 +194,9 @@ def short_prefixes(symbols: np.ndarray, suffixes: np.ndarray, length: int = LENG
     return boundary[:-1]
 
 
-def repeated_starts(windows: list[bytes], length: int = LENGTH) -> np.ndarray:
-    """Whether a string of `length` bytes starts at each symbol of the joined windows that starts elsewhere as well."""
-    symbols, suffixes = sorted_suffixes(windows, length)
+def repeated_starts(symbols: np.ndarray, sizes: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """Whether a string of `length` symbols starts at each symbol of joined windows that starts elsewhere as well."""
+    suffixes = sorted_suffixes(symbols, sizes, length)
     long = ~short_prefixes(symbols, suffixes, length)
     repeated = np.zeros(len(symbols), dtype=bool)
     repeated[suffixes[long]] = True
@@ -208,13 +214,13 @@ def _runs(texts: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            keys = batch.column(0).to_numpy(zero_copy_only=False)
+            keys = batch.column(0)
             for start in range(0, len(keys), 256):
-                owner, gram, window, first, last = anchored(batch.column(1).slice(start, 256).to_pylist(), GRAMS[0])
-                columns = [gram, window, keys[start + owner], first, last - first + 1]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["gram", "window", "key", "first", "size"])
+                owner, gram, window, first, last, _ = anchored(batch.column(1).slice(start, 256).to_pylist(), GRAMS[0])
+                columns = [pa.array(c, pa.int64()) for c in (gram, window, first, last - first + 1)]
+                yield pa.RecordBatch.from_arrays([*columns, keys.take(pa.array(start + owner))], ["gram", "window", "first", "size", "key"])
 
-    return texts.select("key", F.col("text").cast("binary")).mapInArrow(run, "gram BIGINT, window BIGINT, key BIGINT, first BIGINT, size BIGINT")
+    return texts.select("key", F.col("text").cast("binary")).mapInArrow(run, "gram BIGINT, window BIGINT, first BIGINT, size BIGINT, key BINARY")
 
 
 def packed(df: DataFrame, text: str = "text") -> DataFrame:
@@ -258,41 +264,56 @@ COVERED = "gram BIGINT, window BIGINT, first BIGINT, last BIGINT"
 def compared(windows: list[bytes], length: int = LENGTH) -> np.ndarray:
     """Whether each symbol of the windows, joined with an end each, starts a string that starts elsewhere as well.
 
-    Longer k-grams first narrow the windows down: a string whose anchor is met once is unique, and parts that are the same
-    in all windows repeat. What is left, around the places where windows part, goes through the transform.
+    Longer k-grams first narrow the windows down, step by step: a string whose anchor is met once is unique, and parts that
+    are the same in all windows repeat. What is left, around the places where windows part, goes through the transform: each
+    of its strings holds the anchor of its part, so that k-gram is written as one symbol, and strings are as much shorter.
     """
     begins = np.cumsum([0] + [len(w) + 1 for w in windows])
-    owner, gram, content, first, last = anchored(windows, GRAMS[1] * length // LENGTH, length)
-    _, group, count = np.unique(gram, return_inverse=True, return_counts=True)
-    same = np.lexsort((content, group))
-    ordered, values = group[same], content[same]
-    fresh = np.append(True, (ordered[1:] != ordered[:-1]) | (values[1:] != values[:-1]))[: len(same)]
-    kinds = np.bincount(ordered[fresh], minlength=len(count))
     marks = np.zeros(begins[-1] + 1, dtype=np.int64)
-    at = begins[owner] + first
-
-    def mark(runs: np.ndarray):
-        np.add.at(marks, at[runs], 1)
-        np.add.at(marks, at[runs] + (last - first)[runs] + 1, -1)
-
-    mark(np.flatnonzero((count[group] > 1) & (kinds[group] == 1)))
-    rest = np.flatnonzero(kinds[group] > 1)
-    if len(rest):
-        parts = [windows[owner[r]][first[r] : last[r] + length] for r in rest]
-        distinct = list(dict.fromkeys(parts))
-        times = {d: 0 for d in distinct}
-        for part in parts:
-            times[part] += 1
-        repeated = repeated_starts(distinct, length)
-        places = dict(zip(distinct, np.cumsum([0] + [len(d) + 1 for d in distinct])))
-        for r, part in zip(rest, parts):
-            if times[part] > 1:
-                mark(np.array([r]))
-            else:
-                size = len(part) - length + 1
-                starts = np.flatnonzero(repeated[places[part] : places[part] + size])
-                np.add.at(marks, at[r] + starts, 1)
-                np.add.at(marks, at[r] + starts + 1, -1)
+
+    def mark(starts: np.ndarray, sizes: np.ndarray | int):
+        np.add.at(marks, starts, 1)
+        np.add.at(marks, starts + sizes, -1)
+
+    def different(parts: list[bytes], places: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+        """Each part once; those that are met again repeat in full, and have no place any more."""
+        number = {part: i for i, part in enumerate(dict.fromkeys(parts))}
+        which = np.fromiter(map(number.__getitem__, parts), dtype=np.int64, count=len(parts))
+        again = np.bincount(which, minlength=len(number)) > 1
+        full = np.flatnonzero(again[which] & (places >= 0))
+        if len(full):
+            mark(places[full], np.array([len(parts[i]) - length + 1 for i in full]))
+        found = np.full(len(number), -1, dtype=np.int64)
+        found[which] = places
+        found[again] = -1
+        return list(number), found
+
+    parts, places = different(windows, begins[:-1])
+    for gram in GRAMS[1:-1]:
+        size = gram * length // LENGTH
+        owner, grams, content, first, last, anchor = anchored(parts, size, length)
+        _, group, count = np.unique(grams, return_inverse=True, return_counts=True)
+        order = np.lexsort((content, group))
+        ordered, values = group[order], content[order]
+        fresh = np.append(True, (ordered[1:] != ordered[:-1]) | (values[1:] != values[:-1]))[: len(order)]
+        kinds = np.bincount(ordered[fresh], minlength=len(count))
+        at = np.where(places[owner] >= 0, places[owner] + first, -1)
+        alike = np.flatnonzero((count[group] > 1) & (kinds[group] == 1) & (at >= 0))
+        mark(at[alike], (last - first + 1)[alike])
+        rest = np.flatnonzero(kinds[group] > 1)
+        slices = zip(owner[rest].tolist(), first[rest].tolist(), last[rest].tolist())
+        parts, places = different([parts[o][a : b + length] for o, a, b in slices], at[rest])
+    if parts:
+        # the last anchors again, which differ in nothing but the order of parts
+        owner, grams, _, first, last, anchor = anchored(parts, size, length)
+        number = np.unique(grams, return_inverse=True)[1]
+        symbols, sizes = joined([p[: a - f] + b"\0" + p[a - f + size :] for p, a, f in zip(parts, anchor.tolist(), first.tolist())])
+        of = np.cumsum(sizes) - sizes
+        symbols[of + anchor] = 257 + number
+        repeated = np.flatnonzero(repeated_starts(symbols, sizes, length - size + 1))  # the end of a part starts nothing
+        part = np.searchsorted(of, repeated, side="right") - 1
+        placed = places[part] >= 0
+        mark(places[part[placed]] + repeated[placed] - of[part[placed]], 1)
     return np.cumsum(marks)[:-1] > 0
 
 
@@ -333,7 +354,7 @@ def _resolved(windows: DataFrame, level: int = 0) -> DataFrame:
         names = ["up_gram", "up_window", "n", "first", "gram", "window", "bytes"]
         for batch in batches:
             data = batch.column(3).to_pylist()
-            owner, grams, found, first, last = anchored(data, gram)
+            owner, grams, found, first, last, _ = anchored(data, gram)
             up = [c.to_numpy(zero_copy_only=False)[owner] for c in batch.columns[:3]]
             parts = [data[o][a : b + LENGTH] for o, a, b in zip(owner.tolist(), first.tolist(), last.tolist())]
             yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in (*up, first, grams, found)], pa.array(parts, pa.binary())], names)
@@ -351,15 +372,18 @@ def _resolved(windows: DataFrame, level: int = 0) -> DataFrame:
         rest = stage(rest, "part-rest")
         full = full.union(_resolved(rest, level + 1))
     full = stage(full, "part-ranges")
-    up = parts.select("gram", "window", "up_gram", "up_window", F.col("first").alias("at")).join(full, ["gram", "window"])
+    # a window that occurs twice or more repeats in full anyway, so ranges of it would only multiply with its occurrences
+    once = parts.filter("n = 1").select("gram", "window", "up_gram", "up_window", F.col("first").alias("at"))
+    up = once.join(full, ["gram", "window"])
     return covered.union(up.select("up_gram", "up_window", F.col("at") + F.col("from"), F.col("at") + F.col("to")))
 
 
 def repeated_ranges(texts: DataFrame) -> DataFrame:
     """key, ranges (first and last covered byte, unordered) of every text (`key`, `text`) that has some."""
-    grams = _runs(texts).groupBy("gram").agg(F.count("*").alias("n"), F.min("window").alias("least"), F.max("window").alias("most"))
+    every = stage(_runs(texts), "every-run")
+    grams = every.groupBy("gram").agg(F.count("*").alias("n"), F.min("window").alias("least"), F.max("window").alias("most"))
     grams = stage(grams.filter("n > 1").select("gram", (F.col("least") == F.col("most")).alias("alike")), "grams")
-    runs = stage(_runs(texts).join(grams, "gram"), "runs")
+    runs = stage(every.join(grams, "gram"), "runs")
     differ = runs.filter("NOT alike")
     source = F.min(F.struct("key", "first", "size")).alias("source")
     windows = stage(differ.groupBy("gram", "window").agg(F.count("*").alias("n"), source), "windows")
@@ -379,8 +403,8 @@ def repeated_ranges(texts: DataFrame) -> DataFrame:
 
 
 def _key(text: str) -> Column:
-    """Equal texts have equal keys."""
-    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    """Equal texts have equal keys: 128 bits."""
+    return F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
 
 
 def covered(size: int, ranges: list[dict] | None) -> np.ndarray:

@@ -122,7 +122,7 @@ def test_the_transform_finds_what_comparing_all_strings_finds(length):
             windows.append(bytes(chance.choice(b"abc\xff\0") for _ in range(chance.randrange(30))) + b[i : chance.randrange(i, len(b) + 1)])
         count = Counter(w[i : i + length] for w in windows for i in range(len(w) - length + 1))
         want = [x for w in windows for x in [*[i + length <= len(w) and count[w[i : i + length]] > 1 for i in range(len(w))], False]]
-        assert suffix.repeated_starts(windows, length).tolist() == want
+        assert suffix.repeated_starts(*suffix.joined(windows), length).tolist() == want
         assert suffix.compared(windows, length).tolist() == want
 
 
@@ -167,7 +167,7 @@ def test_passages_of_odd_rows_and_of_none(odd, none):
 def test_pieces_anchor_alike(monkeypatch):
     chance = random.Random(1)
     texts = [bytes(chance.choice(b"abc") for _ in range(n)) for n in (5000, 0, 199, 200, 201, 650, 3000, 80, 690)]
-    starts = lambda: {(o, g, s) for o, g, _, a, b in zip(*suffix.anchored(texts, 24)) for s in range(a, b + 1)}
+    starts = lambda: {(o, g, s) for o, g, _, a, b, _ in zip(*suffix.anchored(texts, 24)) for s in range(a, b + 1)}
     whole = starts()
     assert len(whole) == sum(max(0, len(t) - 199) for t in texts)
     monkeypatch.setattr(suffix, "PIECE", 700)
