@@ -214,12 +214,13 @@ _ANSWER = "sender BIGINT, part BIGINT, size BIGINT, counts BINARY, tokens BIGINT
 _SENDER = "sender BIGINT, part BIGINT, hashes BINARY, counts BINARY, grams BIGINT"
 
 
-def totals(senders: DataFrame, parts: int = 1) -> tuple[DataFrame, int, int]:
+def totals(senders: DataFrame, grams: int, parts: int = 1) -> tuple[DataFrame, int, int]:
     """(answers, N, V) to the sorted n-grams of senders (_SENDER), each of which lies within one of `parts` equal ranges.
 
+    `grams` is how many they send together, at most.
+
     An answer (_ANSWER) is the sums of one range of a sender's n-grams, in their order; its ranges are in order of `part`.
     """
-    grams = int(senders.agg(F.coalesce(F.sum("grams"), F.lit(0))).first()[0])
     wanted = -(-grams // RANGE_GRAMS) or 1
     split = min(FANOUT, -(-wanted // parts))
 
@@ -246,7 +247,7 @@ def totals(senders: DataFrame, parts: int = 1) -> tuple[DataFrame, int, int]:
     groups = -(-wanted // parts)
     grouped = messages.withColumn("group", F.col("part") * groups + F.pmod(F.xxhash64("sender"), F.lit(groups)))
     runs = stage(grouped.groupBy("group").applyInPandas(_run_of_group, _SENDER), "lm-runs")
-    found, n, v = totals(runs, parts)
+    found, n, v = totals(runs, int(runs.agg(F.sum("grams")).first()[0]), parts)
     down = grouped.groupBy("group").cogroup(found.withColumnRenamed("sender", "group").groupBy("group")).applyInPandas(_passed_down, _ANSWER)
     return stage(down, "lm-counts"), n, v
 
@@ -359,7 +360,8 @@ def score(documents: DataFrame, order: int = ORDER, smoothing: float = SMOOTHING
                 )
 
     senders = records.select("batch", "held", "sizes", "tokens", "words", "hashes").mapInArrow(runs, _SENDER)
-    answers, n, v = totals(stage(senders, "lm-grams"))
+    tokens = int(records.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0])
+    answers, n, v = totals(senders, order * tokens)
 
     def scored(record: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
         r = record.iloc[0]
