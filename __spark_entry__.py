@@ -15,7 +15,7 @@ from eventloom.checks import oracles
 from eventloom.contracts import CONTRACTS, LABEL, SCHEMAS, SOURCES, feature_columns
 from eventloom.functions.columns import coerce_numeric
 from eventloom.functions.ranks import union_all
-from eventloom.operators import features, inspect, label, merge, metrics, model, prepare, quality, split
+from eventloom.operators import features, inspect, label, merge, metrics, model, prepare, quality, sketches, split
 from eventloom.operators.clean import clean, ensure_success_flag, trim_strings
 from eventloom.plans.features import ORDER, feature_table, merged_features
 from eventloom.plans.runs import FeatureRuns
@@ -95,8 +95,8 @@ def csv_export(spark: SparkSession, directory: str) -> DataFrame:
 
 def json_report(spark: SparkSession, directory: str) -> DataFrame:
     path = tables.scratch_path(spark, "report")
-    tables.write_report(quality.log_report(_log(spark, directory, "flows"), "flows"), path)
-    return spark.read.schema("table_name STRING, check STRING, column_name STRING, metric STRING, value DOUBLE, text STRING").json(path)
+    tables.write_report(quality.log_report(_log(spark, directory, "flows"), "flows", exact_quantile=True), path)
+    return _rounded(spark.read.schema("table_name STRING, check STRING, column_name STRING, metric STRING, value DOUBLE, text STRING").json(path), 6)
 
 
 def sample_profile(spark: SparkSession, directory: str) -> DataFrame:
@@ -253,14 +253,38 @@ def _summary(spark: SparkSession, directory: str) -> DataFrame:
     return _rounded(quality.summarise(_log(spark, directory, "flows"), columns), 6)
 
 
+def sketch_ranges(spark: SparkSession, directory: str) -> DataFrame:
+    """Stored sketches merged over all days and over ten of them, held against the logs of the same time."""
+    found = []
+    for source, distinct in oracles.DISTINCT_COLUMNS.items():
+        log = _log(spark, directory, source)
+        path = tables.scratch_path(spark, "sketches")
+        sketches.write_sketches(sketches.window_sketches(log, distinct), path)
+        for name, first, last in (("all", None, None), ("ten_days", 240, 479)):
+            window = features.time_window("time")
+            rows = log if first is None else log.filter(window.between(first, last))
+            held = sketches.held_against(sketches.profile_range(spark, path, first, last), rows, distinct)
+            found.append(held.select(F.lit(source).alias("table_name"), F.lit(name).alias("range_name"), "*"))
+    return union_all(found)
+
+
 def _log_reports(spark: SparkSession, directory: str) -> DataFrame:
-    return union_all([quality.log_report(df, s) for s, df in _logs(spark, directory).items()])
+    reports = [quality.log_report(df, s, exact_quantile=True) for s, df in _logs(spark, directory).items()]
+    return _rounded(union_all(reports), 6)
+
+
+def measured_reports(spark: SparkSession, directory: str) -> DataFrame:
+    """What is measured of each log while it is written, but for the quantiles, which are sketched."""
+    found = []
+    for s, df in _logs(spark, directory).items():
+        rows, report = quality.write_measured(df, tables.scratch_path(spark, "measured"), s)
+        found.append(report.filter(~F.col("metric").isin(*quality.QUANTILES)).withColumn("rows", F.lit(rows).cast("bigint")))
+    return _rounded(union_all(found), 6)
 
 
-def _feature_report(table: DataFrame) -> DataFrame:
-    report = quality.feature_report(table)
-    counted = ["overview", "full_row_duplicates", "key_duplicates", "label_distribution"]
-    return report.filter(F.col("check").isin(counted) & F.col("value").isNotNull()).select("check", "column_name", "metric", "value")
+def feature_report(spark: SparkSession, directory: str) -> DataFrame:
+    table = tables.stage(_rounded(feature_table(_logs(spark, directory))), "features")
+    return _rounded(quality.feature_report(table), 6)
 
 
 # --- splits and models ---------------------------------------------------------------------------------------------
@@ -394,8 +418,10 @@ QUERIES: dict[str, Query] = {
     "dq_distinct_counts": _distinct_counts,
     "dq_distinct_counts_approx": _approximate_counts,
     "dq_summary": _summary,
+    "dq_sketch_ranges": sketch_ranges,
     "dq_log_reports": _log_reports,
-    "dq_feature_report": _on_features(_feature_report),
+    "dq_measured_reports": measured_reports,
+    "dq_feature_report": feature_report,
     "time_split": _split_summary,
     "split_label_distribution": _split_labels,
     "impute_median": _prepared(prepare.impute_median, oracles.IMPUTED),

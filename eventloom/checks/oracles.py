@@ -240,6 +240,95 @@ DISTINCT_COLUMNS = {
 REPEATED = {"auth": ["src_computer", "dst_computer"], "flows": ["src_computer", "dst_computer", "dst_port"]}
 VALUE_COUNTS = {"auth": ["success", "auth_type"], "flows": ["protocol", "src_computer"], "proc": ["event_type"]}
 
+# The columns of the merged features in table order.
+TABLE_ORDER = [
+    "computer", "time_window", "auth_src_event_count", "auth_src_success_count", "auth_src_failure_count",
+    "auth_src_unique_dst_computers", "auth_src_unique_dst_users", "auth_dst_event_count", "auth_dst_success_count",
+    "auth_dst_failure_count", "auth_dst_unique_src_computers", "auth_dst_unique_src_users", "flows_out_count",
+    "flows_out_total_duration", "flows_out_total_packets", "flows_out_total_bytes", "flows_out_unique_dst_computers",
+    "flows_out_unique_dst_ports", "flows_out_mean_packets", "flows_out_mean_bytes", "flows_in_count",
+    "flows_in_total_duration", "flows_in_total_packets", "flows_in_total_bytes", "flows_in_unique_src_computers",
+    "flows_in_unique_src_ports", "flows_in_mean_packets", "flows_in_mean_bytes", "dns_lookup_count",
+    "dns_unique_resolved_computers", "proc_event_count", "proc_start_count", "proc_end_count", "proc_unique_users",
+    "proc_unique_processes", "proc_start_end_imbalance", "redteam_src_event_count", "redteam_dst_event_count",
+]
+# Whole reports, in long form. What a contract says of a log.
+GRAINS = {
+    "auth": "one authentication event", "flows": "one network flow", "dns": "one name lookup",
+    "proc": "one start or end of a process", "redteam": "one known compromise event",
+    "features": "one computer in one time window",
+}
+NOTES = {
+    "auth": ["the same event may happen many times; copies are kept"],
+    "flows": ["flows repeat; copies are kept", "ports are labels, not numbers"],
+    "dns": ["repeated lookups carry meaning; copies are kept"],
+    "proc": ["a process with a start and an end has two rows"],
+    "redteam": ["ground truth; counts of the current window must stay out of the model"],
+    "features": ["aggregated from the five logs"],
+}
+
+
+def entry(table: str, check: str, column: str | None, metric: str, value: str = "NULL", text: str | None = None, tail: str = "") -> str:
+    words = text if text and text.startswith("to_json") else ("NULL" if text is None else "'" + text + "'")
+    name = "NULL" if column is None else f"'{column}'"
+    return f"""SELECT '{table}' AS table_name, '{check}' AS "check", CAST({name} AS VARCHAR) AS column_name, {metric} AS metric,
+        round(CAST({value} AS DOUBLE), 6) AS value, CAST({words} AS VARCHAR) AS text {tail}"""
+
+
+def measured(t: str, columns: list[str], numbers: list[str], time: bool = True) -> list[str]:
+    """What one scan tells of a table."""
+    parts = [entry(t, "contract", None, "'grain'", text=GRAINS[t])]
+    parts += [entry(t, "contract", None, "'note'", text=note) for note in NOTES[t]]
+    parts += [
+        entry(t, "overview", None, "'row_count'", "count(*)", tail=f"FROM {t}"),
+        entry(t, "overview", None, "'column_count'", "count(*)", tail=f"FROM (SELECT unnest(string_split('{','.join(columns)}', ',')))"),
+        entry(t, "overview", None, "'columns'", text=",".join(columns)),
+    ]
+    if time:
+        for metric, value in (("min_time", "min(time)"), ("max_time", "max(time)"), ("time_span_seconds", "max(time) - min(time)")):
+            parts.append(entry(t, "time_horizon", "time", f"'{metric}'", value, tail=f"FROM {t}"))
+    for c in columns:
+        missing = f"count(*) - count({c})"
+        parts.append(entry(t, "missing_values", c, "'missing_count'", missing, tail=f"FROM {t}"))
+        parts.append(entry(t, "missing_values", c, "'missing_pct'", f"CASE WHEN count(*) > 0 THEN ({missing}) / count(*) * 100.0 ELSE 0.0 END", tail=f"FROM {t}"))
+    for c in numbers:
+        moments = {"count": f"count({c})", "mean": f"avg({c})", "min": f"min({c})", "max": f"max({c})",
+                   "std": f"CASE WHEN count({c}) > 0 THEN coalesce(stddev_samp({c}), 0.0) END"}
+        parts += [entry(t, "numeric", c, f"'{m}'", v, tail=f"FROM {t}") for m, v in moments.items()]
+    return parts
+
+
+def copied(t: str, columns: list[str], key: list[str]) -> list[str]:
+    """Copies of rows and keys of a table, with the ten most frequent keys."""
+    row, k = ", ".join(columns), ", ".join(key)
+    counts = f"FROM (SELECT count(*) AS copies FROM {t} GROUP BY {row})"
+    extra = "coalesce(sum(copies), 0) - count(*)"
+    keys = f"(SELECT {k}, count(*) AS copies FROM {t} GROUP BY {k} HAVING count(*) > 1)"
+    fields = ", ".join(f"{c} := {c}" for c in key)
+    return [
+        entry(t, "full_row_duplicates", None, "'distinct_rows'", "count(*)", tail=counts),
+        entry(t, "full_row_duplicates", None, "'duplicate_rows'", extra, tail=counts),
+        entry(t, "full_row_duplicates", None, "'duplicate_pct'", f"CASE WHEN sum(copies) > 0 THEN ({extra}) / sum(copies) * 100.0 ELSE 0.0 END", tail=counts),
+        entry(t, "key_duplicates", None, "'duplicate_keys'", "count(*)", ",".join(key), tail=f"FROM {keys}"),
+        entry(t, "key_duplicates", None, "'sample'", "copies", f"to_json(struct_pack({fields}))",
+              tail=f"FROM (SELECT * FROM {keys} ORDER BY copies DESC, {', '.join(c + ' NULLS FIRST' for c in key)} LIMIT 10)"),
+    ]
+
+
+def exact(t: str, numbers: list[str]) -> list[str]:
+    points = {"q01": 0.01, "q25": 0.25, "median": 0.5, "q75": 0.75, "q99": 0.99}
+    return [entry(t, "numeric", c, f"'{n}'", f"quantile_cont(CAST({c} AS DOUBLE), {p})", tail=f"FROM {t}") for c in numbers for n, p in points.items()]
+
+
+def log_report(t: str) -> list[str]:
+    key = [c for c in COLUMNS[t] if not c.endswith("_flag")]
+    return [*measured(t, COLUMNS[t], NUMBERS[t]), *copied(t, COLUMNS[t], key), *exact(t, NUMBERS[t])]
+
+
+def stacked(parts: list[str]) -> str:
+    return " UNION ALL ".join(f"({p})" for p in parts)
+
+
 # --- model inputs and metrics --------------------------------------------------------------------------------------
 
 SPLIT = [*TABLE, """ordered AS (SELECT time_window, row_number() OVER (ORDER BY time_window) - 1 AS place
@@ -391,18 +480,31 @@ def oracle_sql() -> dict[str, str]:
         least(count(*), 100000) AS sampled_rows FROM {t}"""))
     sql["dq_summary"] = query(logs("flows"), per_column(
         {"flows": ["time", "duration", "packet_count", "byte_count"]}, SUMMARY))
+    sql["dq_log_reports"] = query(logs(), stacked([p for t in RAW for p in log_report(t)]))
+    sql["json_report"] = query(logs("flows"), stacked(log_report("flows")))
+    sql["dq_measured_reports"] = query(logs(), " UNION ALL ".join(
+        f"SELECT *, (SELECT count(*) FROM {t}) AS rows FROM ({stacked(measured(t, COLUMNS[t], NUMBERS[t]))})" for t in RAW))
+    columns = [*TABLE_ORDER, *[c for c in FEATURE_COLUMNS if c not in TABLE_ORDER], LABEL]
+    skewed = [c for c in FEATURE_COLUMNS if c != "redteam_current_flag"]
+    skew = "CASE WHEN count({c}) > 2 THEN CASE WHEN stddev_pop({c}) = 0 THEN 0.0 ELSE skewness({c}) END END"
     sql["dq_feature_report"] = query(
-        [*TABLE, f"""shape AS (SELECT count(*) AS n FROM features),
-          repeated AS (SELECT count(*) AS k FROM (SELECT 1 FROM features GROUP BY computer, time_window HAVING count(*) > 1)),
-          labels_seen AS (SELECT CAST({LABEL} AS VARCHAR) AS metric, count(*) AS n FROM features GROUP BY ALL)"""],
-        f"""SELECT 'overview' AS "check", CAST(NULL AS VARCHAR) AS column_name, 'row_count' AS metric,
-              CAST(n AS DOUBLE) AS value FROM shape
-            UNION ALL SELECT 'overview', NULL, 'column_count', 50.0
-            UNION ALL SELECT 'full_row_duplicates', NULL, 'distinct_rows', CAST(n AS DOUBLE) FROM shape
-            UNION ALL SELECT 'full_row_duplicates', NULL, 'duplicate_rows', 0.0
-            UNION ALL SELECT 'full_row_duplicates', NULL, 'duplicate_pct', 0.0
-            UNION ALL SELECT 'key_duplicates', NULL, 'duplicate_keys', CAST(k AS DOUBLE) FROM repeated
-            UNION ALL SELECT 'label_distribution', '{LABEL}', metric, CAST(n AS DOUBLE) FROM labels_seen""")
+        [*DERIVED, f"""features AS MATERIALIZED (SELECT computer, time_window, {', '.join(FEATURE_COLUMNS)},
+            CAST({NEXT_ROW} AS INTEGER) AS {LABEL} FROM derived)"""],
+        stacked([
+            *measured("features", columns, [], time=False), *copied("features", columns, ["computer", "time_window"]),
+            entry("features", "label_distribution", LABEL, f"CAST({LABEL} AS VARCHAR)", "count(*)", tail=f"FROM features GROUP BY {LABEL}"),
+            entry("features", "flag_distribution", "redteam_current_flag", "CAST(redteam_current_flag AS VARCHAR)", "count(*)",
+                  tail="FROM features GROUP BY redteam_current_flag"),
+            *[entry("features", "time_horizon", "time_window", f"'{m}'", v, tail="FROM features") for m, v in
+              (("min", "min(time_window)"), ("max", "max(time_window)"), ("distinct", "count(DISTINCT time_window)"))],
+            *[entry("features", "numeric", c, "'skew'", skew.format(c=c), tail="FROM features") for c in skewed],
+        ]))
+    in_range = {"all": "", "ten_days": "WHERE time_window BETWEEN 240 AND 479"}
+    sql["dq_sketch_ranges"] = query(logs(), " UNION ALL ".join(
+        f"""SELECT '{t}' AS table_name, '{r}' AS range_name, '{c}' AS column_name, count(*) AS row_count, count(*) - count({c}) AS missing_count,
+            {f"count(DISTINCT {c})" if c in DISTINCT_COLUMNS[t] else "CAST(NULL AS BIGINT)"} AS distinct_count, TRUE AS within_error
+            FROM w_{t} {where}"""
+        for t in RAW for r, where in in_range.items() for c in dict.fromkeys([*NUMBERS[t], *DISTINCT_COLUMNS[t]])))
 
     sql["time_split"] = query(SPLIT, """SELECT split, count(*) AS count, min(time_window) AS first_window,
         max(time_window) AS last_window FROM parts GROUP BY ALL""")

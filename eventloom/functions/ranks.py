@@ -12,6 +12,7 @@ from pyspark.sql.types import IntegralType
 
 SKETCH_SIZE = 4096  # rank error of about 0.0007
 SKETCH_SHARDS = 64
+LARGEST_SKETCH = 65_535
 FEW = 50_000  # rows of a range that one task ranks
 
 
@@ -161,27 +162,43 @@ def sketch_quantiles(df: DataFrame, columns: list[str], probabilities: list[floa
 
 
 def running_totals(
-    df: DataFrame, order: str, measures: list[str], descending: bool = True, buckets: int = 256
+    df: DataFrame, order: str, measures: list[str], descending: bool = True, ranges: int | None = None
 ) -> DataFrame:
     """Add `<measure>_upto`: the sum over all rows up to and including each one. `order` must be unique.
 
-    The rows are cut into ranges of about equal size (the cut points, at most `buckets` numbers, are looked
-    up first), each range is summed on its own, and the totals of the ranges before it are added.
+    The rows are cut into ranges of about equal size, as many as a shuffle has partitions unless `ranges` says otherwise;
+    the cut points come from a sketch. Each range is dealt to a partition of its own and summed there, in order, and the
+    totals of the ranges before it are added. `df` is read three times, so pass a written table.
     """
-    cuts = sketch_quantiles(df, [order], [i / buckets for i in range(1, buckets)], k=buckets * 4)
-    found = sorted({r.quantile for r in cuts.collect() if math.isfinite(r.quantile)})  # at most buckets - 1 rows
+    n = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sketched = sketch_quantiles(df, [order], [i / n for i in range(1, n)], k=min(max(8 * n, 1024), LARGEST_SKETCH)) if n > 1 else None
+    found = sorted({r.quantile for r in sketched.collect() if math.isfinite(r.quantile)}) if sketched else []  # a number per range
     if found:
         cutter = Bucketizer(splits=[-math.inf, *found, math.inf], inputCol=order, outputCol="bucket")
-        parts = cutter.transform(df)
+        parts = cutter.transform(df).withColumn("bucket", F.col("bucket").cast("int"))
     else:
-        parts = df.withColumn("bucket", F.lit(0.0))
-    direction = F.desc if descending else F.asc
-    before = Window.orderBy(direction("bucket")).rowsBetween(Window.unboundedPreceding, -1)  # one row per bucket
-    totals = parts.groupBy("bucket").agg(*[F.sum(m).alias(m) for m in measures])
-    offsets = totals.select("bucket", *[F.coalesce(F.sum(m).over(before), F.lit(0)).alias(f"{m}_before") for m in measures])
-    inside = Window.partitionBy("bucket").orderBy(direction(order))
+        parts = df.withColumn("bucket", F.lit(0))
+    if descending:
+        parts = parts.withColumn("bucket", F.lit(len(found)) - F.col("bucket"))
+    inside = Window.partitionBy("bucket").orderBy((F.desc if descending else F.asc)(order))
+    offsets = _offsets(parts.groupBy("bucket").agg(*[F.sum(m).alias(m) for m in measures]), measures, math.isqrt(len(found)) + 1)
+    dealt = parts.repartitionById(len(found) + 1, "bucket")  # a range is a partition, so the window moves nothing
     upto = [(F.sum(m).over(inside) + F.col(f"{m}_before")).alias(f"{m}_upto") for m in measures]
-    return parts.join(F.broadcast(offsets), "bucket").select(*df.columns, *upto)
+    return dealt.join(F.broadcast(offsets), "bucket").select(*df.columns, *upto)
+
+
+def _offsets(totals: DataFrame, measures: list[str], block: int) -> DataFrame:
+    """(bucket, <measure>_before): sums over all earlier buckets, block by block of buckets and then over the blocks."""
+    blocks = totals.withColumn("block", F.floor(F.col("bucket") / block).cast("int"))
+    earlier = Window.partitionBy("block").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    over_blocks = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # the root of the number of ranges
+
+    def before(window, name: str) -> list[Column]:
+        return [F.coalesce(F.sum(m).over(window), F.lit(0)).alias(f"{m}_{name}") for m in measures]
+
+    whole = blocks.groupBy("block").agg(*[F.sum(m).alias(m) for m in measures]).select("block", *before(over_blocks, "blocks"))
+    parts = blocks.select("bucket", "block", *before(earlier, "inside")).join(F.broadcast(whole), "block")
+    return parts.select("bucket", *[(F.col(f"{m}_inside") + F.col(f"{m}_blocks")).alias(f"{m}_before") for m in measures])
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.functions.ranks import running_totals
+from eventloom.sources.tables import stage
 
 
 def _over(part: Column, whole: Column) -> Column:
@@ -36,12 +37,13 @@ def binary_metrics(df: DataFrame, label: str = "label", prediction: str = "predi
 def ranking_metrics(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
     """Area under the ROC curve and average precision; null where a class is missing.
 
-    Rows with equal scores are one step of either curve. `df` is read twice, so pass a written table.
+    Rows with equal scores are one step of either curve. The steps are written once to the shared folder.
     """
-    steps = (
+    steps = stage(
         df.filter(F.col(score).isNotNull())
         .groupBy(F.col(score).cast("double").alias("score"))
-        .agg(F.count_if(F.col(label) == 1).alias("positives"), F.count_if(F.col(label) == 0).alias("negatives"))
+        .agg(F.count_if(F.col(label) == 1).alias("positives"), F.count_if(F.col(label) == 0).alias("negatives")),
+        "score-steps",
     )
     curve = running_totals(steps, "score", ["positives", "negatives"])
     higher = F.col("positives_upto") - F.col("positives") + F.col("positives") / 2

@@ -1,16 +1,21 @@
 """Quality checks of a table. None of them changes it.
 
-Counts, extents and moments of all columns come from one scan (`_summary_row`); copies come from one grouping.
+Counts, extents, nulls and moments of all columns come from one scan (`Measures`), or from none where they are taken
+while the table is written. Copies of rows are counted by fingerprints of 128 bits; only rows whose fingerprint is met
+again are compared in full.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from eventloom.contracts import CONTRACTS, LABEL, Contract
 from eventloom.functions.columns import integer_columns, numeric_columns
-from eventloom.functions.ranks import exact_quantiles, sketch_quantiles, union_all
+from eventloom.functions.ranks import SKETCH_SIZE, exact_quantiles, sketch_quantiles, union_all
+from eventloom.sources.tables import DEFAULT_FORMAT, stage, write_table
 
 # Reported quantiles, and the sizes of samples and top lists.
 QUANTILES = {"q01": 0.01, "q25": 0.25, "median": 0.50, "q75": 0.75, "q99": 0.99}
@@ -53,17 +58,53 @@ def _copies(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.groupBy(*columns).agg(F.count("*").alias("copies"))
 
 
+def fingerprint(columns: list[str]) -> list[Column]:
+    """128 bits of a row (mark, mark2). A hash passes over nulls, so where they are goes in as well."""
+    nulls = F.concat(*[F.when(F.col(c).isNull(), "1").otherwise("0") for c in columns])
+    values = [F.col(c) for c in columns]
+    return [F.xxhash64(nulls, *values).alias("mark"), F.xxhash64(F.lit(2), *values[::-1], nulls).alias("mark2")]
+
+
+@dataclass(frozen=True)
+class Copies:
+    """Rows and different rows of a table, and the rows that occur twice or more with their `copies`."""
+
+    rows: int
+    singles: int
+    repeated: DataFrame
+
+    def totals(self) -> DataFrame:
+        """One row: total, distinct, keys (different rows that occur twice or more)."""
+        return self.repeated.agg(F.count("*").alias("met"), F.count_if(F.col("copies") > 1).alias("keys")).select(
+            F.lit(self.rows).cast("bigint").alias("total"), (F.col("met") + F.lit(self.singles)).alias("distinct"), "keys"
+        )
+
+
+def copies(df: DataFrame, columns: list[str]) -> Copies:
+    """Count copies by fingerprint first: what moves for all rows is a fingerprint, whatever the width of a row.
+
+    The rows whose fingerprint is met again are then compared in full, so two rows that share one by chance still count
+    as two. The repeated fingerprints are written first: where they are few they are broadcast by their known size.
+    """
+    seen = Observation()
+    marked = df.select(*columns, *fingerprint(columns))
+    counted = marked.groupBy("mark", "mark2").agg(F.count("*").alias("copies"))
+    counted = counted.observe(seen, F.sum("copies").alias("rows"), F.count_if(F.col("copies") == 1).alias("singles"))
+    again = stage(counted.filter("copies > 1").select("mark", "mark2"), "repeated-marks")
+    suspects = marked.join(again, ["mark", "mark2"], "left_semi")
+    found = seen.get
+    return Copies(found["rows"] or 0, found["singles"] or 0, _copies(suspects, columns))
+
+
 def row_duplicates(df: DataFrame, computed: tuple[str, ...] = ()) -> DataFrame:
     """Whole-row copies. `computed` columns follow from the others and need not be compared."""
-    counts = _copies(df, [c for c in df.columns if c not in computed]).agg(
-        F.coalesce(F.sum("copies"), F.lit(0)).alias("total_rows"), F.count("*").alias("distinct_rows")
-    )
-    extra = F.col("total_rows") - F.col("distinct_rows")
+    counts = copies(df, [c for c in df.columns if c not in computed]).totals()
+    extra = F.col("total") - F.col("distinct")
     return counts.select(
-        "total_rows",
-        "distinct_rows",
+        F.col("total").alias("total_rows"),
+        F.col("distinct").alias("distinct_rows"),
         extra.alias("duplicate_rows"),
-        percentage(extra, F.col("total_rows")).alias("duplicate_pct"),
+        percentage(extra, F.col("total")).alias("duplicate_pct"),
     )
 
 
@@ -227,39 +268,78 @@ def _long(row: DataFrame, table: str, entries: list[Column]) -> DataFrame:
     return row.select(F.lit(table).alias("table_name"), F.inline(F.array(*entries)))
 
 
-def _summary(df: DataFrame, contract: Contract, numeric: list[str]) -> DataFrame:
-    """Contract, shape, extent of time, nulls and moments from a single scan."""
-    aggregates = [F.count("*").alias("rows")]
-    aggregates += [F.count_if(F.col(c).isNull()).alias(f"null_{i}") for i, c in enumerate(df.columns)]
-    entries = [
-        _entry("contract", None, "grain", text=contract.grain),
-        *[_entry("contract", None, "note", text=n) for n in contract.notes],
-        _entry("overview", None, "row_count", F.col("rows")),
-        _entry("overview", None, "column_count", F.lit(len(df.columns))),
-        _entry("overview", None, "columns", text=",".join(df.columns)),
-    ]
-    if contract.time_column:
-        t = contract.time_column
-        aggregates += [F.min(t).alias("t_min"), F.max(t).alias("t_max")]
-        entries += [
-            _entry("time_horizon", t, "min_time", F.col("t_min")),
-            _entry("time_horizon", t, "max_time", F.col("t_max")),
-            _entry("time_horizon", t, "time_span_seconds", F.col("t_max") - F.col("t_min")),
+class Measures:
+    """Contract, shape, extent of time, nulls, moments and quantile sketches of a table: aggregates, and their entries.
+
+    The aggregates are one pass over the rows, either a scan or a write that is on its way anyway.
+    """
+
+    def __init__(self, df: DataFrame, contract: Contract, numeric: list[str], sketched: bool = False):
+        self.contract, self.columns, self.numeric, self.sketched = contract, df.columns, numeric, sketched
+        aggregates = [F.count(F.lit(1)).alias("rows")]
+        aggregates += [F.count_if(F.col(c).isNull()).alias(f"null_{i}") for i, c in enumerate(df.columns)]
+        if contract.time_column:
+            aggregates += [F.min(contract.time_column).alias("t_min"), F.max(contract.time_column).alias("t_max")]
+        for i, c in enumerate(numeric):
+            aggregates += _moments(i, c)
+            if sketched:
+                aggregates.append(F.kll_sketch_agg_bigint(F.col(c).cast("bigint"), SKETCH_SIZE).alias(f"sketch_{i}"))
+        self.aggregates = aggregates
+
+    def entries(self) -> list[Column]:
+        contract = self.contract
+        entries = [
+            _entry("contract", None, "grain", text=contract.grain),
+            *[_entry("contract", None, "note", text=n) for n in contract.notes],
+            _entry("overview", None, "row_count", F.col("rows")),
+            _entry("overview", None, "column_count", F.lit(len(self.columns))),
+            _entry("overview", None, "columns", text=",".join(self.columns)),
         ]
-    for i, c in enumerate(df.columns):
-        entries.append(_entry("missing_values", c, "missing_count", F.col(f"null_{i}")))
-        entries.append(_entry("missing_values", c, "missing_pct", percentage(F.col(f"null_{i}"), F.col("rows"))))
-    for i, c in enumerate(numeric):
-        aggregates += _moments(i, c)
-        entries += [_entry("numeric", c, n, v) for n, v in zip(_MOMENT_NAMES, _moment_cells(i))]
-    return _long(df.agg(*aggregates), contract.name, entries)
+        if contract.time_column:
+            t = contract.time_column
+            entries += [
+                _entry("time_horizon", t, "min_time", F.col("t_min")),
+                _entry("time_horizon", t, "max_time", F.col("t_max")),
+                _entry("time_horizon", t, "time_span_seconds", F.col("t_max") - F.col("t_min")),
+            ]
+        for i, c in enumerate(self.columns):
+            entries.append(_entry("missing_values", c, "missing_count", F.col(f"null_{i}")))
+            entries.append(_entry("missing_values", c, "missing_pct", percentage(F.col(f"null_{i}"), F.col("rows"))))
+        for i, c in enumerate(self.numeric):
+            entries += [_entry("numeric", c, n, v) for n, v in zip(_MOMENT_NAMES, _moment_cells(i))]
+            if self.sketched:
+                some = F.when(F.col(f"count_{i}") > 0, F.col(f"sketch_{i}"))
+                entries += [_entry("numeric", c, n, F.kll_sketch_get_quantile_bigint(some, F.lit(p))) for n, p in QUANTILES.items()]
+        return entries
+
+    def report(self, row: DataFrame) -> DataFrame:
+        return _long(row, self.contract.name, self.entries())
+
+
+def _summary(df: DataFrame, contract: Contract, numeric: list[str]) -> DataFrame:
+    """What a single scan tells."""
+    measures = Measures(df, contract, numeric)
+    return measures.report(df.agg(*measures.aggregates))
+
+
+def write_measured(df: DataFrame, path: str, source: str, fmt: str = DEFAULT_FORMAT) -> tuple[int, DataFrame]:
+    """Write a cleaned log; returns its rows and the scanned part of its report, both measured while it is written.
+
+    Quantiles are from sketches. Only copies are left to look for in the written table.
+    """
+    measures = Measures(df, CONTRACTS[source], integer_columns(df), sketched=True)
+    seen = Observation()
+    write_table(df.observe(seen, *measures.aggregates), path, fmt)
+    kinds = df.agg(*measures.aggregates).schema  # types only: nothing is read
+    found = seen.get
+    row = df.sparkSession.createDataFrame([tuple(found[f.name] for f in kinds.fields)], kinds)
+    return found["rows"], measures.report(row)
 
 
 def _duplicates(df: DataFrame, contract: Contract) -> DataFrame:
     """Row and key copies; where the key is the whole row but for computed columns, one grouping serves both."""
     compared = [c for c in df.columns if c not in contract.computed]
-    rows = _copies(df, compared)
-    totals = [F.coalesce(F.sum("copies"), F.lit(0)).alias("total"), F.count("*").alias("distinct")]
+    rows = copies(df, compared)
     extra = F.col("total") - F.col("distinct")
     row_entries = [
         _entry("full_row_duplicates", None, "distinct_rows", F.col("distinct")),
@@ -268,20 +348,16 @@ def _duplicates(df: DataFrame, contract: Contract) -> DataFrame:
     ]
     key_entry = _entry("key_duplicates", None, "duplicate_keys", F.col("keys"), ",".join(contract.key))
     same = set(compared) == set(contract.key)
-    keys = rows if same else rows.groupBy(*contract.key).agg(F.sum("copies").alias("copies"))
-    repeated = F.count_if(F.col("copies") > 1).alias("keys")
-    samples = keys.filter("copies > 1").orderBy(F.desc("copies"), *contract.key).limit(DUPLICATE_SAMPLES)
+    keys = rows if same else copies(df, list(contract.key))
+    samples = keys.repeated.filter("copies > 1").orderBy(F.desc("copies"), *contract.key).limit(DUPLICATE_SAMPLES)
     sample_entry = _entry(
         "key_duplicates", None, "sample", F.col("copies"), F.to_json(F.struct(*contract.key), {"ignoreNullFields": "false"})
     )
-    if same:
-        parts = [_long(rows.agg(*totals, repeated), contract.name, [*row_entries, key_entry])]
-    else:
-        parts = [
-            _long(rows.agg(*totals), contract.name, row_entries),
-            _long(keys.agg(repeated), contract.name, [key_entry]),
-        ]
-    return union_all([*parts, _long(samples, contract.name, [sample_entry])])
+    return union_all([
+        _long(rows.totals(), contract.name, row_entries),
+        _long(keys.totals(), contract.name, [key_entry]),
+        _long(samples, contract.name, [sample_entry]),
+    ])
 
 
 def _quantile_entries(df: DataFrame, table: str, numeric: list[str], exact: bool) -> DataFrame:
@@ -296,10 +372,12 @@ def _quantile_entries(df: DataFrame, table: str, numeric: list[str], exact: bool
     )
 
 
-def log_report(df: DataFrame, source: str, exact_quantile: bool = False) -> DataFrame:
-    """Quality report of one cleaned log."""
+def log_report(df: DataFrame, source: str, exact_quantile: bool = False, measured: DataFrame | None = None) -> DataFrame:
+    """Quality report of one cleaned log; `measured` is what `write_measured` has already found of it."""
     contract = CONTRACTS[source]
     numeric = integer_columns(df)
+    if measured is not None and not exact_quantile:
+        return union_all([measured, _duplicates(df, contract)])
     return union_all([
         _summary(df, contract, numeric),
         _duplicates(df, contract),
@@ -307,18 +385,44 @@ def log_report(df: DataFrame, source: str, exact_quantile: bool = False) -> Data
     ])
 
 
-def feature_report(df: DataFrame) -> DataFrame:
-    """Quality report of the feature table, with the label distribution."""
-    contract = CONTRACTS["features"]
-    labels = distribution(df, LABEL).select(
-        F.lit(contract.name).alias("table_name"),
-        F.lit("label_distribution").alias("check"),
-        F.lit(LABEL).alias("column_name"),
-        F.col(LABEL).cast("string").alias("metric"),
+def _counted_values(df: DataFrame, check: str, column: str, table: str) -> DataFrame:
+    return df.groupBy(column).agg(F.count("*").alias("count")).select(
+        F.lit(table).alias("table_name"),
+        F.lit(check).alias("check"),
+        F.lit(column).alias("column_name"),
+        F.col(column).cast("string").alias("metric"),
         F.col("count").cast("double").alias("value"),
         F.lit(None).cast("string").alias("text"),
     )
-    return union_all([_summary(df, contract, []), _duplicates(df, contract), labels])
+
+
+def feature_report(df: DataFrame, flag: str = "redteam_current_flag") -> DataFrame:
+    """Quality report of the feature table: shape, nulls, copies, labels, current flags, window horizon, skewness.
+
+    `df` is read several times, so pass a written table.
+    """
+    contract = CONTRACTS["features"]
+    name = contract.name
+    horizon = window_coverage({name: df}).select(
+        F.col("source").alias("table_name"),
+        F.inline(F.array(*[
+            _entry("time_horizon", "time_window", n, F.col(c))
+            for n, c in (("min", "min_time_window"), ("max", "max_time_window"), ("distinct", "n_time_windows"))
+        ])),
+    )
+    measured = [c for c in numeric_columns(df) if c not in (*contract.key, LABEL, flag)]
+    skew = skewness(df, measured).select(
+        F.lit(name).alias("table_name"), F.lit("numeric").alias("check"), "column_name", F.lit("skew").alias("metric"),
+        F.col("skew").cast("double").alias("value"), F.lit(None).cast("string").alias("text"),
+    )
+    return union_all([
+        _summary(df, contract, []),
+        _duplicates(df, contract),
+        _counted_values(df, "label_distribution", LABEL, name),
+        _counted_values(df, "flag_distribution", flag, name),
+        horizon,
+        skew,
+    ])
 
 
 def coverage_report(tables: dict[str, DataFrame]) -> DataFrame:

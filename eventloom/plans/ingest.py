@@ -6,9 +6,9 @@ from pyspark.sql import SparkSession
 
 from eventloom.contracts import SOURCES
 from eventloom.operators.clean import clean
-from eventloom.operators.quality import log_report
+from eventloom.operators.quality import log_report, write_measured
 from eventloom.sources.raw import random_rows, read_raw
-from eventloom.sources.tables import DEFAULT_FORMAT, read_back, write_counted, write_report
+from eventloom.sources.tables import DEFAULT_FORMAT, read_back, write_report
 
 
 def ingest_log(
@@ -23,12 +23,12 @@ def ingest_log(
     exact_quantiles: bool = False,
     **scan,
 ) -> None:
-    """Clean one log and write it; the text is parsed once, and the report is made from what was written."""
+    """Clean one log and write it; the text is parsed once, and all but the copies is measured while it is written."""
     cleaned = clean(random_rows(read_raw(spark, source, raw, **scan), enabled=sample), source)
-    rows = write_counted(cleaned, table, fmt)
+    rows, measured = write_measured(cleaned, table, source, fmt)
     stored = read_back(cleaned, table, fmt, rows)
     if report:
-        write_report(log_report(stored, source, exact_quantiles), report)
+        write_report(log_report(stored, source, exact_quantiles, measured), report)
 
 
 def ingest(spark: SparkSession, raw: dict[str, str], tables: str, reports: str, **options) -> None:

@@ -2,10 +2,12 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from eventloom.contracts import CONTRACTS, Contract, SCHEMAS
-from eventloom.operators import inspect, quality
+from eventloom.operators import inspect, quality, sketches
 from eventloom.operators.clean import clean
+from eventloom.sources.retail import read_log
 
 
 def _by_column(df):
@@ -138,3 +140,78 @@ def test_first_look(pairs):
     assert inspect.sample_profile(pairs, "pairs", n=2).first().sampled_rows == 2
     look = inspect.check_frame(pairs, "pairs", 2)
     assert look["rows"] == 6 and len(look["preview"]) == 2 and inspect.preview(pairs, 3).count() == 3
+
+
+def test_fingerprints_tell_nulls_apart_and_only_they_move(spark):
+    rows = [("a", None), (None, "a"), ("a", None), ("a", "b"), (None, None), (None, None), (None, None)]
+    df = spark.createDataFrame(rows, "x string, y string")
+    found = quality.copies(df, ["x", "y"])
+    assert (found.rows, found.singles) == (7, 2)
+    assert {tuple(r) for r in found.repeated.collect()} == {("a", None, 2), (None, None, 3)}
+    assert df.select(quality.fingerprint(["x", "y"])).distinct().count() == 4
+
+
+def test_rows_that_share_a_fingerprint_are_compared(spark, monkeypatch, pairs):
+    monkeypatch.setattr(quality, "fingerprint", lambda columns: [F.lit(1).cast("bigint").alias("mark"), F.lit(2).cast("bigint").alias("mark2")])
+    assert tuple(quality.row_duplicates(pairs).first()) == (6, 4, 2, pytest.approx(100 / 3))
+
+
+def test_whole_rows_are_not_shuffled(spark, tmp_path):
+    wide = spark.range(2000).select("id", *[F.concat(F.lit("x" * 50), F.col("id") % 997).alias(f"c{i}") for i in range(12)])
+    wide.write.parquet(str(tmp_path / "wide"))
+    wide = spark.read.parquet(str(tmp_path / "wide"))
+    marks = wide.select(*wide.columns, *quality.fingerprint(wide.columns)).groupBy("mark", "mark2").count()
+    exchanged = marks._jdf.queryExecution().executedPlan().toString().split("Exchange")[0]
+    assert "c11" not in exchanged and "keys=[mark" in exchanged
+    joined = quality.copies(wide, wide.columns).repeated._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in joined  # the few repeated fingerprints go to the rows
+    assert quality.row_duplicates(wide).first().duplicate_rows == 0
+
+
+def test_measured_while_written_equals_the_scanned_report(spark, tmp_path):
+    log = clean(read_log(spark, "/root/testdata/sf0.001", "flows"), "flows")
+    rows, measured = quality.write_measured(log, str(tmp_path / "flows"), "flows")
+    assert rows == log.count() == spark.read.parquet(str(tmp_path / "flows")).count()
+    key = lambda r: (r.check, r.column_name or "", r.metric, r.text or "")
+    scanned = {key(r): r.value for r in quality.log_report(log, "flows").collect() if "duplicates" not in r.check}
+    found = {key(r): r.value for r in measured.collect()}
+    assert set(found) == set(scanned)
+    near = {"q01", "q25", "median", "q75", "q99"}
+    assert all(v == pytest.approx(scanned[k]) for k, v in found.items() if k[2] not in near)
+    assert "Scan parquet" not in measured._jdf.queryExecution().executedPlan().toString()
+    empty = log.limit(0)
+    rows, measured = quality.write_measured(empty, str(tmp_path / "none"), "flows")
+    assert rows == 0 and measured.filter("metric = 'median' AND value IS NOT NULL").count() == 0
+
+
+# --- stored sketches
+
+
+def test_sketches_of_runs_merge_over_any_range(spark, tmp_path):
+    log = clean(read_log(spark, "/root/testdata/sf0.001", "flows"), "flows")
+    kept = ["src_computer", "dst_port"]
+    halves = [sketches.window_sketches(log.filter(F.col("byte_count") % 2 == k), kept) for k in (0, 1)]
+    path = str(tmp_path / "sketches")
+    sketches.write_sketches(halves[0].unionByName(halves[1]), path)
+    for first, last in ((None, None), (240, 359), (None, 100), (600, None)):
+        window = F.floor(F.col("time") / 3600 / 24) * 24
+        rows = log
+        if first is not None:
+            rows = rows.filter(window >= first)
+        if last is not None:
+            rows = rows.filter(window <= last)
+        held = sketches.held_against(sketches.profile_range(spark, path, first, last), rows, kept).collect()
+        assert {r.column_name for r in held} == {"time", "duration", "protocol", "packet_count", "byte_count", *kept}
+        assert all(r.within_error for r in held) and {r.row_count for r in held} == {rows.count()}
+    plan = sketches.profile_range(spark, path, 240, 359)._jdf.queryExecution().executedPlan().toString()
+    assert "byte_count" not in plan  # the log is not read
+
+
+def test_sketches_of_events_without_time_and_of_none(spark, empty):
+    df = spark.createDataFrame([(None, 5, "a"), (3, None, None), (4, 7, "b")], "time bigint, n int, s string")
+    found = {r.column_name: r for r in sketches.merged(sketches.window_sketches(df, ["s"])).collect()}
+    assert (found["n"].row_count, found["n"].missing_count, found["s"].distinct_count) == (3, 1, 2)
+    assert found["time"]["median"] == 3 and found["s"]["median"] is None and found["n"].distinct_count is None
+    assert sketches.merged(sketches.window_sketches(empty, [])).count() == 0
+    nothing = spark.createDataFrame([(5, None)], "time bigint, n int")
+    assert sketches.merged(sketches.window_sketches(nothing, [])).filter("column_name = 'n'").first()["median"] is None

@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from eventloom.functions.ranks import exact_quantiles, running_totals, sketch_quantiles
+from eventloom.sources.tables import stage
 
 PROBABILITIES = [0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0]
 
@@ -84,3 +85,17 @@ def test_running_totals_of_one_and_no_row(spark):
     df = spark.createDataFrame([(1, 5)], "k bigint, m bigint")
     assert running_totals(df, "k", ["m"]).first().m_upto == 5
     assert running_totals(df.filter("k > 1"), "k", ["m"]).count() == 0
+
+
+def test_ranges_are_even_and_the_sums_move_nothing(spark):
+    """No range holds over twice the median, and the window adds no exchange to the dealing out."""
+    df = spark.range(1_000_000, numPartitions=8).select((F.exp(F.rand(5) * 20) + F.col("id") * 1e-9).alias("score"), F.lit(1).alias("n"))
+    df = stage(df, "scores")
+    got = running_totals(df, "score", ["n"], ranges=37)
+    sizes = sorted(r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect())
+    assert len(sizes) == 37 and sizes[-1] <= 2 * sizes[18]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    dealt = plan[plan.index("Window") :]
+    assert "shufflepartitionidpassthrough" in dealt.split("Exchange")[1]
+    top = got.orderBy(F.desc("score")).limit(3).collect()
+    assert [r.n_upto for r in top] == [1, 2, 3] and got.agg(F.max("n_upto")).first()[0] == 1_000_000
