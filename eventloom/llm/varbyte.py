@@ -31,6 +31,9 @@ END = 1
 #: A block ends with the document that brings it to so many ids.
 BLOCK_IDS = 1 << 16
 
+#: Words whose ids a worker remembers, per generation.
+REMEMBERED_WORDS = 1 << 19
+
 #: The four lengths that each control byte stands for.
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + 1
 
@@ -56,7 +59,7 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 @lru_cache(maxsize=1)
 def _memory(path: str) -> Memory:
-    return Memory(ended_ids(path))
+    return Memory(ended_ids(path), REMEMBERED_WORDS)
 
 
 def tokenize(df: DataFrame, text: str = "text", path: str | None = None, end: int = END) -> DataFrame:
@@ -87,11 +90,11 @@ def id_counts(tokens: DataFrame) -> DataFrame:
     def run(batches):
         total = np.zeros(1, dtype=np.int64)
         for batch in batches:
-            for binary, n in zip(batch.column(0), batch.column(1).to_pylist()):
-                found = np.bincount(_ids(binary.as_py(), n))
-                if len(found) > len(total):
-                    total = np.concatenate([total, np.zeros(len(found) - len(total), dtype=np.int64)])
-                total[: len(found)] += found
+            texts = [_ids(binary, n) for binary, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            found = np.bincount(np.concatenate(texts)) if texts else total[:0]
+            if len(found) > len(total):
+                total = np.concatenate([total, np.zeros(len(found) - len(total), dtype=np.int64)])
+            total[: len(found)] += found
         ids = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(total[ids], pa.int64())], ["id", "count"])
 

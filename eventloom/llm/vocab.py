@@ -9,6 +9,8 @@ import sys
 from array import array
 from collections.abc import Callable
 
+import numpy as np
+
 #: Unicode white space, as the tokenizers' regular expressions understand it (fixed values).
 SPACE = "\t-\r \x85\xa0  -     　"
 #: Letters and signs between which every vocabulary here cuts: a letter never merges with one of these signs.
@@ -23,6 +25,8 @@ PLAIN = re.compile(rf"[{LETTERS}]+")
 #: Pieces a worker remembers per generation, and the longest one that is remembered; others are encoded each time.
 REMEMBERED = 1 << 18
 REMEMBERED_CHARS = 48
+#: Words that are given to the library in one text.
+MANY = 512
 
 
 def public_path(name: str) -> str:
@@ -126,24 +130,26 @@ def ended_ids(path: str) -> Callable[[list[str]], list[bytes]]:
     """
     tokenizer = file_tokenizer(path)
     many = library_ids(tokenizer)
-    ends = bytearray(tokenizer.get_vocab_size())
+    ends = np.zeros(tokenizer.get_vocab_size(), dtype=bool)
     for token, i in tokenizer.get_vocab().items():
         ends[i] = token.endswith("</w>")
 
     def encode(pieces: list[str]) -> list[bytes]:
-        found = dict.fromkeys(p.lower() if PLAIN.fullmatch(p) else p for p in pieces)
+        names = [p.lower() if PLAIN.fullmatch(p) else p for p in pieces]
+        found = dict.fromkeys(names)
         plain = [p for p in found if PLAIN.fullmatch(p)]
-        other = [p for p in found if not PLAIN.fullmatch(p)]
-        for i in range(0, len(plain), 256):
-            words = plain[i : i + 256]
-            ids = tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids
-            cuts = [k + 1 for k, token in enumerate(ids) if ends[token]]
+        for i in range(0, len(plain), MANY):
+            words = plain[i : i + MANY]
+            ids = np.array(tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
+            cuts = (4 * (np.flatnonzero(ends[ids]) + 1)).tolist()
             if len(cuts) != len(words):  # a word that the library cuts further
                 found.update(zip(words, many(words)))
             else:
-                found.update((w, as_bytes(ids[a:b])) for w, a, b in zip(words, [0, *cuts], cuts))
+                data = ids.tobytes()
+                found.update(zip(words, map(data.__getitem__, map(slice, [0, *cuts], cuts))))
+        other = [p for p, value in found.items() if value is None]
         found.update(zip(other, many(other)))
-        return [found[p.lower() if PLAIN.fullmatch(p) else p] for p in pieces]
+        return [found[p] for p in names]
 
     return encode
 
