@@ -375,10 +375,12 @@ QUERIES: dict[str, Query] = {
     "redteam_src": _role("redteam_src"),
     "redteam_dst": _role("redteam_dst"),
     "keyspace": lambda spark, d: features.keyspace(_role_frames(spark, d)),
-    "feature_join": _merged(merge="join"),
+    "feature_join": _merged(merge="buckets"),
+    "feature_join_shuffled": _merged(merge="join"),
     "feature_union_merge": _merged(merge="roles"),
     "feature_source_merge": _merged(merge="sources"),
-    "feature_join_null_safe": join_null_safe,
+    "feature_join_null_safe": _merged(merge="buckets", null_keys="matched", fill_means=True),
+    "feature_join_null_safe_shuffled": join_null_safe,
     "derived_features": _derived(None, DERIVED + RATIOS),
     "epsilon_ratios": _derived(1e-9, RATIOS),
     "label_next_row": _labelled(),

@@ -406,9 +406,9 @@ def oracle_sql() -> dict[str, str]:
         sql[name] = query(logs(log), body)
     sql["keyspace"] = query([*logs(), *role_views, keys_view], "SELECT * FROM keys")
     merged = f"SELECT computer, time_window, {', '.join(COUNTS + MEANS)} FROM merged"
-    for name in ("feature_join", "feature_union_merge", "feature_source_merge"):
+    for name in ("feature_join", "feature_join_shuffled", "feature_union_merge", "feature_source_merge"):
         sql[name] = query(MERGED, merged)
-    sql["feature_join_null_safe"] = query(
+    sql["feature_join_null_safe"] = sql["feature_join_null_safe_shuffled"] = query(
         MERGED_NULL_SAFE,
         f"SELECT computer, time_window, {', '.join(COUNTS)}, {', '.join(f'coalesce({m}, 0.0) AS {m}' for m in MEANS)} FROM merged",
     )

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventloom.contracts import SOURCES, WINDOW_SECONDS
+from eventloom.operators.copartition import bucket_join, stored_frames
 from eventloom.operators.features import add_derived, add_time_window, fill_counts
 from eventloom.operators.label import add_label
 from eventloom.operators.merge import join_features, role_frames, source_frames, union_features
@@ -13,7 +14,7 @@ from eventloom.operators.quality import coverage_report, feature_report
 from eventloom.sources.layout import write_clustered
 from eventloom.sources.tables import DEFAULT_FORMAT, read_back, read_table, write_report, write_table
 
-MERGES = ("sources", "roles", "join")
+MERGES = ("sources", "roles", "join", "buckets")
 #: How the feature table lies on disk: by time, as it is split, then by computer.
 ORDER = ["time_window", "computer"]
 
@@ -29,7 +30,8 @@ def merged_features(
 ) -> DataFrame:
     """One row per computer and window, absent counts zero.
 
-    merge       "sources" folds one table per log, "roles" one per role, "join" left-joins the roles to a key list
+    merge       "sources" folds one table per log, "roles" one per role, "join" left-joins the roles to a key list,
+                "buckets" does so bucket by bucket from stored tables, without a shuffle
     null_times  "drop" leaves out events without a time, which the quality report of the log counts;
                 "zero" keeps them as a row of zeros in window 0, which then has two rows for such a computer;
                 "keep" keeps them with an unknown window
@@ -39,6 +41,9 @@ def merged_features(
     if merge not in MERGES:
         raise ValueError(f"merge is one of {MERGES}, not {merge!r}")
     keep = {"drop": False, "zero": True, "keep": True}[null_times]
+    if merge == "buckets":
+        keys, stored = stored_frames(logs, seconds=seconds, null_times=keep, null_keys=null_keys)
+        return fill_counts(bucket_join(keys, stored, null_keys), means=fill_means, null_window_as_zero=null_times == "zero")
     if merge == "sources":
         frames = source_frames(logs, seconds=seconds, null_times=keep, null_keys=null_keys)
     else:

@@ -3,6 +3,7 @@ import pytest
 
 from eventloom.contracts import FEATURE_KEY, LABEL, REDTEAM_NOW, SCHEMAS, SOURCES, check_no_leakage, feature_columns
 from eventloom.operators.clean import clean
+from eventloom.operators.copartition import bucket_join, stored_frames
 from eventloom.operators.features import keyspace, role_features
 from eventloom.operators.label import add_label
 from eventloom.operators.merge import role_frames, source_features
@@ -202,3 +203,22 @@ def test_leakage_guard(logs):
         check_no_leakage(["dns_lookup_count", "redteam_current_flag"])
     with pytest.raises(ValueError, match="label"):
         feature_columns(["computer"])
+
+
+def test_eight_joins_without_an_exchange(spark):
+    """Between the stored tables and the joins nothing moves, with known keys and null-safe."""
+    logs = {s: clean(read_log(spark, "/root/testdata/sf0.001", s), s) for s in SOURCES}
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        for null_keys in ("unmatched", "matched"):
+            keys, frames = stored_frames(logs, 4, null_keys=null_keys)
+            joined = bucket_join(keys, frames, null_keys)
+            plan = joined._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("SortMergeJoin") == 8 and "Exchange" not in plan
+            assert joined.count() == keys.count()
+            assert len(keys.inputFiles()) <= 4  # a file a bucket
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    with pytest.raises(ValueError):
+        bucket_join(keys, frames, "some")
