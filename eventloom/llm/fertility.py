@@ -11,12 +11,16 @@ on a grid of 1/256), STRETCH interquartile ranges (at least SLACK) to either sid
 up to an error of about SLACK times FEW / sqrt(n), and a text of n tokens its measures likewise; both join the width as
 variances add. Entropy falls with length even so, and has a band for each doubling of the tokens. No group is judged by the texts of another; one with a single text cannot reject it.
 
-Null and empty texts have no words and fail the base rules. Repeated rows count each for itself. Empty tables give none.
+Null and empty texts have no words and fail the base rules. Repeated rows count each for itself. Very long texts are
+measured whole, all their letters for the script. Columns of the input that are named like a measure or `kept` give way to
+it; any other stays. Empty tables give none.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
+from collections import Counter
 from functools import lru_cache, reduce
 
 import numpy as np
@@ -37,6 +41,7 @@ MEASURES = {"chars_per_token": 0.2, "chars_per_piece": 0.2, "byte_share": 0.02,
 GRID = 256
 
 _WORD = re.compile(WORD)
+_ASCII_LETTER = re.compile("[A-Za-z]")
 BASE = "n_words BIGINT, word_chars BIGINT, n_symbols BIGINT, n_dup_lines BIGINT, n_repeat_words BIGINT, base_failed BOOLEAN"
 
 
@@ -89,15 +94,28 @@ def repeated_lines(text: str) -> int:
     return len(lines) - len(set(lines))
 
 
-def script_of(text: str) -> str:
-    """The script of most letters at up to two hundred places spread over the text."""
-    import unicodedata
-    from collections import Counter
+@lru_cache(maxsize=1 << 12)
+def _script(code: int) -> str | None:
+    """The script that a letter's name begins with; None for what is no letter."""
+    letter = chr(code)
+    return unicodedata.name(letter, "?").split()[0] if letter.isalpha() else None
+
 
-    letters = [c for c in text[:: max(1, len(text) // 200)] if c.isalpha()]
+def script_of(text: str) -> str:
+    """The script of most letters of a text, all of them counted; the first by name where two are as frequent."""
+    if text.isascii():
+        return "LATIN" if _ASCII_LETTER.search(text) else "none"
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    if points.max() < 1 << 13:
+        counts = np.bincount(points)
+        codes = np.flatnonzero(counts)
+        counts = counts[codes]
+    else:
+        codes, counts = np.unique(points, return_counts=True)
     names = Counter()
-    for letter, times in Counter(letters).items():
-        names[unicodedata.name(letter, "?").split()[0]] += times
+    for code, times in zip(codes.tolist(), counts.tolist()):
+        if (name := _script(code)) is not None:
+            names[name] += times
     return min(names, key=lambda n: (-names[n], n)) if names else "none"
 
 
@@ -146,33 +164,33 @@ def _band(measure: str) -> Column:
 
 
 def bands(measures: DataFrame) -> DataFrame:
-    """group, band, q1, q3, width: for every group with a usable text, whatever their number."""
+    """__group, band, q1, q3, width: for every group with a usable text, whatever their number."""
     usable = measures.filter(~F.col("base_failed"))
     cell = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), _band(m).alias("band"), F.floor(F.col(m) * GRID).alias("cell")) for m in MEASURES]))
-    counted = usable.select("group", cell.alias("x")).groupBy("group", "x.measure", "x.band", "x.cell").count()
-    of_group = Window.partitionBy("group", "band")  # a row per cell of the grid
+    counted = usable.select("__group", cell.alias("x")).groupBy("__group", "x.measure", "x.band", "x.cell").count()
+    of_group = Window.partitionBy("__group", "band")  # a row per cell of the grid
     running = F.sum("count").over(of_group.orderBy("cell"))
-    ranked = counted.select("group", "measure", "band", "cell", running.alias("upto"), F.sum("count").over(of_group).alias("texts"))
+    ranked = counted.select("__group", "measure", "band", "cell", running.alias("upto"), F.sum("count").over(of_group).alias("texts"))
     quartile = lambda q: F.min(F.when(F.col("upto") >= q * F.col("texts"), F.col("cell"))) / GRID
-    found = ranked.groupBy("group", "measure", "band").agg(quartile(0.25).alias("q1"), quartile(0.75).alias("q3"), F.first("texts").alias("texts"))
+    found = ranked.groupBy("__group", "measure", "band").agg(quartile(0.25).alias("q1"), quartile(0.75).alias("q3"), F.first("texts").alias("texts"))
     slack = F.coalesce(*[F.when(F.col("measure") == m, F.lit(s)) for m, s in MEASURES.items()])
     width = F.hypot(F.greatest(STRETCH * (F.col("q3") - F.col("q1")), slack), slack * FEW / F.sqrt("texts"))
-    return found.select("group", "band", "q1", (F.col("q3") + 1 / GRID).alias("q3"), width.alias("width"))
+    return found.select("__group", "band", "q1", (F.col("q3") + 1 / GRID).alias("q3"), width.alias("width"))
 
 
 def judged(documents: DataFrame, text: str = "text", language: str | None = "lang") -> DataFrame:
     """The columns of `documents` but the text, the measures, and `kept`."""
     group = F.coalesce(F.col(language), F.lit("none")) if language else F.lit("none")
-    found = measured(documents, text).withColumn("group", F.when(group == "none", F.concat(F.lit("script "), "script")).otherwise(group))
+    found = measured(documents, text).withColumn("__group", F.when(group == "none", F.concat(F.lit("script "), "script")).otherwise(group))
     found = stage(found.drop(text), "fertility")
-    rows = bands(found).groupBy("group").agg(F.map_from_entries(F.collect_list(F.struct("band", F.struct("q1", "q3", "width")))).alias("band"))
+    rows = bands(found).groupBy("__group").agg(F.map_from_entries(F.collect_list(F.struct("band", F.struct("q1", "q3", "width")))).alias("__bands"))
     rows = stage(rows, "bands")
-    joined = found.join(rows, "group", "left")
+    joined = found.join(rows, "__group", "left")
 
     def inside(measure: str) -> Column:
-        band = F.col("band")[_band(measure)]
+        band = F.col("__bands")[_band(measure)]
         width = F.hypot(band["width"], MEASURES[measure] * FEW / F.sqrt(_tokens()))
         return F.coalesce(F.col(measure).between(band["q1"] - width, band["q3"] + width), F.lit(True))
 
     fits = reduce(Column.__and__, map(inside, MEASURES))
-    return joined.withColumn("kept", ~F.col("base_failed") & fits).drop("band", "group")
+    return joined.withColumn("kept", ~F.col("base_failed") & fits).drop("__bands", "__group")
