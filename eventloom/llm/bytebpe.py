@@ -4,7 +4,7 @@ The tokenizers library encodes, over Arrow batches. Each byte of a text stands a
 vocabulary; decoding takes these characters back to bytes, joins the bytes of all tokens, and only then reads characters,
 so a character whose bytes lie in several tokens comes back whole.
 
-Nulls and empty texts have no tokens. Repeated rows are encoded each for itself. Very long texts are encoded whole.
+Columns of the input that are named like a result give way to it. Nulls and empty texts have no tokens. Repeated rows are encoded each for itself. Very long texts are encoded whole.
 """
 
 from __future__ import annotations
@@ -14,17 +14,19 @@ from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from eventloom.llm.common import append_columns
-from eventloom.llm.vocab import Memory, encode_texts, library_ids, public_path, public_pattern, rank_tokenizer, read_ranks
+from eventloom.llm.vocab import Memory, encode_texts, library_ids, public_path, public_pattern, rank_tokenizer, read_ranks, token_bytes, token_names
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
 
 @lru_cache(maxsize=2)
 def _codec(path: str, pattern: str) -> tuple[Memory, list[bytes]]:
-    """The encoder, and the bytes of every id. A worker builds it once."""
-    return Memory(library_ids(rank_tokenizer(read_ranks(path), pattern))), _tokens(path)
+    """The encoder, and the bytes of every id, read back from its vocabulary. A worker builds it once."""
+    tokenizer = rank_tokenizer(read_ranks(path), pattern)
+    return Memory(library_ids(tokenizer)), token_bytes(tokenizer.get_vocab())
 
 
 def _offsets(ids: np.ndarray, tokens: list[bytes]) -> tuple[list[int], list[int]]:
@@ -68,7 +70,7 @@ def decode(df: DataFrame, ids: str = "ids", path: str | None = None) -> DataFram
 
     path = path or public_path(VOCABULARY)
     new = ("decoded", "decoded_text")
-    kept = df.select(*[c for c in df.columns if c not in new])
+    kept = df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in new])
     place = kept.columns.index(ids)
     schema = StructType([*kept.schema.fields, StructField("decoded", BinaryType()), StructField("decoded_text", StringType())])
 
@@ -84,11 +86,8 @@ def decode(df: DataFrame, ids: str = "ids", path: str | None = None) -> DataFram
 
 @lru_cache(maxsize=2)
 def _tokens(path: str) -> list[bytes]:
-    ranks = read_ranks(path)
-    tokens = [b""] * (max(ranks.values()) + 1)
-    for token, rank in ranks.items():
-        tokens[rank] = token
-    return tokens
+    """The bytes of every id: what its name in the vocabulary stands for."""
+    return token_bytes(token_names(read_ranks(path)))
 
 
 def digests(df: DataFrame, text: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:

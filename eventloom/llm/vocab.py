@@ -90,6 +90,21 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
+def token_names(ranks: dict[bytes, int]) -> dict[str, int]:
+    """The tokens as a byte-level vocabulary writes them: a printable character for each byte."""
+    alphabet = byte_alphabet()
+    return {"".join(alphabet[b] for b in token): rank for token, rank in ranks.items()}
+
+
+def token_bytes(names: dict[str, int]) -> list[bytes]:
+    """The bytes of every id, from the names of a byte-level vocabulary: the byte table reversed."""
+    byte_of = {character: byte for byte, character in enumerate(byte_alphabet())}
+    tokens = [b""] * (max(names.values(), default=-1) + 1)
+    for name, i in names.items():
+        tokens[i] = bytes(map(byte_of.__getitem__, name))
+    return tokens
+
+
 def rank_tokenizer(ranks: dict[bytes, int], pattern: str):
     """A byte-level tokenizer of the library that merges as the ranks say: the pair whose token has the lowest rank first.
 
@@ -104,7 +119,7 @@ def rank_tokenizer(ranks: dict[bytes, int], pattern: str):
     for token in sorted(ranks, key=ranks.get):
         cuts = [(token[:i], token[i:]) for i in range(1, len(token)) if token[:i] in ranks and token[i:] in ranks]
         merges += [(name[a], name[b]) for a, b in sorted(cuts, key=lambda c: (ranks[c[0]], ranks[c[1]]))]
-    tokenizer = Tokenizer(models.BPE({name[t]: r for t, r in ranks.items()}, merges, ignore_merges=True, cache_capacity=0))
+    tokenizer = Tokenizer(models.BPE(token_names(ranks), merges, ignore_merges=True, cache_capacity=0))
     tokenizer.pre_tokenizer = pre_tokenizers.Sequence(
         [pre_tokenizers.Split(Regex(pattern), "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
     )
