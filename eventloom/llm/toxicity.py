@@ -18,13 +18,15 @@ import re
 import zlib
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventloom.llm.common import append_columns, crc_of_id
 
 TRAIN_ROWS = 3000
 TRAIN_CHARS = 200_000
+#: Characters of all texts that a model is fitted on, per class; what the driver holds.
+TRAIN_TOTAL = 16_000_000
 DIMENSIONS = 1 << 22
 STEPS = 150
 PENALTY = 3e-4
@@ -37,7 +39,7 @@ OFFENDING = 0.5
 TOKEN = re.compile(r"\w+|[.!?\n]+")
 #: A word counts as a whole and by its beginnings, so inflected and compound forms of a known word are known too.
 BEGINNINGS = (4, 5, 6)
-_MEMORY = 1 << 19
+_MEMORY, _MEMORY_CHARS = 1 << 19, 64
 
 Model = tuple[dict[int, float], float]
 
@@ -68,7 +70,9 @@ class Reader:
                 self.known.clear()
             for i, v in enumerate(found):
                 if v is None:
-                    found[i] = self.known[tokens[i]] = self._weigh(tokens[i])
+                    found[i] = self._weigh(tokens[i])
+                    if len(tokens[i]) <= _MEMORY_CHARS:
+                        self.known[tokens[i]] = found[i]
         values = np.array(found)
         if not len(values):
             return values
@@ -94,54 +98,85 @@ def training_sample(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_R
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = usable.filter("label = 1").orderBy(*order).limit(rows).unionByName(usable.filter("label = 0").orderBy(*order).limit(rows))
     few = F.broadcast(chosen)  # at most 2 * rows pairs of numbers
-    return documents.select("doc_id", "text").join(few, "doc_id").select("text", "label")
+    met = documents.select("doc_id", "text").join(few, "doc_id").filter(F.length("text") <= TRAIN_CHARS)
+    met = met.dropDuplicates(["doc_id", "text", "label"])
+    # an id may stand for any number of texts, so the texts are bounded again
+    order = [*order, F.xxhash64("text")]
+    return met.filter("label = 1").orderBy(*order).limit(rows).unionByName(met.filter("label = 0").orderBy(*order).limit(rows)).select("text", "label")
 
 
 def train(sample: DataFrame, steps: int = STEPS, penalty: float = PENALTY) -> Model:
-    """The weights of features and the bias, from `text` and `label`; `sample` is bounded."""
-    local = sample.filter(F.length("text") <= TRAIN_CHARS).select("text", "label").toPandas()
+    """The weights of features and the bias, from `text` and `label`; `sample` has a bounded number of rows.
+
+    Of each class, texts in order of their hash, up to TRAIN_TOTAL characters, come to the driver.
+    """
+    order = Window.partitionBy("label").orderBy(F.xxhash64("text"), "text")  # as many rows as the sample
+    upto = F.sum(F.length("text")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    local = sample.withColumn("upto", upto).filter(F.col("upto") <= TRAIN_TOTAL).select("text", "label").toPandas()
     return fit(local["text"].tolist(), local["label"].tolist(), steps, penalty)
 
 
+class Problem:
+    """Texts as sentences of features, and the loss of weights: the logarithmic loss of noisy-or, both classes alike."""
+
+    def __init__(self, texts: list[str], labels: list[int]):
+        order = sorted(range(len(texts)), key=lambda i: (labels[i], texts[i]))  # sums must not depend on the order of rows
+        numbers: dict[str, int] = {}
+        words, sentences, counts, y = [], [], [], []
+        for i in order:
+            found = [
+                sorted({numbers.setdefault(w, len(numbers)) for w in TOKEN.findall(s)})
+                for s in re.split(r"[.!?\n]+", texts[i].lower())
+            ]
+            found = [f for f in found if f]
+            if found:
+                words += [w for f in found for w in f]
+                sentences += [len(f) for f in found]
+                counts.append(len(found))
+                y.append(labels[i])
+        self.y = np.array(y)
+        self.solvable = len(set(y)) == 2
+        if not self.solvable:
+            return
+        parts = [_parts(w) for w in numbers]
+        self.owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+        self.used, self.feature = np.unique(np.concatenate(parts), return_inverse=True)
+        self.n_words, self.words, self.lengths, self.counts = len(parts), np.array(words), np.array(sentences), np.array(counts)
+        self.starts, self.docs = np.cumsum(self.lengths) - self.lengths, np.cumsum(self.counts) - self.counts
+        self.share = np.where(self.y == 1, 0.5 / (self.y == 1).sum(), 0.5 / (self.y == 0).sum())
+
+    def _sentences(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(probability of each sentence, probability that no sentence of a document is toxic)."""
+        by_word = np.bincount(self.owner, weights=w[self.feature], minlength=self.n_words)
+        p = 1 / (1 + np.exp(-np.clip(BIAS + np.add.reduceat(by_word[self.words], self.starts), -500, 500)))
+        p = np.minimum(p, 1 - 1e-9)
+        return p, np.exp(np.add.reduceat(np.log1p(-p), self.docs))
+
+    def loss(self, w: np.ndarray) -> float:
+        _, clean = self._sentences(w)
+        return float(-(self.share * np.where(self.y == 1, np.log(np.maximum(1 - clean, 1e-9)), np.log(clean))).sum())
+
+    def gradient(self, w: np.ndarray) -> np.ndarray:
+        p, clean = self._sentences(w)
+        push = np.where(self.y == 1, -clean / np.maximum(1 - clean, 1e-9), 1.0) * self.share
+        slope = np.repeat(push, self.counts) * p
+        of_word = np.bincount(self.words, weights=np.repeat(slope, self.lengths), minlength=self.n_words)
+        return np.bincount(self.feature, weights=of_word[self.owner], minlength=len(self.used))
+
+
 def fit(texts: list[str], labels: list[int], steps: int = STEPS, penalty: float = PENALTY) -> Model:
-    order = sorted(range(len(texts)), key=lambda i: (labels[i], texts[i]))  # sums must not depend on the order of rows
-    numbers: dict[str, int] = {}
-    words, sentences, counts, y, at = [], [], [], [], 0
-    for i in order:
-        found = [
-            sorted({numbers.setdefault(w, len(numbers)) for w in TOKEN.findall(s)})
-            for s in re.split(r"[.!?\n]+", texts[i].lower())
-        ]
-        found = [f for f in found if f]
-        if found:
-            words += [w for f in found for w in f]
-            sentences += [len(f) for f in found]
-            counts.append(len(found))
-            y.append(labels[i])
-    y = np.array(y)
-    if len(set(y.tolist())) < 2:
+    problem = Problem(texts, labels)
+    if not problem.solvable:
         return {}, -np.inf
-    parts = [_parts(w) for w in numbers]
-    owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-    used, feature = np.unique(np.concatenate(parts), return_inverse=True)
-    words, lengths, counts = np.array(words), np.array(sentences), np.array(counts)
-    starts, docs = np.cumsum(lengths) - lengths, np.cumsum(counts) - counts
-    share = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum())  # both classes count alike
-    w, square, rate = np.zeros(len(used)), np.full(len(used), 1e-8), 0.3
+    n = len(problem.used)
+    w, square, rate = np.zeros(n), np.full(n, 1e-8), 0.3
     for _ in range(steps):
-        by_word = np.bincount(owner, weights=w[feature], minlength=len(parts))
-        p = 1 / (1 + np.exp(-np.clip(BIAS + np.add.reduceat(by_word[words], starts), -500, 500)))
-        p = np.minimum(p, 1 - 1e-9)
-        clean = np.exp(np.add.reduceat(np.log1p(-p), docs))
-        push = np.where(y == 1, -clean / np.maximum(1 - clean, 1e-9), 1.0) * share
-        slope = np.repeat(push, counts) * p
-        of_word = np.bincount(words, weights=np.repeat(slope, lengths), minlength=len(parts))
-        gradient = np.bincount(feature, weights=of_word[owner], minlength=len(used))
+        gradient = problem.gradient(w)
         square += gradient**2
         pace = rate / np.sqrt(square)
         w = w - pace * gradient
         w = np.sign(w) * np.maximum(np.abs(w) - pace * penalty, 0)
-    return {int(used[i]): float(w[i]) for i in np.flatnonzero(w)}, BIAS
+    return {int(problem.used[i]): float(w[i]) for i in np.flatnonzero(w)}, BIAS
 
 
 def score(documents: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
