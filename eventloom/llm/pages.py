@@ -31,7 +31,7 @@ from eventloom.llm.common import append_columns
 #: Elements without article text (fixed values).
 OUTSIDE = frozenset(
     "head title script style noscript template nav footer aside form button select option textarea input iframe svg object "
-    "canvas audio video map dialog menu label fieldset".split()
+    "canvas audio video map dialog menu fieldset".split()
 )
 #: Words in a class, id or role that mark what is no article (fixed values).
 MARKED = frozenset(
@@ -42,7 +42,7 @@ MARKED = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q ruby rt rp s samp small span strike strong sub "
+    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby rt rp s samp small span strike strong sub "
     "sup time tt u var wbr".split()
 )
 #: A start tag of the key ends open elements of the value (fixed values of HTML).
@@ -142,7 +142,8 @@ def _blocks(page: str) -> tuple[list[tuple[str, str, int]], list[tuple[int, str,
             parts = {w for n in names for w in re.split(r"[^a-z]+", n)}
             mark = 0 if tag in ("html", "body") or MARKED.isdisjoint(parts) else 1 if MARKED.isdisjoint(names) else 2
             out = parent[2] or tag in OUTSIDE or tag == "header" and not article
-            out = out or tag in INLINE and mark > 0
+            # a marked word of a paragraph or of the article is part of its sentence
+            out = out or tag in INLINE and mark > 0 and not article and all(e[0] != "p" for e in stack)
             label = CLASS.search(rest) if rest else None
             stack.append((tag, f"{tag}.{label[1].strip(chr(34) + chr(39))}" if label else tag, out, article, len(elements)))
             elements.append((parent[4], tag, mark))
@@ -160,9 +161,17 @@ def _around(element: int, elements: list[tuple[int, str, int]]) -> list[int]:
     return found
 
 
+def _own_paragraph(element: int, elements: list[tuple[int, str, int]]) -> bool:
+    """Whether an element is a paragraph of an article: a remark or a warning in it is its text."""
+    return elements[element][1] == "p" and any(elements[e][1] in ("article", "main") for e in _around(element, elements))
+
+
 def _unmarked(blocks, elements: list[tuple[int, str, int]]):
     """The blocks that no mark leaves out."""
-    marked = {e for e, (_, tag, mark) in enumerate(elements) if mark and tag not in ("article", "main")}
+    marked = {
+        e for e, (_, tag, mark) in enumerate(elements)
+        if mark and tag not in ("article", "main") and tag not in INLINE and not _own_paragraph(e, elements)
+    }
     if not marked:
         return blocks
     chains = [_around(element, elements) for _, _, element in blocks]
@@ -220,14 +229,19 @@ def main_text(page: str) -> str:
     for (path, _, _), value in zip(blocks, smooth):
         by_path[path] += value / count[path]
     bar = PART * sum(v * len(text) for v, (_, text, _) in zip(smooth, blocks)) / sum(len(text) for _, text, _ in blocks)
-    content = [by_path[path] >= bar for path, _, _ in blocks]
+    # smoothing lifts what lies beside a long paragraph, but a path of links is none of it
+    content = [by_path[path] >= bar and not path.endswith("/a") for path, _, _ in blocks]
+    if not any(content):
+        content = [by_path[path] >= bar for path, _, _ in blocks]
     container = _container(blocks, content, elements)
+    named = elements[container][1] in ("article", "main")
 
-    def kept(path: str, element: int) -> bool:
-        around = _around(element, elements)
-        return container in around and (not path.endswith("/a") or any(elements[e][1] in ("article", "main") for e in around))
+    def kept(path: str, element: int, good: bool) -> bool:
+        """All of an article that is named as one; elsewhere what is content, and what lies beside it but links."""
+        inside = container in _around(element, elements)
+        return inside if named else good or inside and not path.endswith("/a")
 
-    return "\n\n".join(text for (path, text, element), good in zip(blocks, content) if good or kept(path, element))
+    return "\n\n".join(text for (path, text, element), good in zip(blocks, content) if kept(path, element, good))
 
 
 def extract(pages: DataFrame, column: str = "html") -> DataFrame:

@@ -1,6 +1,7 @@
 """op2, op10: models learnt from the tables."""
 
 import math
+import re
 from collections import Counter
 
 import numpy as np
@@ -60,6 +61,49 @@ def test_spans_odd_rows_and_empty_tables(lab, odd, none):
     assert toxicity.judged(odd, labels.limit(0)).count() == odd.count()
 
 
+def test_scores_equal_plain_loops():
+    """Sentences, their words and the noisy-or, one by one."""
+    texts, labels = _texts(60, 4)
+    model = toxicity.fit(texts, labels)
+    weights, bias = model
+    reader = toxicity.Reader(model)
+    for text in [*texts, "", "...", "vile vile vile. The cat!", "x" * 500 + " vile", "Wretch\n\nof a filthy day? yes"]:
+        want, miss = [], 1.0
+        for sentence in re.split(r"[.!?\n]+", text.lower()):
+            words = set(re.findall(r"\w+", sentence))
+            if words:
+                z = bias + sum(weights.get(p, 0.0) for w in words for p in toxicity._parts(w))
+                p, plain = 1 / (1 + math.exp(-z)), 1 / (1 + math.exp(-bias))
+                want.append(max(0.0, 1 - (1 - p) / (1 - plain)))
+                miss *= 1 - min(want[-1], 1 - 1e-12)
+        found = reader.scores(text)
+        assert found == pytest.approx(want, abs=1e-12) and toxicity.noisy_or(found) == pytest.approx(1 - miss, abs=1e-9)
+
+
+def test_the_gradient_equals_differences():
+    problem = toxicity.Problem(*_texts(40, 9))
+    chance = np.random.default_rng(2)
+    w = chance.normal(0, 0.5, len(problem.used))
+    gradient = problem.gradient(w)
+    for i in chance.choice(len(w), 25, replace=False):
+        step = np.zeros(len(w))
+        step[i] = 1e-5
+        difference = (problem.loss(w + step) - problem.loss(w - step)) / 2e-5
+        assert gradient[i] == pytest.approx(difference, rel=1e-4, abs=1e-9)
+
+
+def test_what_the_driver_gets_is_bounded(lab, monkeypatch):
+    monkeypatch.setattr(toxicity, "TRAIN_TOTAL", 1000)
+    rows = [(i % 10, f"text {i} " + "word " * 10) for i in range(500)]
+    documents = lab.createDataFrame(rows, "doc_id long, text string")
+    labels = lab.createDataFrame([(i, i % 2) for i in range(10)], "doc_id long, toxic int")
+    assert toxicity.training_sample(documents, labels, 20).count() <= 40
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, labels, *_: seen.extend(texts) or ({}, 0.0))
+    toxicity.train(toxicity.training_sample(documents, labels, 200))
+    assert 0 < sum(map(len, seen)) <= 2000
+
+
 def test_training_rows_are_not_held_out(lab):
     documents, labels = read(lab, SMALL, "documents"), read(lab, SMALL, "labels")
     sample = toxicity.training_sample(documents, labels)

@@ -133,6 +133,31 @@ def test_a_mark_does_not_take_the_article(wrap):
     assert pages.main_text(f"<body>{ad}{wrap.format(inner)}{ad}</body>") == "\n\n".join(texts)
 
 
+PARAGRAPHS = [f"Paragraph {i} has words, and commas, and goes on for quite a while until it comes to an end." for i in range(3)]
+
+
+@pytest.mark.parametrize("wrap", ["<article>{}</article>", "<div class=post>{}</div>", "<main>{}</main>"])
+def test_a_menu_beside_a_long_paragraph_is_no_article(wrap):
+    inner = wrap.format("".join(f"<p>{p}</p>" for p in PARAGRAPHS))
+    menu = "<div class=m><a href='/x'>Menu item</a></div>"
+    assert pages.main_text(f"<body>{inner}{menu}</body>") == pages.main_text(f"<body>{menu}{inner}{menu}</body>") == "\n\n".join(PARAGRAPHS)
+
+
+def test_what_lies_outside_a_named_article_is_left_out():
+    inner = "".join(f"<p>{p}</p>" for p in PARAGRAPHS * 5)
+    other = f"<div class=teaser><p>{PARAGRAPHS[0]}</p></div>"
+    assert pages.main_text(f"<body><article>{inner}</article>{other}</body>") == "\n\n".join(PARAGRAPHS * 5)
+
+
+@pytest.mark.parametrize("part", ["<p class='warning'>{}</p>", "<p><label>{}</label></p>", "<p><span class='tag social'>{}</span></p>", "<p><b class='ad'>{}</b></p>"])
+def test_marks_on_parts_of_an_article_do_not_drop_them(part):
+    text = "Mind the gap, all of you, and the step."
+    inner = "".join(f"<p>{p}</p>" for p in PARAGRAPHS)
+    assert pages.main_text(f"<article>{inner}{part.format(text)}</article>") == "\n\n".join([*PARAGRAPHS, text])
+    ad = "<div class=ad><p>Buy now, cheap, today!</p></div><form><label>Your name, please.</label></form>"
+    assert pages.main_text(f"<article>{inner}{ad}</article>") == "\n\n".join(PARAGRAPHS)
+
+
 def test_comments_longer_than_the_article_are_left_out():
     comments = "<article class='comment'><p>A reader wrote this, at some length, with commas.</p></article>" * 9
     for wrap in ("<div class='with-comments'><article>{}</article></div>", "<article>{}</article>"):

@@ -70,6 +70,27 @@ def test_encode_offsets_and_decode_with_split_characters(lab, odd, none):
     assert bytebpe.encode(none).count() == 0
 
 
+def test_offsets_equal_the_librarys(lab):
+    """Places of tokens in characters, also where a character lies in several tokens."""
+    texts = ["plain words, here", "naïve façade 漢字 \U0001f600 end", "a\u0301 \U0001f469\u200d\U0001f4bb!", "", "  \n\ttabs"]
+    tokenizer = vocab.rank_tokenizer(vocab.read_ranks(vocab.public_path(bytebpe.VOCABULARY)), vocab.public_pattern())
+    df = lab.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in bytebpe.encode(df, offsets=True).collect():
+        want = tokenizer.encode(texts[r.doc_id], add_special_tokens=False)
+        assert r.ids == want.ids and r.char_starts == [a for a, _ in want.offsets]
+
+
+def test_the_reversed_byte_table_gives_every_token_back():
+    ranks = vocab.read_ranks(vocab.public_path(bytebpe.VOCABULARY))
+    tokens = vocab.token_bytes(vocab.token_names(ranks))
+    assert {t: i for i, t in enumerate(tokens)} == ranks
+
+
+def test_decoding_keeps_no_column_of_its_own_name(lab):
+    df = lab.createDataFrame([([1, 2], "clash")], "ids array<int>, Decoded string")
+    assert bytebpe.decode(df).columns == ["ids", "decoded", "decoded_text"]
+
+
 def _whole(text: str, start: int) -> bool:
     """Whether cutting after the byte at `start` leaves whole characters."""
     try:
@@ -172,6 +193,21 @@ def test_short_texts_are_judged_as_well(lab, n_words):
     assert len(clean) >= 90 and sum(clean) >= 0.97 * len(clean)
 
 
+def test_all_letters_tell_the_script():
+    """Also where letters of another script stand at regular places."""
+    tricky = "".join("a" if i % 5 == 0 else "я" for i in range(1000))
+    for text, name in [(tricky, "CYRILLIC"), ("漢字かな漢字 abc", "CJK"), ("abc яяя", "CYRILLIC"), ("abc 123", "LATIN"), ("123 !", "none"), ("", "none"), ("é", "LATIN")]:
+        assert fertility.script_of(text) == name
+    long = "я" * 300_000 + "z" * 299_999
+    assert fertility.script_of(long) == "CYRILLIC"
+
+
+def test_judged_keeps_columns_of_the_caller(lab):
+    df = lab.createDataFrame([(1, "some words " * 15, "en", "mine", "too", "own")], "doc_id long, text string, lang string, band string, `group` string, measure string")
+    row = fertility.judged(df).first()
+    assert (row.band, row.group, row.measure) == ("mine", "too", "own")
+
+
 def test_fertility_of_odd_rows_and_of_none(odd, none):
     rows = fertility.judged(odd).collect()
     assert len(rows) == odd.count()
