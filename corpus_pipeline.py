@@ -18,8 +18,14 @@ def _counted(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents under the threshold, by a model of the labelled rows that are still there and not held out."""
-    return toxicity.judged(docs, read(spark, sf_dir, "labels")).filter("predicted = 0").select(*docs.columns)
+    """Documents under the threshold, by a model of the labelled rows that are still there and not held out.
+
+    Columns of `docs` that are named like a result of the judgement keep their values.
+    """
+    own = {c: f"__own_{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
+    back = [F.col(own[c]).alias(c) if c in own else F.col(c) for c in docs.columns]
+    judged = toxicity.judged(docs.withColumnsRenamed(own), read(spark, sf_dir, "labels"))
+    return judged.filter("predicted = 0").select(*back)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +47,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The words that the mix takes."""
+    """The words that the mix takes: a row for each pass over a document."""
     return _counted(mixing.remixed(docs), docs.columns)
 
 
