@@ -15,13 +15,13 @@ from eventloom.checks import oracles
 from eventloom.contracts import CONTRACTS, LABEL, SCHEMAS, SOURCES, feature_columns
 from eventloom.functions.columns import coerce_numeric
 from eventloom.functions.ranks import union_all
-from eventloom.operators import features, inspect, label, merge, metrics, model, prepare, quality, sketches, split
+from eventloom.operators import export, features, inspect, label, merge, metrics, model, prepare, quality, sketches, split
 from eventloom.operators.clean import clean, ensure_success_flag, trim_strings
 from eventloom.plans.features import ORDER, feature_table, merged_features
 from eventloom.plans.runs import FeatureRuns
 from eventloom.plans.train import train_models
-from eventloom.sources import layout, raw, tables
-from eventloom.sources.retail import labelled_scores, read_log
+from eventloom.sources import layout, raw, refused, tables
+from eventloom.sources.retail import labelled_scores, log_columns, read_log
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -80,6 +80,24 @@ def raw_scan(spark: SparkSession, directory: str) -> DataFrame:
     return clean(raw.read_raw(spark, "auth", path), "auth")
 
 
+def refused_lines(spark: SparkSession, directory: str) -> DataFrame:
+    """Flows as text with planted bad lines: how many rows are kept and refused, and why."""
+    key = F.col("l_orderkey") % 50
+    source = spark.read.parquet(f"{directory}/lineitem.parquet")
+    fields = [F.coalesce(F.expr(text).cast("string"), F.lit("")) for text in log_columns("flows").values()]
+    fields[0] = F.when(key == 2, F.concat(F.lit("x"), fields[0])).otherwise(fields[0])
+    line = F.concat_ws(",", *fields)
+    cut = F.when(key == 0, F.concat(line, F.lit(",more"))).when(key == 1, F.regexp_replace(line, ",[^,]*$", "")).otherwise(line)
+    path, split_path = (tables.scratch_path(spark, n) for n in ("flows-text", "flows-split"))
+    source.select(cut.alias("value")).write.text(path)
+    refused.write_split(refused.parsed_or_refused(spark, "flows", path), split_path)
+    kept = refused.read_kept(spark, split_path, "flows").agg(
+        F.lit("kept").alias("verdict"), F.lit(None).cast("string").alias("reason"), F.count("*").alias("lines"), F.sum("byte_count").alias("bytes")
+    )
+    bad = refused.read_refused(spark, split_path).groupBy("reason").agg(F.count("*").alias("lines"))
+    return kept.unionByName(bad.withColumn("verdict", F.lit("refused")), allowMissingColumns=True)
+
+
 def io_roundtrip(spark: SparkSession, directory: str) -> DataFrame:
     table = feature_table(_logs(spark, directory))
     path = tables.scratch_path(spark, "features")
@@ -336,7 +354,19 @@ def _logistic(train: DataFrame):
     return model.logistic_regression(train.count())
 
 
+#: The largest component of the gradient of the loss per row that a fit may end with.
+GRADIENT_BOUND = 1e-4
+
+
 def train_logistic(spark: SparkSession, directory: str) -> DataFrame:
+    """The inputs of the fitted regression, and whether the penalised loss is at its optimum in each."""
+    parts, fitted = _trained(spark, directory, _logistic)
+    train = parts.filter("split = 'train'")
+    found = export.gradient(train, fitted).withColumn("at_optimum", F.abs("gradient") <= GRADIENT_BOUND)
+    return found.select("input", F.col("rows").alias("train_rows"), "at_optimum")
+
+
+def logistic_metrics(spark: SparkSession, directory: str) -> DataFrame:
     return _evaluated(*_trained(spark, directory, _logistic))
 
 
@@ -352,15 +382,24 @@ def select_best(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def batch_score(spark: SparkSession, directory: str) -> DataFrame:
+    """Scored rows, and whether each probability is what the exported SQL of the model says."""
     parts, fitted = _trained(spark, directory, _logistic)
     rows = parts.filter("split = 'test'").drop("split", LABEL, "dns_lookup_count")  # an absent input counts as 0
-    return model.score(rows, fitted, model.LOGISTIC, ["computer", "time_window"])
+    key = ["computer", "time_window"]
+    scored = tables.stage(model.score(rows, fitted, model.LOGISTIC, key), "scored")
+    tables.stage(rows.withColumn("dns_lookup_count", F.lit(0.0)), "to-score").createOrReplaceTempView("rows_to_score")
+    exported = spark.sql(export.score_sql(fitted, "rows_to_score")).select(*[F.col(k).alias(f"x_{k}") for k in key], "probability")
+    same = [F.col(k).eqNullSafe(F.col(f"x_{k}")) for k in key]
+    agrees = F.abs(F.col(model.PROBABILITY) - F.col("probability")) <= 1e-9
+    predicted = F.col("prediction") == F.when(F.col("probability") > 0.5, 1).otherwise(0)
+    return scored.join(exported, same).select(*key, "model_name", (agrees & predicted).alias("as_exported"))
 
 
 # --- registry ------------------------------------------------------------------------------------------------------
 
 QUERIES: dict[str, Query] = {
     "raw_scan": raw_scan,
+    "refused_lines": refused_lines,
     "trim_strings": lambda spark, d: trim_strings(read_log(spark, d, "proc")),
     **{f"clean_{s}": _cleaned(s) for s in SOURCES},
     "success_flag_if_missing": success_flag_if_missing,
@@ -434,6 +473,7 @@ QUERIES: dict[str, Query] = {
     "average_precision": _on_scores(metrics.average_precision),
     "classification_report": _on_scores(metrics.classification_report),
     "train_logistic": train_logistic,
+    "logistic_metrics": logistic_metrics,
     "train_forest": train_forest,
     "select_best": select_best,
     "batch_score": batch_score,

@@ -37,6 +37,7 @@ def main() -> None:
             sub.add_argument("--no-spread", action="store_true", help="leave rows where files were read")
             sub.add_argument("--strip-on-read", action="store_true", help="ignore blanks around fields while parsing")
             sub.add_argument("--exact-quantiles", action="store_true")
+            sub.add_argument("--refused", help="folder for lines that do not fit their log, with the reason; by default they are kept with nulls")
         elif job == "features":
             sub.add_argument("--label", default="next_row", choices=("next_row", "adjacent"))
             sub.add_argument("--null-times", default="drop", choices=("drop", "zero", "keep"))
@@ -53,7 +54,7 @@ def main() -> None:
         # a gzip file is one task however large it is, so rows are dealt out unless told otherwise
         spread = None if args.no_spread else args.spread or int(spark.conf.get("spark.sql.shuffle.partitions"))
         scan = {"spread": spread, "strip_on_read": args.strip_on_read}
-        ingest(spark, raw, args.tables, args.reports, fmt=args.format, exact_quantiles=args.exact_quantiles, **scan)
+        ingest(spark, raw, args.tables, args.reports, args.refused, fmt=args.format, exact_quantiles=args.exact_quantiles, **scan)
     elif args.job == "features":
         options = {"label": args.label, "null_times": args.null_times, "null_keys": args.null_keys}
         build_features(spark, args.tables, args.output, args.reports, fmt=args.format, **options)

@@ -519,6 +519,17 @@ def oracle_sql() -> dict[str, str]:
     sql["class_weights"] = query(TABLE, f"""SELECT {LABEL} AS label, count(*) AS count,
         round((SELECT count(*) FROM features) / ((SELECT count(DISTINCT {LABEL}) FROM features) * count(*)), 9) AS weight
         FROM features GROUP BY {LABEL}""")
+    inputs = [c for c in [*TABLE_ORDER[2:], *FEATURE_COLUMNS] if not c.startswith("redteam")]
+    names = ", ".join(f"'{c}'" for c in [*dict.fromkeys(inputs), "(intercept)"])
+    sql["train_logistic"] = query(SPLIT, f"""SELECT unnest([{names}]) AS input, count(*) AS train_rows, TRUE AS at_optimum
+        FROM parts WHERE split = 'train'""")
+    sql["batch_score"] = query(SPLIT, """SELECT computer, time_window, 'logistic_regression_baseline' AS model_name, TRUE AS as_exported
+        FROM parts WHERE split = 'test'""")
+    sql["refused_lines"] = """
+        WITH lines AS (SELECT CASE l_orderkey % 50 WHEN 0 THEN 'too many fields' WHEN 1 THEN 'too few fields' WHEN 2 THEN 'time is no number' END AS reason,
+            CAST(floor(l_extendedprice) AS BIGINT) AS byte_count FROM lineitem)
+        SELECT CASE WHEN reason IS NULL THEN 'kept' ELSE 'refused' END AS verdict, reason, count(*) AS lines,
+            CASE WHEN reason IS NULL THEN CAST(sum(byte_count) AS BIGINT) END AS bytes FROM lines GROUP BY reason"""
     sql["binary_metrics"] = query(SCORES, BINARY)
     sql["roc_auc"] = query(SCORES, AUC)
     sql["average_precision"] = query(SCORES, AP)

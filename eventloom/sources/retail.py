@@ -64,6 +64,11 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
+def log_columns(source: str) -> dict[str, str]:
+    """The columns of a log as expressions over its table."""
+    return dict(_LOGS[source][2])
+
+
 def read_log(spark: SparkSession, directory: str, source: str) -> DataFrame:
     name, condition, columns = _LOGS[source]
     rows = table(spark, directory, name)

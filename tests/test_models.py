@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from eventloom.contracts import LABEL, REDTEAM_NOW
-from eventloom.operators import metrics, model, prepare
+from eventloom.operators import export, metrics, model, prepare
 from eventloom.operators.split import time_cuts, time_split
 
 
@@ -149,3 +149,21 @@ def test_best_model_wins_ties_by_order(spark):
     rows = [("a", 0, "valid", "f1", 0.5), ("b", 1, "valid", "f1", 0.5), ("c", 2, "test", "f1", 0.9), ("d", 3, "valid", "recall", 1.0)]
     df = spark.createDataFrame(rows, "model string, position int, split string, metric string, value double")
     assert model.select_best(df).first().model == "a"
+
+
+def test_the_exported_sql_scores_like_the_pipeline(spark):
+    random = np.random.default_rng(8)
+    rows = [(float(a), None if i % 7 == 0 else float(b), int(a + b + random.normal() > 1)) for i, (a, b) in enumerate(random.normal(size=(400, 2)))]
+    train = spark.createDataFrame(rows, f"a double, b double, {LABEL} int").persist()
+    prepared = prepare.fit_preparation(train, ["a", "b"])
+    fitted = model.fit(train, prepared, model.logistic_regression(train.count()))
+    train.createOrReplaceTempView("some_rows")
+    exported = {(r.a, r.b): r.probability for r in spark.sql(export.score_sql(fitted, "some_rows")).collect()}
+    scored = model.score(train.drop(LABEL), fitted, "m", ["a", "b"]).collect()
+    assert all(exported[r.a, r.b] == pytest.approx(r[model.PROBABILITY], abs=1e-12) for r in scored)
+    found = {r.input: r.gradient for r in export.gradient(train, fitted).collect()}
+    assert set(found) == {"a", "b", "(intercept)"} and max(map(abs, found.values())) < 1e-5
+    loose = model.fit(train, prepared, model.logistic_regression(train.count(), tolerance=0.5).setMaxIter(1))
+    assert max(abs(r.gradient) for r in export.gradient(train, loose).collect()) > 1e-3  # a fit that has not ended is seen
+    with pytest.raises(TypeError):
+        export.coefficients(model.fit(train, prepared, model.random_forest(2, 2)))
