@@ -1,14 +1,19 @@
 """Near copies: documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
 Documents with the same shingles form a class; what follows is done once per class. Candidates come from a MinHash LSH
-forest: every class has a signature, and each of TREES tries sorts the classes by its own part of the signature. A trie
-node holds the classes that share a prefix. The matched prefix is shortened, from DEPTH values down, until a pair at the
-threshold shares a node in some trie with the target probability, RECALL. Classes connected by nodes, directly or over
-others, form a candidate component, and all pairs within one are verified on their exact shingle sets.
+forest: every class has a signature, and each of TREES tries holds the classes by its own part of the signature, value by
+value. A trie node at depth d is the group of classes with the same first d values; classes that share a node, directly or
+over others, form a candidate component, and all pairs within one are verified on their exact shingle sets.
+
+Matched prefixes are shortened on what the data gives. At first only the deepest nodes count, where pairs must share the
+longest prefix. Each verified pair of similarity s would share a node at depth d with probability p(s) = 1 - (1 - s^d)^TREES,
+so it stands for 1 / p(s) pairs; while the pairs found are less than RECALL of that sum, prefixes lose a value, and
+components that have grown are verified anew. The shortest prefix is the one at which a pair at the threshold itself is
+met with probability RECALL (`prefix_depth`).
 
 Pairs are never written out: a task verifies a component (or, where that is large, two blocks of it) and returns for each
 class how many others it is linked to and the smallest class it is connected to. So a group of many near copies costs
-rows in proportion to its documents, while no link is lost.
+rows in proportion to its documents.
 
 Words are runs of other than white space. A text of one to four words has one shingle, all its words. Null texts and texts
 without a word are alone: no links, no class mates. Repeated rows are copies of each other. Very long texts are read
@@ -33,6 +38,8 @@ SHINGLE = 5
 THRESHOLD = 0.8
 TREES, DEPTH = 32, 8
 RECALL = 0.9999
+#: Values below the shortest prefix by which tries tell classes apart, 16 bits each.
+FURTHER = 2
 #: Classes of a component that one task compares with each other; larger components are compared block by block.
 BLOCK = 384
 
@@ -79,44 +86,60 @@ def signature(found: np.ndarray, factors: np.ndarray, shifts: np.ndarray) -> np.
 
 
 def sketched(documents: DataFrame, text: str = "text", trees: int = TREES) -> DataFrame:
-    """`documents` with `class` (null without a word) and `nodes`: the trie node of its class in each tree."""
+    """`documents` with `class` (null without a word) and its path in each trie: `nodes`, the shortest prefix, and `tails`."""
     depth = prefix_depth(trees=trees)
 
     def build():
         memory = _words_memory()
-        factors, shifts = _hashes(trees * depth)
+        factors, shifts = _hashes(trees * (depth + FURTHER))
 
         def run(texts: list[str]) -> dict[str, list]:
-            classes, nodes = [], []
+            classes, nodes, tails = [], [], []
             for value in texts:
                 found = shingles(value, memory)
                 if not len(found):
                     classes.append(None)
                     nodes.append(None)
+                    tails.append(None)
                     continue
-                label = signature(found, factors, shifts).reshape(trees, depth)
+                label = signature(found, factors, shifts).reshape(trees, depth + FURTHER)
                 node = np.arange(trees, dtype=np.uint64) * _STEP
                 for k in range(depth):  # the prefix, value by value
                     node = (node ^ (node >> np.uint64(31)) ^ label[:, k]) * _STEP
                 classes.append(xxhash.xxh3_64_intdigest(found.tobytes()) - (1 << 63))
                 nodes.append(node.view(np.int64).tolist())
-            return {"class": classes, "nodes": nodes}
+                tail = np.zeros(trees, dtype=np.uint32)
+                for k in range(depth, depth + FURTHER):
+                    tail = (tail << np.uint32(16)) | (label[:, k] * _STEP >> np.uint64(48)).astype(np.uint32)
+                tails.append(tail.view(np.int32).tolist())
+            return {"class": classes, "nodes": nodes, "tails": tails}
 
         return run
 
-    return append_columns(documents, text, "class BIGINT, nodes ARRAY<BIGINT>", build)
+    return append_columns(documents, text, "class BIGINT, nodes ARRAY<BIGINT>, tails ARRAY<INT>", build)
+
 
+def candidate_edges(classes: DataFrame, further: int = 0) -> DataFrame:
+    """a, b: each class with the smallest class of every trie node that it shares; all nodes' members are connected.
 
-def candidate_edges(classes: DataFrame) -> DataFrame:
-    """a, b: each class with the smallest class of every trie node that it shares; all nodes' members are connected."""
-    members = classes.select(F.explode("nodes").alias("node"), "class")
-    shared = members.groupBy("node").agg(F.min("class").alias("first"), F.max("class").alias("last")).filter("first < last")
+    Nodes lie `further` values below the shortest prefix.
+    """
+    path = classes.select(F.explode(F.arrays_zip("nodes", "tails")).alias("path"), "class")
+    part = F.shiftrightunsigned("path.tails", 16 * (FURTHER - further)) if further else F.lit(0)
+    members = path.select(F.col("path.nodes").alias("node"), part.alias("part"), "class")
+    shared = members.groupBy("node", "part").agg(F.min("class").alias("first"), F.max("class").alias("last")).filter("first < last")
     shared = stage(shared, "shared-nodes")
-    return members.join(shared, "node").filter(F.col("class") != F.col("first")).select(F.col("class").alias("a"), F.col("first").alias("b")).distinct()
+    joined = members.join(shared, ["node", "part"]).filter(F.col("class") != F.col("first"))
+    return joined.select(F.col("class").alias("a"), F.col("first").alias("b")).distinct()
+
+
+def met_with(similarity: np.ndarray, depth: int, trees: int = TREES) -> np.ndarray:
+    """The probability that a pair shares a trie node at a depth."""
+    return 1 - (1 - similarity**depth) ** trees
 
 
-def _links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Places (i, j), i < j, of the linked pairs between rows `left` and rows `right` of the sets."""
+def _links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshold: float) -> tuple[np.ndarray, ...]:
+    """Places (i, j), i < j, of the linked pairs between rows `left` and rows `right` of the sets, and their similarity."""
     sizes = np.array([len(s) for s in sets])
     values = np.concatenate(sets)
     _, column, count = np.unique(values, return_inverse=True, return_counts=True)
@@ -149,8 +172,9 @@ def _links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshol
     # exact in whole numbers: common / union >= threshold
     per_mille = round(threshold * 1000)
     i, j = np.nonzero(common * 1000 >= per_mille * union)
+    similar = common[i, j] / union[i, j]
     i, j = left[i], right[j]
-    return i[i < j], j[i < j]
+    return i[i < j], j[i < j], similar[i < j]
 
 
 def _connected(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -167,10 +191,12 @@ def _connected(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 
 def verified(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """class, links, root of the classes (`class`, `component`, `members`, `text`) of candidate components.
+    """class, links, root, pairs, weights of the classes (`class`, `component`, `members`, `text`) of candidate components.
 
-    `links` and `root` hold within the task's share: a class of a large component has a row for each pair of blocks.
+    All hold within the task's share: a class of a large component has a row for each pair of blocks. `pairs` are the links
+    to later classes, `weights` how many pairs they stand for by depth, from the shortest prefix on.
     """
+    depths = range(prefix_depth(threshold), prefix_depth(threshold) + FURTHER + 1)
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("class", F.lit(3)), blocks).cast("int")
     # a class of block x takes part in the pairs (x, y) and (y, x) of blocks, smaller block first
@@ -193,16 +219,49 @@ def verified(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             x, y, block = rows["x"].iloc[0], rows["y"].iloc[0], rows["block"].to_numpy()
             every = np.arange(len(ids))
             if x == y:
-                i, j = _links(sets, every, every, threshold)
+                i, j, similar = _links(sets, every, every, threshold)
+            elif len(set(block)) > 1:
+                both = [_links(sets, every[block == a], every[block == b], threshold) for a, b in ((x, y), (y, x))]
+                i, j, similar = (np.concatenate(parts) for parts in zip(*both))
             else:
-                i, j = _links(sets, every[block == x], every[block == y], threshold) if len(set(block)) > 1 else (every[:0], every[:0])
-                k, m = _links(sets, every[block == y], every[block == x], threshold) if len(set(block)) > 1 else (every[:0], every[:0])
-                i, j = np.concatenate([i, k]), np.concatenate([j, m])
+                i, j, similar = every[:0], every[:0], np.zeros(0)
             links = np.bincount(i, minlength=len(ids)) + np.bincount(j, minlength=len(ids))
-            out.append(pd.DataFrame({"class": ids, "links": links, "root": ids[_connected(len(ids), i, j)]}))
+            weights = np.stack([np.bincount(i, weights=1 / met_with(similar, d), minlength=len(ids)) for d in depths], axis=1)
+            out.append(pd.DataFrame({
+                "class": ids, "links": links, "root": ids[_connected(len(ids), i, j)], "pairs": np.bincount(i, minlength=len(ids)),
+                "weights": weights.tolist(),
+            }))
         return pd.concat(out)
 
-    return dealt.groupBy("share").applyInPandas(run, "class BIGINT, links BIGINT, root BIGINT")
+    return dealt.groupBy("share").applyInPandas(run, "class BIGINT, links BIGINT, root BIGINT, pairs BIGINT, weights ARRAY<DOUBLE>")
+
+
+def linked(source: DataFrame, classes: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """The verified shares of all classes, from prefixes as short as the recall asks for.
+
+    `source` has doc_id, text_hash and text, `classes` one such row (doc_id, text_hash) and the path of every class.
+    """
+    shares, before = None, None
+    for further in range(FURTHER, -1, -1):
+        found = components(candidate_edges(classes, further)).select(F.col("node").alias("class"), "component")
+        found = stage(found, "forest")
+        sizes = stage(found.groupBy("component").agg(F.count("*").alias("members")), "component-sizes")
+        # shorter prefixes only join components, so one with the same name and size is the same
+        grown = sizes if before is None else sizes.join(before, ["component", "members"], "left_anti")
+        before = sizes
+        wanted = stage(found.join(grown, "component").join(classes.drop("nodes", "tails"), "class"), "candidates")
+        same = [source["doc_id"].eqNullSafe(wanted["doc_id"]), source["text_hash"] == wanted["text_hash"]]
+        # candidates grow with the input: no broadcast at any size
+        texts = source.join(wanted.hint("merge"), same).select("class", "component", "members", "text")
+        new = verified(texts, threshold)
+        if shares is not None:
+            new = new.unionByName(shares.join(wanted.select("class"), "class", "left_anti"))
+        shares = stage(new, "links")
+        weight = F.coalesce(F.sum(F.get("weights", F.lit(further))), F.lit(0.0)).alias("weight")
+        total = shares.agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"), weight).first()
+        if total.pairs >= recall * total.weight:
+            break
+    return shares
 
 
 def grouped(documents: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -214,15 +273,10 @@ def grouped(documents: DataFrame, text: str = "text", threshold: float = THRESHO
     source = documents.select("doc_id", F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
     docs = stage(sketched(source).drop("text"), "sketches")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_hash"))  # null ids come last
-    classes = docs.filter("class IS NOT NULL").groupBy("class").agg(least.alias("rep"), F.first("nodes").alias("nodes"))
-    classes = stage(classes.select("class", "rep.doc_id", "rep.text_hash", "nodes"), "classes")
-    found = components(candidate_edges(classes)).select(F.col("node").alias("class"), "component")
-    sizes = found.groupBy("component").agg(F.count("*").alias("members"))
-    wanted = stage(found.join(sizes, "component").join(classes.drop("nodes"), "class"), "candidates")
-    same = [source["doc_id"].eqNullSafe(wanted["doc_id"]), source["text_hash"] == wanted["text_hash"]]
-    # candidates grow with the input: no broadcast at any size
-    texts = source.join(wanted.hint("merge"), same).select("class", "component", "members", "text")
-    shares = stage(verified(texts, threshold), "links")
+    path = [F.first("nodes").alias("nodes"), F.first("tails").alias("tails")]
+    classes = docs.filter("class IS NOT NULL").groupBy("class").agg(least.alias("rep"), *path)
+    classes = stage(classes.select("class", "rep.doc_id", "rep.text_hash", "nodes", "tails"), "classes")
+    shares = linked(source, classes, threshold)
     links = shares.groupBy("class").agg(F.sum("links").alias("links"))
     edges = shares.filter("class <> root").select(F.col("class").alias("a"), F.col("root").alias("b"))
     groups = components(edges).select(F.col("node").alias("class"), "component")
@@ -234,7 +288,7 @@ def grouped(documents: DataFrame, text: str = "text", threshold: float = THRESHO
         F.col("leader.doc_id").alias("group_id"), F.col("leader.text_hash").alias("leader_hash"),
     )
     alone = F.col("class").isNull()
-    return docs.drop("nodes").join(classes, "class", "left").select(
+    return docs.drop("nodes", "tails").join(classes, "class", "left").select(
         "doc_id", "text_hash", "class",
         F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),

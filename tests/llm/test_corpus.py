@@ -80,6 +80,37 @@ def test_prefixes_are_shortened_to_the_target():
     assert 1 - (1 - 0.8**depth) ** jaccard.TREES >= jaccard.RECALL > 1 - (1 - 0.8 ** (depth + 1)) ** jaccard.TREES
 
 
+def _rounds(lab, monkeypatch, rows) -> tuple[int, dict]:
+    """How often prefixes were matched, and the groups."""
+    seen = []
+    edges = jaccard.candidate_edges
+    monkeypatch.setattr(jaccard, "candidate_edges", lambda classes, further: seen.append(further) or edges(classes, further))
+    found = jaccard.grouped(lab.createDataFrame(rows, "doc_id long, text string")).collect()
+    monkeypatch.undo()
+    return seen, {r.doc_id: (r.class_id, r.n_links, r.group_id) for r in found}
+
+
+def test_prefixes_are_shortened_only_where_pairs_need_it(lab, monkeypatch):
+    words = lambda i: [f"w{i} {k}".replace(" ", "x") for k in range(200)]
+    close = [(2 * i + j, " ".join([*words(i), *(["more"] * j)])) for i in range(30) for j in (0, 1)]
+    seen, found = _rounds(lab, monkeypatch, close)
+    assert seen == [2] and found == _groups(close)  # pairs this close meet in the deepest nodes
+    far = [(2 * i + j, " ".join([*words(i)[:160], *(f"v{i}x{k}" for k in range(18 * j))])) for i in range(60) for j in (0, 1)]
+    far = [(i, t) for i, t in far] + [(1000 + i, " ".join([*words(i)[:130], "end"])) for i in range(60)]
+    seen, found = _rounds(lab, monkeypatch, far)
+    assert seen[:2] == [2, 1] and found == _groups(far)
+
+
+def test_deeper_nodes_are_parts_of_shorter_ones(lab):
+    df = jaccard.sketched(lab.createDataFrame(_near(80, 3), "doc_id long, text string"))
+    classes = df.filter("class IS NOT NULL").dropDuplicates(["class"]).select("class", "nodes", "tails").persist()
+    pairs = [{tuple(r) for r in jaccard.candidate_edges(classes, d).collect()} for d in range(3)]
+    joined = [graph.components(jaccard.candidate_edges(classes, d)) for d in range(3)]
+    sizes = [c.count() for c in joined]
+    assert pairs[0] and sizes[0] >= sizes[1] >= sizes[2] > 0
+    assert jaccard.met_with(np.array([0.8, 1.0]), 6) == pytest.approx([1 - (1 - 0.8**6) ** 32, 1.0])
+
+
 def test_groups_of_odd_rows_and_of_none(odd, none):
     found = jaccard.grouped(odd).collect()
     assert len(found) == odd.count()
