@@ -13,6 +13,7 @@ from eventloom.contracts import LABEL, check_no_leakage
 from eventloom.functions.ranks import union_all
 from eventloom.operators.metrics import binary_metrics, ranking_metrics
 from eventloom.operators.prepare import PREPARED, Preparation, weight_column
+from eventloom.sources.tables import scratch_path
 
 # Names and settings of the two models.
 LOGISTIC = "logistic_regression_baseline"
@@ -55,13 +56,19 @@ def random_forest(trees: int = TREES, depth: int = FOREST_DEPTH) -> RandomForest
 
 
 def fit(train: DataFrame, prepared: Preparation, estimator: Estimator, label: str = LABEL) -> PipelineModel:
-    """Impute, scale, assemble and fit as one pipeline. `train` is read many times, so pass a written table."""
+    """Impute, scale, assemble and fit as one pipeline. `train` is read many times, so pass a written table.
+
+    The pipeline is stored and loaded: a fitted stage holds its training summary and with it the session, which no task
+    can be sent once the session has observed a metric.
+    """
     check_no_leakage(prepared.columns)
     rows = train.select(
         *prepared.columns, F.col(label).cast("double").alias("label"), weight_column(train, label).alias("weight")
     )
     assembler = VectorAssembler(inputCols=[f"{PREPARED}{c}" for c in prepared.columns], outputCol="features")
-    return Pipeline(stages=[prepared.transformer(), assembler, estimator]).fit(rows)
+    path = scratch_path(train.sparkSession, "pipeline")
+    Pipeline(stages=[prepared.transformer(), assembler, estimator]).fit(rows).write().save(path)
+    return PipelineModel.load(path)
 
 
 def feature_names(model: PipelineModel) -> list[str]:

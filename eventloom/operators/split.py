@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventloom.functions.ranks import running_totals
-from eventloom.sources.layout import Bounds, is_clustered, read_range, within
+from eventloom.sources.layout import Bounds, is_clustered, read_range
 from eventloom.sources.tables import DEFAULT_FORMAT, read_table, stage
 
 # Shares of the windows before the two cuts, and the fewest windows worth splitting.
@@ -32,10 +32,12 @@ class TimeCuts:
 
     def part(self, df: DataFrame, name: str, window: str = "time_window") -> DataFrame:
         """The rows of one part, by a bound on the window that a scan can take over."""
-        return df.filter(within(self.bounds(name, window))).withColumn("split", F.lit(name))
+        w = F.col(window)
+        bounds = {"train": w <= self.train, "valid": (w > self.train) & (w <= self.valid), "test": w > self.valid}
+        return df.filter(bounds[name]).withColumn("split", F.lit(name))
 
     def bounds(self, name: str, window: str = "time_window") -> Bounds:
-        """First and last window of a part."""
+        """First and last window of a part, both included."""
         ends = {"train": (None, self.train), "valid": (self.train + 1, self.valid), "test": (self.valid + 1, None)}
         return {window: ends[name]}
 

@@ -4,6 +4,7 @@ import pytest
 from eventloom.contracts import LABEL, REDTEAM_NOW
 from eventloom.operators import export, metrics, model, prepare
 from eventloom.operators.split import time_cuts, time_split
+from eventloom.sources.tables import stage
 
 
 def _scored(spark, rows):
@@ -154,7 +155,7 @@ def test_best_model_wins_ties_by_order(spark):
 def test_the_exported_sql_scores_like_the_pipeline(spark):
     random = np.random.default_rng(8)
     rows = [(float(a), None if i % 7 == 0 else float(b), int(a + b + random.normal() > 1)) for i, (a, b) in enumerate(random.normal(size=(400, 2)))]
-    train = spark.createDataFrame(rows, f"a double, b double, {LABEL} int").persist()
+    train = stage(spark.createDataFrame(rows, f"a double, b double, {LABEL} int"), "train")
     prepared = prepare.fit_preparation(train, ["a", "b"])
     fitted = model.fit(train, prepared, model.logistic_regression(train.count()))
     train.createOrReplaceTempView("some_rows")
