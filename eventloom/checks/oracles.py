@@ -503,7 +503,7 @@ def oracle_sql() -> dict[str, str]:
     sql["dq_sketch_ranges"] = query(logs(), " UNION ALL ".join(
         f"""SELECT '{t}' AS table_name, '{r}' AS range_name, '{c}' AS column_name, count(*) AS row_count, count(*) - count({c}) AS missing_count,
             {f"count(DISTINCT {c})" if c in DISTINCT_COLUMNS[t] else "CAST(NULL AS BIGINT)"} AS distinct_count, TRUE AS within_error
-            FROM w_{t} {where}"""
+            FROM w_{t} {where} HAVING count(*) > 0"""
         for t in RAW for r, where in in_range.items() for c in dict.fromkeys([*NUMBERS[t], *DISTINCT_COLUMNS[t]])))
 
     sql["time_split"] = query(SPLIT, """SELECT split, count(*) AS count, min(time_window) AS first_window,

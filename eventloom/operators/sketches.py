@@ -89,7 +89,9 @@ def held_against(profile: DataFrame, log: DataFrame, distinct: list[str]) -> Dat
         for test in ranks[1:]:
             inside = inside & test
         cells.append(F.struct(
-            F.lit(c).alias("column_name"), F.lit(r["row_count"]).alias("row_count"), F.lit(r["missing_count"]).alias("missing_count"),
+            F.lit(c).alias("column_name"), F.lit(r["row_count"]).cast("bigint").alias("row_count"), F.lit(r["missing_count"]).cast("bigint").alias("missing_count"),
             exact.alias("distinct_count"), (inside & near).alias("within_error"),
         ))
+    if not cells:
+        return log.sparkSession.createDataFrame([], "column_name STRING, row_count BIGINT, missing_count BIGINT, distinct_count BIGINT, within_error BOOLEAN")
     return union_all([log.agg(cell.alias("cell")).select("cell.*") for cell in cells])
