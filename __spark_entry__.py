@@ -374,6 +374,18 @@ def train_forest(spark: SparkSession, directory: str) -> DataFrame:
     return _evaluated(*_trained(spark, directory, lambda train: model.random_forest()))
 
 
+def forest_splits(spark: SparkSession, directory: str) -> DataFrame:
+    """The trees of a forest, splits of nodes with too few rows, and rows that it scores."""
+    parts, fitted = _trained(spark, directory, lambda train: model.random_forest(trees=8, depth=12))
+    path = tables.scratch_path(spark, "forest")
+    fitted.write().save(path)
+    nodes = model.forest_nodes(spark, path)
+    small = (F.col("left") >= 0) & (F.col("rows") < model.SPLIT_ROWS)
+    counts = nodes.agg(F.countDistinct("tree").alias("trees"), F.count_if(small).alias("small_splits"))
+    scored = model.predict(parts.filter("split = 'test'"), fitted, []).agg(F.count_if(F.col("score").between(0, 1)).alias("scored_rows"))
+    return counts.join(F.broadcast(scored))  # a row each
+
+
 def select_best(spark: SparkSession, directory: str) -> DataFrame:
     """Both models trained, measured, stored and compared; the better one with its score."""
     path = tables.scratch_path(spark, "features")
@@ -475,6 +487,7 @@ QUERIES: dict[str, Query] = {
     "train_logistic": train_logistic,
     "logistic_metrics": logistic_metrics,
     "train_forest": train_forest,
+    "forest_splits": forest_splits,
     "select_best": select_best,
     "batch_score": batch_score,
 }

@@ -525,6 +525,8 @@ def oracle_sql() -> dict[str, str]:
         FROM parts WHERE split = 'train'""")
     sql["batch_score"] = query(SPLIT, """SELECT computer, time_window, 'logistic_regression_baseline' AS model_name, TRUE AS as_exported
         FROM parts WHERE split = 'test'""")
+    sql["forest_splits"] = query(SPLIT, """SELECT CAST(8 AS BIGINT) AS trees, CAST(0 AS BIGINT) AS small_splits,
+        count(*) AS scored_rows FROM parts WHERE split = 'test'""")
     sql["refused_lines"] = """
         WITH lines AS (SELECT CASE l_orderkey % 50 WHEN 0 THEN 'too many fields' WHEN 1 THEN 'too few fields' WHEN 2 THEN 'time is no number' END AS reason,
             CAST(floor(l_extendedprice) AS BIGINT) AS byte_count FROM lineitem)

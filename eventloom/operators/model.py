@@ -6,7 +6,7 @@ from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventloom.contracts import LABEL, check_no_leakage
@@ -23,6 +23,7 @@ MAX_ITERATIONS = 2000
 TOLERANCE = 1e-6
 TREES = 300
 LEAF_ROWS = 2
+SPLIT_ROWS = 5
 FOREST_DEPTH = 30  # the engine's limit
 
 PROBABILITY = "probability_redteam_next_window"
@@ -68,9 +69,51 @@ def fit(train: DataFrame, prepared: Preparation, estimator: Estimator, label: st
     assembler = VectorAssembler(inputCols=[f"{PREPARED}{c}" for c in prepared.columns], outputCol="features")
     path = scratch_path(train.sparkSession, "pipeline")
     Pipeline(stages=[prepared.transformer(), assembler, estimator]).fit(rows).write().save(path)
+    if isinstance(estimator, RandomForestClassifier):
+        undo_small_splits(train.sparkSession, path)
     return PipelineModel.load(path)
 
 
+def _forest_folder(spark: SparkSession, path: str) -> str:
+    """Where a stored pipeline keeps its forest."""
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/stages/*RandomForestClassif*")
+    found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern)
+    if len(found) != 1:
+        raise ValueError(f"{path} holds {len(found)} forests")
+    return found[0].getPath().toString()
+
+
+def forest_nodes(spark: SparkSession, path: str) -> DataFrame:
+    """The node table of a stored pipeline: tree, node, rows, stats (weight of each class), left, right, feature, threshold.
+
+    Nodes of a tree are numbered from the root on; left and right are -1 at a leaf. All inputs are numbers, so a split is a
+    feature at most the threshold (left) or above it.
+    """
+    n = "nodeData."
+    return spark.read.parquet(f"{_forest_folder(spark, path)}/data").select(
+        F.col("treeID").alias("tree"), F.col(f"{n}id").alias("node"), F.col(f"{n}rawCount").alias("rows"), F.col(f"{n}impurityStats").alias("stats"),
+        F.col(f"{n}leftChild").alias("left"), F.col(f"{n}rightChild").alias("right"), F.col(f"{n}split.featureIndex").alias("feature"),
+        F.get(f"{n}split.leftCategoriesOrThreshold", F.lit(0)).alias("threshold"),
+    )
+
+
+def undo_small_splits(spark: SparkSession, path: str, least: int = SPLIT_ROWS) -> None:
+    """Make leaves of all nodes of a stored forest that were split with fewer than `least` rows (bagged ones count again).
+
+    The engine has no such limit of its own. What lay below such a node stays in the table, but nothing leads there; a node
+    has no more rows than the one above it, so no small split is left anywhere.
+    """
+    folder = _forest_folder(spark, path)
+    small, leaf = F.col("nodeData.rawCount") < least, F.lit(-1)
+    node = F.col("nodeData").withField("leftChild", F.when(small, leaf).otherwise(F.col("nodeData.leftChild")))
+    node = node.withField("rightChild", F.when(small, leaf).otherwise(F.col("nodeData.rightChild")))
+    spark.read.parquet(f"{folder}/data").withColumn("nodeData", node).write.parquet(f"{folder}/limited")
+    old, new = (spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}") for name in ("data", "limited"))
+    files = old.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.delete(old, True)
+    files.rename(new, old)
+
+
 def feature_names(model: PipelineModel) -> list[str]:
     """Inputs a fitted pipeline expects, as stored inside it."""
     assembler = next(s for s in model.stages if isinstance(s, VectorAssembler))

@@ -1,5 +1,7 @@
 import numpy as np
 import pytest
+from pyspark.ml import PipelineModel
+from pyspark.sql import functions as F
 
 from eventloom.contracts import LABEL, REDTEAM_NOW
 from eventloom.operators import export, metrics, model, prepare
@@ -168,3 +170,28 @@ def test_the_exported_sql_scores_like_the_pipeline(spark):
     assert max(abs(r.gradient) for r in export.gradient(train, loose).collect()) > 1e-3  # a fit that has not ended is seen
     with pytest.raises(TypeError):
         export.coefficients(model.fit(train, prepared, model.random_forest(2, 2)))
+
+
+def test_no_node_with_few_rows_is_split_and_scores_are_those_of_a_plain_walk(spark, tmp_path):
+    random = np.random.default_rng(3)
+    rows = [(float(a), float(b), int(a * b + random.normal() > 0)) for a, b in random.normal(size=(300, 2))]
+    train = stage(spark.createDataFrame(rows, f"a double, b double, {LABEL} int"), "train")
+    prepared = prepare.fit_preparation(train, ["a", "b"])
+    fitted = model.fit(train, prepared, model.random_forest(5, 20))
+    fitted.write().save(str(tmp_path / "forest"))
+    nodes = {(r.tree, r.node): r for r in model.forest_nodes(spark, str(tmp_path / "forest")).collect()}
+    assert all(r.rows >= model.SPLIT_ROWS for r in nodes.values() if r.left >= 0)
+    small = F.expr("left >= 0 AND rows < 40")
+    assert model.forest_nodes(spark, str(tmp_path / "forest")).filter(small).count() > 0
+    model.undo_small_splits(spark, str(tmp_path / "forest"), 40)
+    assert model.forest_nodes(spark, str(tmp_path / "forest")).filter(small).count() == 0
+    fitted = PipelineModel.load(str(tmp_path / "forest"))
+    nodes = {(r.tree, r.node): r for r in model.forest_nodes(spark, str(tmp_path / "forest")).collect()}
+    for r in export.prepared_rows(train, fitted).join(model.predict(train, fitted, ["a", "b"]), ["a", "b"]).collect():
+        point, votes = [r.prepared_a, r.prepared_b], []
+        for tree in range(5):
+            at = nodes[tree, 0]
+            while at.left >= 0:
+                at = nodes[tree, at.left if point[at.feature] <= at.threshold else at.right]
+            votes.append(at.stats[1] / sum(at.stats))
+        assert r.score == pytest.approx(np.mean(votes), abs=1e-12)
