@@ -25,6 +25,7 @@ TREES = 300
 LEAF_ROWS = 2
 SPLIT_ROWS = 5
 FOREST_DEPTH = 30  # the engine's limit
+PART_ROWS = 250_000
 
 PROBABILITY = "probability_redteam_next_window"
 
@@ -53,6 +54,7 @@ def random_forest(trees: int = TREES, depth: int = FOREST_DEPTH) -> RandomForest
         labelCol="label",
         weightCol="weight",
         maxMemoryInMB=1024,
+        cacheNodeIds=True,  # else every pass sends all trees to every task and walks each row down each of them
     )
 
 
@@ -68,12 +70,18 @@ def fit(train: DataFrame, prepared: Preparation, estimator: Estimator, label: st
     )
     assembler = VectorAssembler(inputCols=[f"{PREPARED}{c}" for c in prepared.columns], outputCol="features")
     path = scratch_path(train.sparkSession, "pipeline")
+    rows = rows.repartition(_parts(train.sparkSession.sparkContext.defaultParallelism, rows.count()))
     Pipeline(stages=[prepared.transformer(), assembler, estimator]).fit(rows).write().save(path)
     if isinstance(estimator, RandomForestClassifier):
         undo_small_splits(train.sparkSession, path)
     return PipelineModel.load(path)
 
 
+def _parts(cores: int, rows: int) -> int:
+    """Even parts for the many passes of a fit: as many as cores, or a multiple where a part would hold over PART_ROWS rows."""
+    return cores * max(1, -(-rows // (cores * PART_ROWS)))
+
+
 def _forest_folder(spark: SparkSession, path: str) -> str:
     """Where a stored pipeline keeps its forest."""
     pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/stages/*RandomForestClassif*")

@@ -143,6 +143,11 @@ def test_stored_pipelines_know_their_inputs_and_score_incomplete_rows(spark, tra
     assert all((r.prediction == 1) == (r[model.PROBABILITY] > 0.5) for r in scored)
 
 
+def test_a_forest_keeps_the_nodes_of_rows_and_is_fitted_on_even_parts():
+    assert model.random_forest(3, 4).getCacheNodeIds()
+    assert [model._parts(12, rows) for rows in (0, 10, 12 * model.PART_ROWS, 12 * model.PART_ROWS + 1)] == [12, 12, 12, 24]
+
+
 def test_leaking_inputs_are_refused(training):
     with pytest.raises(ValueError, match="red-team"):
         model.fit(training[0], prepare.Preparation({REDTEAM_NOW[0]: 0.0}, {}, {}), model.random_forest(1))
