@@ -72,7 +72,8 @@ def union_features(frames: list[DataFrame], null_keys: str = "unmatched") -> Dat
 # --- all roles of a log at once ---------------------------------------------------------------------------------
 #
 # An event becomes one row per thing that is counted distinctly for a computer it names: (computer, time_window,
-# slot, item). A slot is one such count of one role; the first slot of a role also carries the role's sums.
+# slot, item). A slot is one such count of one role; the first slot of a role also carries the role's sums. Where two
+# slots count the two computers of an event for each other, one row serves both and is turned round after it is folded.
 # Grouping by all four is the only step that moves event-sized data. Map tasks fold it first, and a busy computer is
 # spread over its counterparts instead of being gathered in one task. Grouping by (computer, time_window) then
 # counts the items, again folded before the shuffle.
@@ -88,6 +89,14 @@ def _slots(source: str) -> list[tuple[Role, str | None, bool]]:
     return slots
 
 
+def _turned(slots: list[tuple[Role, str | None, bool]]) -> dict[int, int]:
+    """Slots that say what an earlier one says with computer and item changed over, and that earlier one."""
+    return {
+        n: m for n, (role, item, carries) in enumerate(slots) for m, (other, thing, sums) in enumerate(slots[:n])
+        if item == other.computer and thing == role.computer and carries == sums
+    }
+
+
 def _sums(role: Role) -> dict[str, Column]:
     """What a role adds up per event; `known_` counts the values behind a mean."""
     sums = {"events": F.lit(1)}
@@ -105,11 +114,12 @@ def _pick(number: Column, choices: list[Column]) -> Column:
 
 
 def source_state(
-    log: DataFrame, source: str, *, seconds: int = WINDOW_SECONDS, null_times: bool = False, null_keys: str = "unmatched"
+    log: DataFrame, source: str, *, seconds: int = WINDOW_SECONDS, null_times: bool = False, null_keys: str = "unmatched", folded: bool = False
 ) -> DataFrame:
     """(computer, time_window, slot, item, sums) of a cleaned log from a single scan.
 
-    States of parts of a log can be stacked: what they say about one key is added up.
+    States of parts of a log can be stacked: what they say about one key is added up. A key of a log without distinct
+    counts may have many rows unless `folded`.
     """
     _check(null_keys)
     events = add_time_window(with_event_flags(log, source), seconds=seconds)
@@ -117,20 +127,21 @@ def source_state(
         events = events.filter(F.col("time_window").isNotNull())
 
     slots = _slots(source)
+    turned = _turned(slots)
     sums = _sums(slots[0][0])  # the roles of a log add up the same columns
     sum_names = list(sums)
     slot = F.col("slot")
     computer = _pick(slot, [F.col(role.computer) for role, _, _ in slots])
     item = _pick(slot, [F.col(thing) if thing else F.lit(None).cast("string") for _, thing, _ in slots])
     carries = slot.isin([n for n, (_, _, carries_sums) in enumerate(slots) if carries_sums])
-    facets = events.withColumn("slot", F.explode(F.array(*[F.lit(n) for n in range(len(slots))]))).select(
+    facets = events.withColumn("slot", F.explode(F.array(*[F.lit(n) for n in range(len(slots)) if n not in turned]))).select(
         computer.alias("computer"), "time_window", "slot", item.alias("item"),
         *[F.when(carries, v).alias(n) for n, v in sums.items()],
     )
     if null_keys == "unmatched":  # an unknown computer keeps its key only, so its events fold into few rows
-        known = F.col("computer").isNotNull()
+        known = F.col("computer").isNotNull() | slot.isin(list(turned.values()))  # what the other computer needs stays
         facets = facets.select(*FEATURE_KEY, "slot", *[F.when(known, F.col(n)).alias(n) for n in ("item", *sum_names)])
-    return facets if all(item is None for _, item, _ in slots) else folded_state(facets)
+    return folded_state(facets) if folded or any(item for _, item, _ in slots) else facets
 
 
 def folded_state(state: DataFrame) -> DataFrame:
@@ -139,9 +150,22 @@ def folded_state(state: DataFrame) -> DataFrame:
     return state.groupBy(*key).agg(*[F.sum(c).alias(c) for c in state.columns if c not in key])
 
 
+def _both_sides(state: DataFrame, turned: dict[int, int]) -> DataFrame:
+    """The state with a row of its own for every slot."""
+    slot, side = F.col("slot"), F.col("side")
+    sides = F.array(slot)
+    for n, m in turned.items():
+        sides = F.when(slot == m, F.array(F.lit(m), F.lit(n))).otherwise(sides)
+    change = {"computer": F.when(side == slot, F.col("computer")).otherwise(F.col("item")), "slot": side,
+              "item": F.when(side == slot, F.col("item")).otherwise(F.col("computer"))}
+    return state.withColumn("side", F.explode(sides)).select(*[change.get(c, F.col(c)).alias(c) for c in state.columns])
+
+
 def state_features(state: DataFrame, source: str) -> DataFrame:
     """Features of all roles of a log, with exact distinct counts, from its state."""
     slots = _slots(source)
+    if turned := _turned(slots):
+        state = _both_sides(state, turned)
 
     def of_slot(number: int, column: str) -> Column:
         return F.when(F.col("slot") == number, F.col(column))

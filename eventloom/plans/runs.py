@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from eventloom.contracts import FEATURE_KEY, LABEL, SCHEMAS, SOURCES, WINDOW_SECONDS
+from eventloom.contracts import LABEL, SCHEMAS, SOURCES, WINDOW_SECONDS
 from eventloom.functions.ranks import union_all
 from eventloom.operators.clean import clean
 from eventloom.operators.features import add_derived, fill_counts
@@ -58,43 +58,56 @@ class FeatureRuns:
         return found if bands is None else found.filter(F.col("band").isin(bands))
 
     def _bands(self, run: str) -> set[int]:
-        return self._held([self.state(s, run=run) for s in SOURCES])
-
-    def _held(self, states: list[DataFrame]) -> set[int]:
-        """The bands that states have; of a run, or of what a run touches, so few."""
-        return {r.band for r in union_all([s.select("band").distinct() for s in states]).distinct().collect()}
+        return {band for held in self._held(run=run).values() for band in held}
+
+    def _held(self, bands: list[int] | None = None, run: str | None = None) -> dict[str, dict[int, int]]:
+        """How many runs have a state in each band of each log; of a run, or of what a run touches, so few."""
+        states = [self.state(s, bands, run).select(F.lit(s).alias("source"), "band", "run").distinct() for s in SOURCES]
+        held: dict[str, dict[int, int]] = {s: {} for s in SOURCES}
+        for r in union_all(states).groupBy("source", "band").agg(F.count("*").alias("runs")).collect():
+            held[r.source][r.band] = r.runs
+        return held
+
+    def _added(self, source: str, runs: dict[int, int]) -> DataFrame:
+        """The states of some bands added up; the state of a run is so already, so bands of one run move nothing."""
+        alone, shared = ([b for b, n in runs.items() if (n > 1) == several] for several in (False, True))
+        parts = [self.state(source, alone).drop("run", "band")] if alone or not shared else []
+        return union_all([*parts, *([folded_state(self.state(source, shared).drop("run", "band"))] if shared else [])])
 
     def add(self, run: str, logs: dict[str, DataFrame]) -> list[int]:
         """Add the cleaned logs of a run, or replace them; returns the bands that were recomputed."""
         touched = self._bands(run)
         for source, log in logs.items():
-            state = source_state(log, source, seconds=self.seconds)
-            state = folded_state(state).withColumn("band", _band())
-            by_band = state.repartitionByRange("band", *FEATURE_KEY)
-            by_band.write.mode("overwrite").partitionBy("band").parquet(f"{self.path}/state/{source}/run={run}")
+            # a file per band and task of the fold: rows are as spread over bands in every task, so nothing has to move
+            state = source_state(log, source, seconds=self.seconds, folded=True).withColumn("band", _band())
+            state.write.mode("overwrite").partitionBy("band").parquet(f"{self.path}/state/{source}/run={run}")
         touched |= self._bands(run)
         self.refresh(sorted(touched))
         return sorted(touched)
 
     def refresh(self, bands: list[int]) -> None:
         """Recompute features and edges of some bands from the states of all runs; bands without a state go."""
-        held = self._held([self.state(s, bands) for s in SOURCES])
+        runs = self._held(bands)
+        held = {band for of_log in runs.values() for band in of_log}
         for table in ("features", "edges"):
             drop_partitions(self.spark, [f"{self.path}/{table}/band={b}" for b in bands if b not in held])
         bands = sorted(held)
         if not bands:
             return
-        frames = [state_features(folded_state(self.state(s, bands).drop("run", "band")), s) for s in SOURCES]
+        frames = [state_features(self._added(s, runs[s]), s) for s in SOURCES]
         rows = add_derived(fill_counts(union_features(frames))).withColumn("band", _band())
-        order = Window.partitionBy("computer", "band").orderBy("time_window")
+        # all rows of a computer and band in one of a few cells of the band: one shuffle for the window and for the files
+        cells = -(-4 * int(self.spark.conf.get("spark.sql.shuffle.partitions")) // len(bands))
+        rows = rows.withColumn("cell", F.pmod(F.xxhash64("computer"), F.lit(cells))).repartition("band", "cell")
+        order = Window.partitionBy("band", "cell", "computer").orderBy("time_window")
         rows = rows.withColumns({
             "next_window": F.lead("time_window").over(order), "next_flag": F.lead("redteam_current_flag").over(order),
             "leads": F.lag("time_window").over(order).isNull(),
-        })
-        self._replace(rows.repartitionByRange("band", "time_window", "computer").sortWithinPartitions("band", "time_window", "computer"), "features")
+        }).drop("cell")
+        self._replace(rows, "features")
         written = self.spark.read.schema(rows.schema).parquet(f"{self.path}/features").filter(F.col("band").isin(bands))
         edges = written.filter("leads").select("computer", F.col("time_window").alias("first_window"), F.col("redteam_current_flag").alias("first_flag"), "band")
-        self._replace(edges.repartitionByRange("band", "computer"), "edges")
+        self._replace(edges, "edges")
 
     def _replace(self, rows: DataFrame, table: str) -> None:
         writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")

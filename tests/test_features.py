@@ -6,7 +6,7 @@ from eventloom.operators.clean import clean
 from eventloom.operators.copartition import bucket_join, stored_frames
 from eventloom.operators.features import keyspace, role_features
 from eventloom.operators.label import add_label
-from eventloom.operators.merge import role_frames, source_features
+from eventloom.operators.merge import role_frames, source_features, source_state, state_features
 from eventloom.plans.features import MERGES, feature_table, merged_features
 from eventloom.sources.retail import read_log
 from tests.conftest import SMALL
@@ -222,3 +222,15 @@ def test_eight_joins_without_an_exchange(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     with pytest.raises(ValueError):
         bucket_join(keys, frames, "some")
+
+
+def test_a_pair_of_computers_is_one_row_of_the_state(spark):
+    schema = "time long, duration long, src_computer string, src_port string, dst_computer string, dst_port string, protocol int, packet_count long, byte_count long"
+    rows = [(1, 2, "A", "N1", "B", "N2", 6, 3, 4), (2, 2, "A", "N1", "B", "N2", 6, None, 4), (3, 2, "A", "N1", None, "N2", 6, 3, 4),
+            (4, 2, None, "N1", "B", "N2", 6, 3, 4), (5, 2, "A", "N3", "A", None, 6, 3, 4)]
+    state = source_state(spark.createDataFrame(rows, schema), "flows")
+    assert {r.slot for r in state.select("slot").distinct().collect()} == {0, 1, 3}
+    found = {r.computer: r.asDict() for r in state_features(state, "flows").collect()}
+    assert [found["A"][c] for c in ("flows_out_count", "flows_out_unique_dst_computers", "flows_out_unique_dst_ports", "flows_out_total_packets")] == [4, 2, 1, 9]
+    assert [found["A"][c] for c in ("flows_in_count", "flows_in_unique_src_computers", "flows_in_unique_src_ports")] == [1, 1, 1]
+    assert [found["B"][c] for c in ("flows_in_count", "flows_in_unique_src_computers", "flows_in_unique_src_ports", "flows_in_mean_packets")] == [3, 1, 1, 3.0]

@@ -11,7 +11,7 @@ from eventloom.plans.runs import FeatureRuns
 from eventloom.sources.layout import read_layout, read_range, write_clustered
 from eventloom.sources.retail import read_log
 from eventloom.sources.tables import scratch_path
-from tests.conftest import SMALL
+from tests.conftest import SMALL, plan_of
 
 
 @pytest.fixture(scope="module")
@@ -85,6 +85,23 @@ def test_later_runs_relabel_without_a_rewrite(spark, logs, whole):
     assert _rows(runs.table()) == whole
 
 
+def test_only_bands_of_several_runs_are_folded_again(spark, logs):
+    runs = FeatureRuns(spark, scratch_path(spark, "runs"))
+    runs.add("a", {s: df.filter("time < 86400 * 2") for s, df in logs.items()})
+    held = runs._held()["flows"]
+    assert held == {0: 1, 1: 1}
+    one = runs._added("flows", held)
+    assert "Exchange" not in plan_of(one)
+    key = ["computer", "time_window", "slot", "item"]
+    assert one.filter("computer IS NOT NULL").groupBy(*key).count().filter("count > 1").count() == 0
+    runs.add("b", {s: df.filter("time >= 86400 AND time < 86400 * 2") for s, df in logs.items()})
+    held = runs._held()["flows"]
+    assert held == {0: 1, 1: 2}
+    both = runs._added("flows", held)
+    assert "Exchange" in plan_of(both)
+    assert both.groupBy(*key).count().filter("count > 1 AND computer IS NOT NULL").count() == 0
+
+
 def test_a_run_that_shrinks_takes_its_bands_with_it(spark, logs):
     runs = FeatureRuns(spark, scratch_path(spark, "runs"))
     day = {s: df.filter("time < 86400 * 2") for s, df in logs.items()}
