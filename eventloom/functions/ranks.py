@@ -5,8 +5,9 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
@@ -14,6 +15,12 @@ SKETCH_SIZE = 4096  # rank error of about 0.0007
 SKETCH_SHARDS = 64
 LARGEST_SKETCH = 65_535
 FEW = 50_000  # rows of a range that one task ranks
+SIDE_BY_SIDE = 8  # columns of one aggregate; the code of many more is too long to be compiled, and each row takes many times longer
+
+
+def column_groups(columns: list[str]) -> list[list[str]]:
+    """The columns in groups that one aggregate takes side by side; a scan of a group reads its columns only."""
+    return [columns[i : i + SIDE_BY_SIDE] for i in range(0, len(columns), SIDE_BY_SIDE)]
 
 
 def unpivot_values(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -32,16 +39,19 @@ def _values(df: DataFrame, columns: list[str]) -> list[Column]:
 
 
 def _extent(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(column_name, n, lo, hi) of the columns that have values, from one aggregate over the columns side by side."""
-    row = df.select(*_values(df, columns)).agg(*[
-        m for i, c in enumerate(columns)
-        for m in (F.count(c).alias(f"n_{i}"), F.min(c).alias(f"lo_{i}"), F.max(c).alias(f"hi_{i}"))
-    ])
-    cells = [
-        F.struct(F.lit(c).alias("column_name"), *[F.col(f"{m}_{i}").alias(m) for m in ("n", "lo", "hi")])
-        for i, c in enumerate(columns)
-    ]
-    return row.select(F.inline(F.array(*cells))).filter("n > 0")
+    """(column_name, n, lo, hi) of the columns that have values, from an aggregate per group of columns side by side."""
+    values, found = df.select(*_values(df, columns)), []
+    for group in column_groups(columns):
+        row = values.agg(*[
+            m for i, c in enumerate(group)
+            for m in (F.count(c).alias(f"n_{i}"), F.min(c).alias(f"lo_{i}"), F.max(c).alias(f"hi_{i}"))
+        ])
+        cells = [
+            F.struct(F.lit(c).alias("column_name"), *[F.col(f"{m}_{i}").alias(m) for m in ("n", "lo", "hi")])
+            for i, c in enumerate(group)
+        ]
+        found.append(row.select(F.inline(F.array(*cells))))
+    return union_all(found).filter("n > 0")
 
 
 def _scaled(value: Column) -> Column:
@@ -51,14 +61,20 @@ def _scaled(value: Column) -> Column:
     return F.when(size > 0, F.signum(value) * magnitude).otherwise(0.0)
 
 
+def _with_scale(ranges: DataFrame) -> DataFrame:
+    """The ranges with what `_bin` needs of their ends, so that it is not worked out again for every value."""
+    ends = {f"scaled_{c}": _scaled(F.col(c).cast("double")) for c in ("lo", "hi")}
+    return ranges.withColumns(ends).withColumn("near", F.abs(F.col("scaled_hi") - F.col("scaled_lo")) < 2)
+
+
 def _bin(bins: int) -> Column:
     """Bin of `value` within [lo, hi]; never decreases as the value grows.
 
     Bins have equal width on the scale of magnitudes, or, where the range lies within two powers of two, on its own.
     """
     value, low, high = (F.col(c).cast("double") for c in ("value", "lo", "hi"))
-    near = F.abs(_scaled(high) - _scaled(low)) < 2
-    place = F.when(near, (value - low) / (high - low)).otherwise((_scaled(value) - _scaled(low)) / (_scaled(high) - _scaled(low)))
+    scaled_low, scaled_high = F.col("scaled_lo"), F.col("scaled_hi")
+    place = F.when(F.col("near"), (value - low) / (high - low)).otherwise((_scaled(value) - scaled_low) / (scaled_high - scaled_low))
     last = F.lit(bins - 1).cast("bigint")
     return F.when(high > low, F.least(F.floor(place * bins), last)).otherwise(F.lit(0).cast("bigint"))
 
@@ -68,6 +84,16 @@ def _holds(rank: str) -> Column:
     return (F.col(rank) >= F.col("start")) & (F.col(rank) < F.col("start") + F.col("size"))
 
 
+_ARROW = {"STRING": pa.string(), "BIGINT": pa.int64(), "DOUBLE": pa.float64()}
+
+
+def _few_rows(spark: SparkSession, rows: list[tuple], fields: str) -> DataFrame:
+    """Rows of the driver as a part of the plan; `createDataFrame` of a list would start Python workers for them."""
+    kinds = dict(field.split() for field in fields.split(", "))
+    columns = {n: pa.array([r[i] for r in rows], _ARROW[k.upper()]) for i, (n, k) in enumerate(kinds.items())}
+    return spark.createDataFrame(pa.table(columns))
+
+
 def _doubles(numbers: list[float]) -> Column:
     return F.array(*[F.lit(float(n)) for n in numbers])
 
@@ -79,28 +105,29 @@ def exact_quantiles(
 
     Instead of gathering all values of a column in one place, count them per bin, keep only the bins that hold a wanted
     rank, and cut those bins again until each holds at most `few` rows or one value. Each pass is a scan whose shuffle
-    carries at most `bins` rows per column, range and task; the last step ranks the few values left. Bins follow
-    magnitudes first, so a column with a heavy tail is cut as fast as a flat one. A value that a third of the rows share
-    costs nothing extra: it is one counted value everywhere. Only ranges that hold a wanted rank reach the driver and are
-    broadcast: two per column and probability at most.
+    carries at most `bins` rows per column, range and task; the last step ranks the few values left. A pass reads only the
+    columns with a range to cut, and what lies outside is dropped before it is unpivoted; a range of one value is counted
+    already and needs no pass. Bins follow magnitudes first, so a column with a heavy tail is cut as fast as a flat one. A
+    value that a third of the rows share costs nothing extra: it is one counted value everywhere. Only ranges that hold a
+    wanted rank reach the driver and are broadcast: two per column and probability at most.
     """
-    spark, values = df.sparkSession, unpivot_values(df, columns)
+    spark, values = df.sparkSession, df.select(*_values(df, columns))
     ranges = [(r.column_name, 0, r.n, r.lo, r.hi) for r in _extent(df, columns).collect()]  # a row per column
-    kind = dict(values.dtypes)["value"]
+    kind = values.dtypes[0][1]
     wanted = []
     for column, _, n, _, _ in ranges:
         for p in probabilities:
             position = p * (n - 1)
             wanted.append((column, p, position - math.floor(position), math.floor(position), math.ceil(position)))
     schema = "wanted_column STRING, probability DOUBLE, share DOUBLE, low_rank BIGINT, high_rank BIGINT"
-    asked = F.broadcast(spark.createDataFrame(wanted, schema))
+    asked = F.broadcast(_few_rows(spark, wanted, schema))
     same_column = F.col("column_name") == F.col("wanted_column")
     holds_low, holds_high = _holds("low_rank"), _holds("high_rank")
     fields = f"column_name STRING, start BIGINT, size BIGINT, lo {kind}, hi {kind}"
     settled: list[tuple] = []
     while large := [r for r in ranges if r not in settled and r[2] > few and r[3] < r[4]]:
         histogram = (
-            _in_ranges(values, spark.createDataFrame(large, fields).drop("size"))
+            _in_ranges(values, large, fields)
             .groupBy("column_name", "start", _bin(bins).alias("bin"))
             .agg(F.count("*").alias("size"), F.min("value").alias("lo"), F.max("value").alias("hi"))
         )
@@ -108,10 +135,12 @@ def exact_quantiles(
         found = [(r.column_name, r.start, r.size, r.lo, r.hi) for r in cut.collect()]
         settled += [r for r in found if r in large]  # neighbouring integers beyond what a double can tell apart
         ranges = [r for r in ranges if r not in large] + found
-    counted = (
-        _in_ranges(values, spark.createDataFrame(ranges, fields).drop("size"))
-        .groupBy("column_name", "start", "value").agg(F.count("*").alias("size"))
-    )
+    single = [r for r in ranges if r[3] == r[4]]
+    several = [r for r in ranges if r[3] < r[4]]
+    counted = _few_rows(spark, single, fields).select("column_name", "start", F.col("lo").alias("value"), "size")
+    if several:
+        found = _in_ranges(values, several, fields).groupBy("column_name", "start", "value").agg(F.count("*").alias("size"))
+        counted = counted.unionByName(found)
     neighbours = _with_starts(counted, "value").join(asked, same_column & (holds_low | holds_high))
     low, high = F.col("low"), F.col("high")
     return (
@@ -124,9 +153,16 @@ def exact_quantiles(
     )
 
 
-def _in_ranges(values: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Values within the given ranges of their column; the ranges of a column do not overlap."""
-    return values.join(F.broadcast(ranges), "column_name").filter(F.col("value").between(F.col("lo"), F.col("hi")))
+def _in_ranges(values: DataFrame, ranges: list[tuple], fields: str) -> DataFrame:
+    """(column_name, value) of a table of values within the given ranges of its columns, which do not overlap in a column."""
+    ends: dict[str, tuple] = {}
+    for column, _, _, low, high in ranges:
+        lowest, highest = ends.get(column, (low, high))
+        ends[column] = min(low, lowest), max(high, highest)
+    inside = values.select(*[F.when(F.col(c).between(F.lit(low), F.lit(high)), F.col(c)).alias(c) for c, (low, high) in ends.items()])
+    long = inside.unpivot([], list(ends), "column_name", "value").filter(F.col("value").isNotNull())
+    known = _with_scale(_few_rows(values.sparkSession, ranges, fields).drop("size"))
+    return long.join(F.broadcast(known), "column_name").filter(F.col("value").between(F.col("lo"), F.col("hi")))
 
 
 def _with_starts(counts: DataFrame, order: str) -> DataFrame:

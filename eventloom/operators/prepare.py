@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventloom.contracts import LABEL
-from eventloom.functions.ranks import exact_quantiles, sketch_quantiles
+from eventloom.functions.ranks import column_groups, exact_quantiles, sketch_quantiles, union_all
 
 PREPARED = "prepared_"
 
@@ -60,11 +60,15 @@ def impute_median(df: DataFrame, columns: list[str], fitted: dict[str, float] |
 
 def scales(df: DataFrame, columns: list[str]) -> dict[str, tuple[float, float]]:
     """Mean and population deviation; a constant column gets deviation 1, so it scales to 0."""
-    measures = []
-    for c in columns:
-        measures += [F.avg(c).alias(f"mean_{c}"), F.stddev_pop(c).alias(f"std_{c}")]
-    row = df.agg(*measures).first()
-    return {c: (row[f"mean_{c}"], row[f"std_{c}"] or 1.0) for c in columns}
+    if not columns:
+        return {}
+    found = []
+    for group in column_groups(columns):
+        row = df.agg(*[m for i, c in enumerate(group) for m in (F.avg(c).alias(f"mean_{i}"), F.stddev_pop(c).alias(f"std_{i}"))])
+        cells = [F.struct(F.lit(c).alias("column_name"), F.col(f"mean_{i}").alias("mean"), F.col(f"std_{i}").alias("std")) for i, c in enumerate(group)]
+        found.append(row.select(F.inline(F.array(*cells))))
+    measured = {r.column_name: (r["mean"], r["std"] or 1.0) for r in union_all(found).collect()}  # a row per column
+    return {c: measured[c] for c in columns}
 
 
 def standardise(df: DataFrame, columns: list[str], fitted: dict[str, tuple[float, float]] | None = None) -> DataFrame:

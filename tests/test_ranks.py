@@ -65,6 +65,18 @@ def test_extreme_integers(spark):
     assert exact_quantiles(df, ["a"], [0.4]).first().quantile == 1.0
 
 
+def test_a_range_of_one_value_needs_no_pass(spark, monkeypatch):
+    """Constant columns are counted by their extent; a pass reads only the columns that are left to cut."""
+    from eventloom.functions import ranks
+
+    passes, in_ranges = [], ranks._in_ranges
+    monkeypatch.setattr(ranks, "_in_ranges", lambda values, ranges, fields: passes.append({r[0] for r in ranges}) or in_ranges(values, ranges, fields))
+    df = spark.range(1000).select(F.lit(0).alias("zero"), F.when(F.col("id") < 10, 7).alias("seven"), F.col("id").cast("int").alias("id"))
+    found = {(r.column_name, r.probability): r.quantile for r in exact_quantiles(df, df.columns, [0.25, 0.5], bins=8, few=50).collect()}
+    assert found == {("zero", 0.25): 0.0, ("zero", 0.5): 0.0, ("seven", 0.25): 7.0, ("seven", 0.5): 7.0, ("id", 0.25): 249.75, ("id", 0.5): 499.5}
+    assert passes and all(p == {"id"} for p in passes)
+
+
 def test_sketch_quantiles_are_within_a_permille_of_rank(spark):
     df = spark.range(200_000, numPartitions=16).select((F.col("id") * 7919 % 200_003).alias("a"))
     for r in sketch_quantiles(df, ["a"], [0.01, 0.25, 0.5, 0.75, 0.99]).collect():
