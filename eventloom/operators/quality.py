@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from eventloom.contracts import CONTRACTS, LABEL, Contract
 from eventloom.functions.columns import integer_columns, numeric_columns
-from eventloom.functions.ranks import SKETCH_SIZE, exact_quantiles, sketch_quantiles, union_all
+from eventloom.functions.ranks import SKETCH_SIZE, column_groups, exact_quantiles, sketch_quantiles, union_all
 from eventloom.sources.tables import DEFAULT_FORMAT, stage, write_table
 
 # Reported quantiles, and the sizes of samples and top lists.
@@ -178,17 +178,20 @@ def quantiles(df: DataFrame, columns: list[str] | None = None, exact: bool = Tru
 def skewness(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Bias-adjusted skewness; null below three values, 0.0 for a constant column."""
     columns = numeric_columns(df) if columns is None else columns
-    row = df.agg(*[
-        m for i, c in enumerate(columns)
-        for m in (F.count(c).alias(f"n_{i}"), F.skewness(c).alias(f"g_{i}"), F.stddev_pop(c).alias(f"s_{i}"))
-    ])
 
     def adjusted(i: int) -> Column:
         n = F.col(f"n_{i}").cast("double")
         scaled = F.col(f"g_{i}") * F.sqrt(n * (n - 1)) / F.when(n > 2, n - 2)
         return F.when(n > 2, F.when(F.col(f"s_{i}") == 0, 0.0).otherwise(scaled))
 
-    return _rows_per_column(row, {c: [F.col(f"n_{i}"), adjusted(i)] for i, c in enumerate(columns)}, ["count", "skew"])
+    found = []
+    for group in column_groups(columns) or [columns]:
+        row = df.agg(*[
+            m for i, c in enumerate(group)
+            for m in (F.count(c).alias(f"n_{i}"), F.skewness(c).alias(f"g_{i}"), F.stddev_pop(c).alias(f"s_{i}"))
+        ])
+        found.append(_rows_per_column(row, {c: [F.col(f"n_{i}"), adjusted(i)] for i, c in enumerate(group)}, ["count", "skew"]))
+    return union_all(found)
 
 
 def distribution_shape(df: DataFrame, columns: list[str], exact: bool = True) -> DataFrame:

@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from eventloom.contracts import CONTRACTS, Contract, SCHEMAS
-from eventloom.operators import inspect, quality, sketches
+from eventloom.functions.ranks import SIDE_BY_SIDE
+from eventloom.operators import inspect, prepare, quality, sketches
 from eventloom.operators.clean import clean
 from eventloom.sources.retail import read_log
 
@@ -93,6 +94,20 @@ def test_skewness_is_bias_adjusted(spark):
     assert (two["count"], two["skew"]) == (2, None)
 
 
+def test_many_columns_are_measured_in_groups_that_are_compiled(spark, tmp_path):
+    """One aggregate over all columns has more code than is compiled, and its plan has no whole stage for it."""
+    cells = [(F.col("id") * (i + 1) % (i + 5)).cast("double").alias(f"c{i}") for i in range(45)]
+    spark.range(100).select(*cells).write.parquet(str(tmp_path / "wide"))
+    df = spark.read.parquet(str(tmp_path / "wide"))
+    found = quality.skewness(df)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert max(line.count("partial_skewness") for line in plan.splitlines()) <= SIDE_BY_SIDE
+    rows = _by_column(found)
+    assert len(rows) == 45 and rows["c44"].skew == pytest.approx(_by_column(quality.skewness(df, ["c44"]))["c44"].skew)
+    means = prepare.scales(df, df.columns)
+    assert list(means) == df.columns and means["c3"] == pytest.approx(prepare.scales(df, ["c3"])["c3"])
+
+
 def test_shape_puts_all_measures_side_by_side(spark):
     row = quality.distribution_shape(spark.range(101).withColumnRenamed("id", "a"), ["a"]).first()
     assert (row["median"], row["q25"], row["max"]) == (50.0, 25.0, 100.0) and abs(row["skew"]) < 1e-9
