@@ -161,8 +161,12 @@ def _both_sides(state: DataFrame, turned: dict[int, int]) -> DataFrame:
     return state.withColumn("side", F.explode(sides)).select(*[change.get(c, F.col(c)).alias(c) for c in state.columns])
 
 
-def state_features(state: DataFrame, source: str) -> DataFrame:
-    """Features of all roles of a log, with exact distinct counts, from its state."""
+def state_features(state: DataFrame, source: str, by: dict[str, Column] | None = None) -> DataFrame:
+    """Features of all roles of a log, with exact distinct counts, from its state.
+
+    by  the key under other names: columns that tell the same computers and windows apart
+    """
+    by = by or {k: F.col(k) for k in FEATURE_KEY}
     slots = _slots(source)
     if turned := _turned(slots):
         state = _both_sides(state, turned)
@@ -186,7 +190,7 @@ def state_features(state: DataFrame, source: str) -> DataFrame:
         columns += [F.col(role.name(n)) for n, column in role.distinct.items() if column == item]
     if source == "proc":
         columns.append((F.col("proc_start_count") - F.col("proc_end_count")).alias(IMBALANCE))
-    return state.groupBy(*FEATURE_KEY).agg(*measures).select(*FEATURE_KEY, *columns)
+    return state.groupBy(*[k.alias(n) for n, k in by.items()]).agg(*measures).select(*by, *columns)
 
 
 def source_features(log: DataFrame, source: str, **options) -> DataFrame:

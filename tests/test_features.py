@@ -224,6 +224,35 @@ def test_eight_joins_without_an_exchange(spark):
         bucket_join(keys, frames, "some")
 
 
+def test_features_move_twice_on_the_way_to_their_buckets(spark):
+    """Once per event and once per key; the grouping deals the rows to the buckets, nulls in the key included."""
+    from eventloom.operators import copartition
+
+    schema = "time long, src_computer string, resolved_computer string"
+    rows = [(n * 60, None if n % 7 == 0 else f"C{n % 5}", f"C{n % 3}") for n in range(500)] + [(None, "C1", "C2"), (None, None, None)]
+    logs = {s: clean(spark.createDataFrame(rows if s == "dns" else [], schema if s == "dns" else SCHEMAS[s]), s) for s in SOURCES}
+    log = source_state(logs["dns"], "dns", null_times=True, null_keys="matched")
+    plan = state_features(log, "dns", by=copartition.bucket_key())._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2
+    for buckets in (4, 3):
+        keys, frames = stored_frames(logs, buckets, null_times=True, null_keys="matched")
+        assert all(len(f.inputFiles()) <= buckets for f in (keys, *frames.values()))
+        expected = source_features(logs["dns"], "dns", null_times=True, null_keys="matched")
+        assert frames["dns"].select(*expected.columns).exceptAll(expected).count() == 0 and frames["dns"].count() == expected.count()
+        assert keys.filter("time_window IS NULL AND computer IS NULL").count() == 1
+
+
+def test_writing_buckets_adds_no_exchange(spark, monkeypatch):
+    """Rows that are grouped into as many parts as there are buckets are written where they are."""
+    from pyspark.sql import DataFrame
+
+    dealt, repartition = [], DataFrame.repartition
+    monkeypatch.setattr(type(spark.range(1)), "repartition", lambda df, *a: dealt.append(a) or repartition(df, *a))
+    logs = {s: clean(read_log(spark, SMALL, s), s) for s in SOURCES}
+    stored_frames(logs)
+    assert not dealt
+
+
 def test_a_pair_of_computers_is_one_row_of_the_state(spark):
     schema = "time long, duration long, src_computer string, src_port string, dst_computer string, dst_port string, protocol int, packet_count long, byte_count long"
     rows = [(1, 2, "A", "N1", "B", "N2", 6, 3, 4), (2, 2, "A", "N1", "B", "N2", 6, None, 4), (3, 2, "A", "N1", None, "N2", 6, 3, 4),
