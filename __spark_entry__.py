@@ -342,7 +342,8 @@ def _trained(spark: SparkSession, directory: str, estimator) -> tuple[DataFrame,
 
 
 def _evaluated(parts: DataFrame, fitted: object) -> DataFrame:
-    predictions = model.predict(parts.filter("split IN ('valid', 'test')"), fitted, ["split", LABEL])
+    rows = model.even_parts(parts.filter("split IN ('valid', 'test')"))
+    predictions = model.predict(rows, fitted, ["split", LABEL])
     stored = tables.stage(predictions, "predictions")
     return union_all([
         model.evaluate(stored.filter(F.col("split") == s)).select(F.lit(s).alias("split"), "metric", "value")

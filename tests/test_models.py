@@ -4,7 +4,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from eventloom.contracts import LABEL, REDTEAM_NOW
-from eventloom.operators import export, metrics, model, prepare
+from eventloom.operators import export, forest, metrics, model, prepare
 from eventloom.operators.split import time_cuts, time_split
 from eventloom.sources.tables import stage
 
@@ -200,3 +200,115 @@ def test_no_node_with_few_rows_is_split_and_scores_are_those_of_a_plain_walk(spa
                 at = nodes[tree, at.left if point[at.feature] <= at.threshold else at.right]
             votes.append(at.stats[1] / sum(at.stats))
         assert r.score == pytest.approx(np.mean(votes), abs=1e-12)
+
+
+def _best_by_hand(x, y, cuts, weights, least):
+    """Highest gain of any split of one node, by plain sums over rows."""
+    def side(rows):
+        w = np.array([weights[0] * (y[rows] == 0).sum(), weights[1] * (y[rows] == 1).sum()])
+        return len(y[rows]), w.sum(), 1 - ((w / w.sum()) ** 2).sum() if w.sum() else 0.0
+
+    _, whole, impurity = side(np.full(len(y), True))
+    found = []
+    for i, cut in enumerate(cuts):
+        for b, c in enumerate(cut):
+            (n, w, g), (m, v, h) = side(x[:, i] <= c), side(x[:, i] > c)
+            if min(n, m) >= least:
+                found.append((impurity - w / whole * g - v / whole * h, i, b))
+    return max(found)
+
+
+def test_a_grown_tree_takes_the_best_splits_and_counts_every_drawn_row():
+    random = np.random.default_rng(4)
+    x = random.normal(size=(500, 1))
+    y = (x[:, 0] + random.normal(size=500) > 0.8).astype(np.int8)
+    cuts = [np.quantile(x[:, 0], np.arange(1, 32) / 32)]
+    bins = np.searchsorted(cuts[0], x).astype(np.uint8)
+    rules = forest.Rules(trees=1, depth=30, bins=32, leaf_rows=2, split_rows=5, weights=(0.7, 3.0), seed=1)
+    tree = forest.grow(bins, y, np.arange(500), 0, rules)
+    drawn = np.random.default_rng([1, 0]).poisson(1.0, 500)
+    inside, checked = {0: np.repeat(np.arange(500), drawn)}, 0
+    for i in range(len(tree.left)):
+        rows = inside[i]
+        assert tree.counts[:, i].tolist() == [(y[rows] == 0).sum(), (y[rows] == 1).sum()]
+        if tree.left[i] >= 0:
+            gain, _, split = _best_by_hand(x[rows], y[rows], cuts, rules.weights, 2)
+            assert tree.gain[i] == pytest.approx(gain) and gain > 0
+            goes = bins[rows, 0] <= tree.split[i]
+            inside[tree.left[i]], inside[tree.right[i]] = rows[goes], rows[~goes]
+            checked += 1
+    assert checked > 10
+    done = forest._finished(tree, rules)
+    inner = done.left >= 0
+    assert (done.counts.sum(axis=0)[inner] >= 5).all() and 1 < inner.sum() <= checked
+    pairs = [(done.left[i], done.right[i]) for i in np.flatnonzero(inner)]
+    of = forest._classes(done, rules)
+    few = done.counts.sum(axis=0) < 5  # leaves that were split before
+    assert all(of[a] != of[b] for a, b in pairs if done.left[a] < 0 and done.left[b] < 0 and not few[a] and not few[b])
+    assert sorted(n for p in pairs for n in p) == list(range(1, len(done.left)))  # every node but the root has one parent
+
+
+def test_nodes_in_slices_give_the_same_tree(monkeypatch):
+    random = np.random.default_rng(6)
+    bins = random.integers(0, 32, (900, 5)).astype(np.uint8)
+    y = (random.random(900) < 0.3).astype(np.int8)
+    rules = forest.Rules(1, 30, 32, 2, 5, (1.0, 2.0), 7)
+    whole = forest.grow(bins, y, np.arange(900), 3, rules)
+    monkeypatch.setattr(forest, "NODES", 3)
+    monkeypatch.setattr(forest, "SLICE", 11)
+    sliced = forest.grow(bins, y, np.arange(900), 3, rules)
+    assert whole.left.tolist() == sliced.left.tolist() and whole.split.tolist() == sliced.split.tolist()
+
+
+def test_cuts_of_bins_are_the_engines():
+    import pandas as pd
+
+    def cuts(values, bins=4):
+        return forest._cut_points(pd.DataFrame({"input": 0, "value": np.array(values, float), "weight": 1.0}), bins).cuts[0]
+
+    assert cuts([5, 5, 5]) == [] and cuts([1, 2, 2, 4]) == [1.5, 3.0]
+    assert cuts(range(8)) == [1.5, 3.5, 5.5]
+    assert cuts([0] * 90 + list(range(1, 11))) == [0.5, 1.5, 2.5]  # a common value leaves cuts for the others
+
+
+def test_points_keep_every_weight_and_nearly_every_rank():
+    import pyarrow as pa
+
+    values = np.random.default_rng(2).lognormal(size=(30_000, 2))
+    batches = [pa.record_batch({"x": pa.array(list(values[i : i + 7000])), "weight": np.ones(len(values[i : i + 7000]))}) for i in range(0, 30_000, 7000)]
+    parts = [p.to_pandas() for p in forest._points(iter(batches), 2)]
+    for i, part in enumerate(parts):
+        assert len(part) <= forest.POINTS + 1 and part.weight.sum() == pytest.approx(30_000)
+        ranks = np.searchsorted(np.sort(values[:, i]), part.value, side="right")
+        assert abs(part.weight.cumsum() - ranks).max() <= 30_000 / forest.POINTS * 2
+
+
+def test_a_forest_hangs_on_its_rows_only_and_all_of_them_are_in_every_tree(spark, training, tmp_path):
+    df, rows = training
+    prepared = prepare.fit_preparation(df, ["a", "b"])
+    tables = []
+    for n, parts in enumerate((1, 3)):
+        model.fit(df.repartition(parts), prepared, model.random_forest(4, 30), path=str(tmp_path / str(n)))
+        nodes = model.forest_nodes(spark, str(tmp_path / str(n)))
+        tables.append(sorted(tuple(map(str, r)) for r in nodes.collect()))
+    assert tables[0] == tables[1]
+    roots = [r.rows for r in nodes.filter("node = 0").collect()]
+    assert len(roots) == 4 and all(abs(n - len(rows)) < 6 * len(rows) ** 0.5 for n in roots)
+
+
+def test_more_rows_than_a_task_may_hold_go_to_the_engine(spark, training, monkeypatch):
+    df, _ = training
+    prepared = prepare.fit_preparation(df, ["a", "b"])
+    rows = df.select("a", "b", F.col(LABEL).cast("double").alias("label"), F.lit(1.0).alias("weight"))
+    assert model._held_rules(rows, prepared, model.random_forest(3, 4)).trees == 3
+    assert model._held_rules(rows.filter("label = 0"), prepared, model.random_forest(3, 4)) is None
+    monkeypatch.setattr(forest, "HELD_BYTES", 700)
+    assert model._held_rules(rows, prepared, model.random_forest(3, 4)) is None
+    assert model.fit(df, prepared, model.random_forest(3, 4)).stages[-1].getNumTrees == 3
+
+
+def test_inputs_that_are_no_numbers_are_refused(spark, training):
+    df, _ = training
+    prepared = prepare.fit_preparation(df, ["a", "b"])
+    with pytest.raises(Exception, match="not a number"):
+        model.fit(df.withColumn("b", F.lit(float("nan"))), prepared, model.random_forest(2, 2))
