@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,7 @@ from eventloom.operators.model import (
     LOGISTIC,
     TREES,
     evaluate,
+    even_parts,
     fit,
     logistic_regression,
     predict,
@@ -81,11 +83,15 @@ def train_models(
         LOGISTIC: logistic_regression(sum(labels["train"].values())),
         FOREST: random_forest(trees, depth),
     }
-    for position, (name, estimator) in enumerate(estimators.items()):
-        path = f"{output}/models/{name}"
-        fit(train, prepared, estimator).write().overwrite().save(path)
-        predictions = predict(valid.unionByName(test), PipelineModel.load(path), [*FEATURE_KEY, "split", LABEL])
-        write_table(predictions, f"{output}/predictions/{name}", fmt)
+    later = even_parts(valid.unionByName(test))
+
+    def fit_and_predict(name: str) -> None:
+        fitted = fit(train, prepared, estimators[name], path=f"{output}/models/{name}")
+        write_table(predict(later, fitted, [*FEATURE_KEY, "split", LABEL]), f"{output}/predictions/{name}", fmt)
+
+    with ThreadPoolExecutor(len(estimators)) as pool:  # the passes of the regression are short, the trees take long
+        list(pool.map(fit_and_predict, estimators))
+    for position, name in enumerate(estimators):
         stored = read_table(spark, f"{output}/predictions/{name}", fmt)
         measured, reports = [], []
         for split in ("valid", "test"):
